@@ -1,0 +1,87 @@
+"""Three-state dedupe with keyed state, for feeds cut into many small batches.
+
+`stream_ingest` looks ids up in a table, which suits few large batches. Here each
+id's first arrival lives in the state store (RocksDB), so the cost of a batch
+follows the batch and not the history.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.storagelevel import StorageLevel
+
+from penstock import schema
+from penstock.operators.skew import HOT_ROWS, hot_keys, salted_join
+from penstock.streaming.jobs import batch_path, run_batches
+
+PASSED = "event_id STRING, arrived_us BIGINT, arrival_seq BIGINT, first_us BIGINT, first_seq BIGINT"
+LABELLED = "event_id STRING, arrived_us BIGINT, arrival_seq BIGINT, status STRING"
+
+# State workers get the processor itself, not a module name they would have to find.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class FirstArrival(StatefulProcessor):
+    """Passes the rows of an id on, chunk by chunk, then adds one row with its first arrival.
+
+    Nothing of a key is held but the least (time, sequence) seen so far. State is kept
+    for good: without it an arrival after the window would look like a first one.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "us BIGINT, seq BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.first.get()
+        least = stored
+        for chunk in rows:
+            yield chunk.assign(first_us=pd.NA, first_seq=pd.NA).astype({"first_us": "Int64", "first_seq": "Int64"})
+            if stored is None:
+                at = int(chunk["arrived_us"].min())
+                seq = int(chunk.loc[chunk["arrived_us"] == at, "arrival_seq"].min())
+                least = (at, seq) if least is None else min(least, (at, seq))
+        if stored is None:
+            self.first.update(least)
+        first_seq = least[1] if stored is None else -1
+        yield pd.DataFrame(
+            {"event_id": [key[0]], "arrived_us": pd.array([None], "Int64"), "arrival_seq": pd.array([None], "Int64"),
+             "first_us": [least[0]], "first_seq": [first_seq]}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def label_batch(passed: DataFrame, batch: int, root: str, hot_rows: int = HOT_ROWS) -> None:
+    """Join the rows of a micro-batch to the first arrivals that came with them, and write labels."""
+    passed = passed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = passed.filter(F.col("first_us").isNull()).select("event_id", "arrived_us", "arrival_seq")
+        firsts = passed.filter(F.col("first_us").isNotNull()).select("event_id", "first_us", "first_seq")
+        joined = salted_join(
+            rows, firsts, ["event_id"], "left", ["arrived_us", "arrival_seq"], hot_keys(rows, ["event_id"], hot_rows)
+        )
+        first = (F.col("arrived_us") == F.col("first_us")) & (F.col("arrival_seq") == F.col("first_seq"))
+        inside = F.col("arrived_us") < F.col("first_us") + schema.IDEMPOTENCY_SECONDS * 1_000_000
+        status = F.when(first, "accepted").when(inside, "duplicate").otherwise("conflict")
+        joined.select("event_id", "arrived_us", "arrival_seq", status.alias("status")).write.mode(
+            "overwrite"
+        ).parquet(batch_path(root, "labels", batch))
+    finally:
+        passed.unpersist()
+
+
+def stream_labels(stream: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Arrivals (event_id, arrived_at, arrival_seq) to a table of labels."""
+    keyed = stream.select("event_id", F.unix_micros("arrived_at").alias("arrived_us"), "arrival_seq")
+    passed = keyed.groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=FirstArrival(), outputStructType=PASSED, outputMode="Append", timeMode="None"
+    )
+    return run_batches(passed, lambda df, n: label_batch(df, n, root), checkpoint, once)
