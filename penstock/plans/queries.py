@@ -383,7 +383,7 @@ def destination_sinks(spark, sf):
     written = (
         spark.read.parquet(f"{path}/outbox").groupBy("type").agg(counts)
         .unionByName(spark.read.option("basePath", f"{path}/database").parquet(f"{path}/database").groupBy("type").agg(counts))
-        .unionByName(spark.read.json(f"{path}/objects").groupBy("type").agg(counts))
+        .unionByName(spark.read.schema("type STRING").json(f"{path}/objects").groupBy("type").agg(counts))
     )
     return written
 
