@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRICT_JSON = {
@@ -46,14 +46,35 @@ def is_boolean(value: Column) -> Column:
     return F.coalesce(kind(value) == "BOOLEAN", F.lit(False))
 
 
-def single_object(raw: Column) -> Column:
-    """ARRAY of the one JSON object in `raw`; NULL for anything else.
+def parsed_text(raw: Column) -> Column:
+    """`raw` as an ARRAY of JSON objects, NULL where it is no list of objects.
 
     Brackets around the text make trailing characters a syntax error, which the
-    JSON reader would otherwise ignore. Repeated keys are refused too.
+    JSON reader would otherwise ignore.
     """
-    parsed = F.from_json(
-        F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,variant>>", STRICT_JSON
-    )
-    keys = F.map_keys(parsed[0])
-    return F.when((F.size(parsed) == 1) & (F.size(keys) == F.size(F.array_distinct(keys))), parsed)
+    return F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,variant>>", STRICT_JSON)
+
+
+def only_object(parsed: Column) -> Column:
+    """The object out of `parsed_text`, NULL unless it is the only one and repeats no key."""
+    first = F.get(parsed, F.lit(0))
+    keys = F.map_keys(first)
+    return F.when((F.size(parsed) == 1) & (F.size(keys) == F.size(F.array_distinct(keys))), first)
+
+
+def with_object(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Add `name`, the one JSON object in the text column `raw` as MAP<STRING, VARIANT>, else NULL.
+
+    Two projections, so that the text is parsed once and not once per use.
+    """
+    return df.withColumn("_parsed", parsed_text(F.col(raw))).withColumn(name, only_object(F.col("_parsed"))).drop("_parsed")
+
+
+def fenced(df: DataFrame, name: str) -> DataFrame:
+    """Pass a costly column through a one-element generator.
+
+    A filter on the column would otherwise be pushed below the projection that makes
+    it, taking a copy of the whole expression along, and every row would pay twice.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(name)).alias(name))

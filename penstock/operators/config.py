@@ -217,7 +217,7 @@ def patch_outcomes(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_R
     object, or a null for a column that must not be null; refused as a whole.
     """
     key = ["id", "workspace_id"]
-    parsed = patches.select("*", F.explode_outer(v.single_object(F.col("patch"))).alias("m"))
+    parsed = v.with_object(patches, "patch", "m")
     broken = F.col("m").isNull()
     for field in REQUIRED_FIELDS:
         value = F.col("m")[field]

@@ -28,10 +28,8 @@ def parse_raw_events(requests: DataFrame) -> DataFrame:
     """Add `m`, the JSON object in `raw` as MAP<STRING, VARIANT>; NULL when it is not one.
 
     Keeps JSON types, unknown keys and the difference between null and absent.
-    The object leaves a generator, which filters further down are not pushed
-    through, so each text is parsed once.
     """
-    return requests.select("*", F.explode_outer(v.single_object(F.col("raw"))).alias("m"))
+    return v.with_object(requests, "raw", "m")
 
 
 def explode_event_batch(bodies: DataFrame) -> DataFrame:
@@ -44,7 +42,7 @@ def explode_event_batch(bodies: DataFrame) -> DataFrame:
     events = F.when(v.is_array(fields), fields.try_cast("array<variant>"))
     outside = F.array_except(F.map_keys("_body"), F.array(F.lit("events")))
     return (
-        bodies.select("*", F.explode_outer(v.single_object(F.col("raw"))).alias("_body"))
+        v.with_object(bodies, "raw", "_body")
         .select(
             *[c for c in bodies.columns if c not in ("raw", "pos")],
             events.alias("_events"),
@@ -165,7 +163,7 @@ def validate_events(parsed: DataFrame) -> DataFrame:
     malformed = F.array(_error("body", MALFORMED_MESSAGE)).cast(schema.ERRORS)
     errors = F.concat(F.when(m.isNull(), malformed).otherwise(body), workspace)
     extras = [c for c in fields.columns if c.startswith(("_k_", "_t_")) or c == "_timestamp"]
-    return fields.withColumn("errors", errors).drop(*extras)
+    return v.fenced(fields.withColumn("errors", errors).drop(*extras), "errors")
 
 
 def valid_events(validated: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 COMMON = {
+    "shape": (
+        "concat(substr({0},1,8),'-',substr({0},9,4),'-4',substr({0},14,3),"
+        "'-a',substr({0},18,3),'-',substr({0},21,12))"
+    ),
     "uuid4": (
         "concat(substr(md5({0}),1,8),'-',substr(md5({0}),9,4),'-4',substr(md5({0}),14,3),"
         "'-a',substr(md5({0}),18,3),'-',substr(md5({0}),21,12))"
@@ -64,9 +68,9 @@ else concat('{', concat_ws(',',
         when 15 then '"event":"app.view","event":"app.view"' when 19 then null
         else concat('"event":"app.', event_type, '"') end,
     case event_id % 97 when 4 then '"correlationId":"not-a-uuid"'
-        else concat('"correlationId":"', @uuid4[concat('c', @div[event_id | 10])], '"') end,
+        else concat('"correlationId":"', @shape[hc], '"') end,
     case when event_id % 97 = 13 then '"eventId":""' when event_id % 89 = 0 then null
-        else concat('"eventId":"', @uuid4[cast(ID_SEED as string)], '"') end,
+        else concat('"eventId":"', @shape[he], '"') end,
     case event_id % 97 when 7 then '"timestamp":"2024-02-30T00:00:00Z"'
         when 20 then '"timestamp":"20240229"' when 21 then null
         else concat('"timestamp":"', @iso[ts], '"') end,
@@ -94,6 +98,9 @@ _CONTEXT = (
     "{\"medium\":\"cpc\",\"name\":\"c', event_id % 11, '\",\"source\":\"s', event_id % 5,"
     " '\"},\"locale\":\"en\"}')"
 )
+# The events with the digests behind their ids, each computed once per row.
+_HASHED = """(select *, md5(concat('c', @div[event_id | 10])) as hc, md5(cast(ID_SEED as string)) as he,
+    md5(concat('row', event_id)) as hr from {events})"""
 _RAW = _RAW.replace("PROPERTIES", _PROPERTIES).replace("CONTEXT", _CONTEXT)
 
 DERIVED = {
@@ -101,9 +108,8 @@ DERIVED = {
     "raw_events": """
         select concat('req_', event_id) as batch_id, 0 as pos, cast(0 as bigint) as arrival_seq,
             case when event_id % 97 = 11 then null else concat('ws_', @div[user_id | 3]) end as workspace_id,
-            @ms[ts | 0] as arrived_at, """ + _RAW.replace("ID_SEED", "event_id") + """ as raw
-        from {events}
-    """,
+            @ms[ts | 0] as arrived_at, """ + _RAW + """ as raw
+        from """ + _HASHED.replace("ID_SEED", "event_id"),
     # The same requests with replays 1 h, 24 h and 23 h 59 min later.
     "raw_arrivals": """
         select concat(batch_id, '_', n) as batch_id, pos, cast(n as bigint) as arrival_seq, workspace_id,
@@ -116,8 +122,8 @@ DERIVED = {
     "arrivals": """
         select event_id, workspace_id, cast(n as bigint) as arrival_seq,
             @ms[ts | case n when 0 then 0 when 1 then 3600000 when 2 then 86400000 else 86340000 end] as arrived_at
-        from (select @uuid4[cast(event_id as string)] as event_id, event_id as seed, ts,
-                concat('ws_', @div[user_id | 3]) as workspace_id, @from0[4] as n from {events})
+        from (select @shape[he] as event_id, event_id as seed, ts,
+                concat('ws_', @div[user_id | 3]) as workspace_id, @from0[4] as n from """ + _HASHED.replace("ID_SEED", "event_id") + """)
         where n = 0 or (n = 1 and seed % 7 = 0) or (n = 2 and seed % 13 = 0) or (n = 3 and seed % 91 = 0)
     """,
     # Events of a batch call: per 200 events one batch of 101 and eleven of nine.
@@ -126,9 +132,8 @@ DERIVED = {
                 case when event_id % 200 < 101 then 'big' else cast(@div[(event_id % 200 - 101) | 9] as string) end) as batch_id,
             cast(case when event_id % 200 < 101 then event_id % 200 else (event_id % 200 - 101) % 9 end as int) as pos,
             concat('ws_', @div[event_id | 200]) as workspace_id, ts, event_id, """
-    + _RAW.replace("ID_SEED", "(event_id - case when event_id % 15 = 8 then 1 else 0 end)") + """ as raw
-        from {events}
-    """,
+    + _RAW + """ as raw
+        from """ + _HASHED.replace("ID_SEED", "(event_id - case when event_id % 15 = 8 then 1 else 0 end)"),
     # The bodies, plus an empty one, one that is no array and one with a stray field per 200 events.
     "batch_bodies": """
         select batch_id, case when batch_id like '%_3' then null else min(workspace_id) end as workspace_id,
@@ -144,8 +149,8 @@ DERIVED = {
     """,
     # Stored rows, typed straight from the events.
     "stored": """
-        select @uuid4[concat('row', event_id)] as id, concat('ws_', @div[user_id | 3]) as workspace_id,
-            @uuid4[cast(event_id as string)] as event_id, @uuid4[concat('c', @div[event_id | 10])] as correlation_id,
+        select @shape[hr] as id, concat('ws_', @div[user_id | 3]) as workspace_id,
+            @shape[he] as event_id, @shape[hc] as correlation_id,
             concat('app.', event_type) as event_name,
             case event_id % 3 when 0 then 'web' when 1 then 'mobile' else 'server' end as source, '1.0' as version,
             case when event_id % 10 = 9 then null else concat('user_', user_id) end as user_id,
@@ -155,8 +160,7 @@ DERIVED = {
             """ + _PROPERTIES + """ as properties,
             case when event_id % 3 = 0 then """ + _CONTEXT + """ else '{}' end as context,
             @ms[ts | 0] as received_at, @ms[ts | event_id % 5000] as ingested_at, @iso[ts] as received_text
-        from {events}
-    """,
+        from """ + _HASHED.replace("ID_SEED", "event_id"),
     # Three pipelines per workspace, one customer each.
     "pipelines": """
         select @uuid4[concat('p', c)] as id, concat('ws_', @div[c | 3]) as workspace_id,

@@ -382,6 +382,12 @@ def oracle_sql() -> dict[str, str]:
         "apply_patches": APPLY,
         "encrypt_column": f"""select id, cast(24 as integer) as iv_digits, cast(16 as integer) as tag_bytes, true as hidden
             from {d('destinations')}""",
+        "decrypt_column": f"""select id, case when substr(md5(id), 1, 1) < '5' then null else config end as config
+            from {d('destinations')}""",
+        "credentials_updated": f"""select id, case when changed then 'Renamed ' || name else name end as name, type,
+            case when changed and substr(md5(id), 2, 1) < '5' then '{{"token":"new"}}' else config end as config,
+            epoch_ms(case when changed then {AS_OF} else updated_at end) as updated_at_ms
+            from (select *, substr(md5(id), 1, 1) < '8' as changed from {d('destinations')})""",
         "retry_schedule": f"""select id, attempt_number, cast(least(1000 * power(2, attempt_number - 1), 30000) as bigint) as delay_ms,
             false as exhausted, epoch_ms(attempted_at) + cast(least(1000 * power(2, attempt_number - 1), 30000) as bigint) as next_attempt_at_ms
             from {d('attempts')} where status = 'failed'""",
@@ -447,6 +453,8 @@ def oracle_sql() -> dict[str, str]:
         "throughput_series": throughput(),
         "active_users": f"""select epoch_ms(date_trunc('day', received_at)) as bucket_ms, workspace_id,
             count(distinct coalesce(user_id, anonymous_id)) as users from {d('stored')} group by 1, 2""",
+        "active_users_approx": f"""select epoch_ms(date_trunc('day', received_at)) as bucket_ms, workspace_id,
+            count(distinct coalesce(user_id, anonymous_id)) as users, true as close from {d('stored')} group by 1, 2""",
         "read_model": f"""select cast(cast(received_at as date) as varchar) as day, workspace_id, event_name, count(*) as events,
             count(distinct coalesce(user_id, anonymous_id)) as users,
             cast(sum(cast(properties->>'$.total' as bigint)) as bigint) as total,

@@ -298,14 +298,29 @@ def encrypt_column(spark, sf):
 
 @query
 def decrypt_column(spark, sf):
-    """Round trip; the ciphertext of every third row is tampered with and comes back NULL."""
-    sealed = sealed_destinations(spark, sf)
-    broken = F.concat(F.expr("substring(encrypted_config, 1, length(encrypted_config) - 4)"), F.lit("ffff"))
-    mixed = sealed.withColumn(
-        "encrypted_config", F.when(F.crc32("id") % 3 == 0, broken).otherwise(F.col("encrypted_config"))
+    """Round trip; tampered rows (about a third, by the digest of their id) come back NULL."""
+    tail = F.expr("right(encrypted_config, 4)")
+    broken = F.concat(
+        F.expr("left(encrypted_config, length(encrypted_config) - 4)"),
+        F.translate(tail, "0123456789abcdef", "fedcba9876543210"),
     )
-    opened = config.decrypt_column(mixed, F.lit(KEY_HEX))
-    return opened.select("id", "config")
+    tampered = F.substring(F.md5("id"), 1, 1) < "5"
+    mixed = sealed_destinations(spark, sf).withColumn(
+        "encrypted_config", F.when(tampered, broken).otherwise(F.col("encrypted_config"))
+    )
+    return config.decrypt_column(mixed, F.lit(KEY_HEX)).select("id", "config")
+
+
+@query
+def credentials_updated(spark, sf):
+    """Half of the destinations get a new name, and a third of those new credentials."""
+    changes = fixture(spark, sf, "destinations").filter(F.substring(F.md5("id"), 1, 1) < "8").select(
+        "id", "workspace_id", F.concat(F.lit("Renamed "), F.col("name")).alias("name"),
+        F.lit(None).cast("string").alias("type"),
+        F.when(F.substring(F.md5("id"), 2, 1) < "5", F.lit('{"token":"new"}')).alias("config"),
+    )
+    changed = config.reencrypt_changed(sealed_destinations(spark, sf), changes, F.lit(KEY_HEX), as_of())
+    return config.decrypt_column(changed, F.lit(KEY_HEX)).select("id", "name", "type", "config", ms("updated_at"))
 
 
 @query
@@ -524,7 +539,13 @@ def active_users(spark, sf):
 
 @query
 def active_users_approx(spark, sf):
-    return metrics.active_users_approx(fixture(spark, sf, "stored")).select(ms("bucket"), "workspace_id", "users")
+    """The sketch next to the exact count: within three standard errors, or one person."""
+    store = fixture(spark, sf, "stored")
+    both = metrics.active_users(store).join(
+        metrics.active_users_approx(store, rsd=0.02).withColumnRenamed("users", "estimate"), ["bucket", "workspace_id"]
+    )
+    allowed = F.greatest(F.lit(1.0), F.col("users") * 0.06)
+    return both.select(ms("bucket"), "workspace_id", "users", (F.abs(F.col("users") - F.col("estimate")) <= allowed).alias("close"))
 
 
 @query
