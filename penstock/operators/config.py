@@ -14,7 +14,7 @@ from penstock.operators.requests import (
     parse_raw_events,
     unknown_field_errors,
 )
-from penstock.operators.skew import HOT_ROWS, lookup_join, previous_value, with_slices
+from penstock.operators.skew import HOT_ROWS, lookup_join, previous_value
 
 PUBLIC_DESTINATION = ("id", "workspace_id", "name", "type", "created_at", "updated_at")
 
@@ -225,8 +225,8 @@ def patch_outcomes(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_R
     known = current.select(*key, F.lit(True).alias("_known"))
     rows = lookup_join(parsed.withColumn("_broken", broken), known, key, "left", spread=["version"])
     life = F.when(~F.col("_broken") & F.col("op").isin("create", "delete"), F.col("op"))
-    sliced = with_slices(rows, key, F.floor(F.col("version") / 100_000) + 1, hot_rows)
-    seen = previous_value(sliced, key, ["version"], life, "_life")
+    part = F.floor(F.col("version") / 100_000)
+    seen = previous_value(rows, key, ["version"], life, "_life", part, hot_rows)
     alive = F.when(F.col("_life").isNotNull(), F.col("_life") == "create").otherwise(
         F.coalesce("_known", F.lit(False))
     )
@@ -236,7 +236,7 @@ def patch_outcomes(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_R
         .when((F.col("op") != "create") & ~alive, "not_found")
         .otherwise("applied")
     )
-    return seen.withColumn("outcome", outcome).drop("_broken", "_known", "_life", "_slice")
+    return seen.withColumn("outcome", outcome).drop("_broken", "_known", "_life")
 
 
 def apply_patches(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penstock.operators.skew import HOT_ROWS, previous_value, with_slices
+from penstock.operators.skew import HOT_ROWS, previous_value
 
 
 def event_counts(store: DataFrame) -> DataFrame:
@@ -24,8 +24,7 @@ def correlation_trace(
     """Events of one correlation id, or of all, with the gap in ms to the event before."""
     rows = store if correlation_id is None else store.filter(F.col("correlation_id") == correlation_id)
     hour = F.floor(F.unix_millis("received_at") / 3_600_000)
-    sliced = with_slices(rows, ["correlation_id"], hour, hot_rows)
     traced = previous_value(
-        sliced, ["correlation_id"], ["received_at", "event_id"], F.unix_millis("received_at"), "_before"
+        rows, ["correlation_id"], ["received_at", "event_id"], F.unix_millis("received_at"), "_before", hour, hot_rows
     )
-    return traced.withColumn("gap_ms", F.unix_millis("received_at") - F.col("_before")).drop("_before", "_slice")
+    return traced.withColumn("gap_ms", F.unix_millis("received_at") - F.col("_before")).drop("_before")

@@ -23,26 +23,25 @@ def route_topics(messages: DataFrame, bindings: DataFrame, hot_rows: int = HOT_R
     """Add `queue`: one row per message and queue with a binding that matches its routing key.
 
     Patterns meet distinct routing keys, not messages: a key is matched once however
-    many messages carry it. A binding can only match a key whose first word is its
-    own first word, unless that is a wildcard, so both sides join on the first word
-    and the regular expression decides among those. The result then joins back to
-    the messages by key. A message that several bindings send to one queue reaches
-    it once.
+    many messages carry it. Both sides join on the literal words a pattern starts and
+    ends with: a key of n words offers its (n + 1)² pairs of ends, so the regular
+    expression only decides what lies between. The result joins back to the messages
+    by key. A message that several bindings send to one queue reaches it once.
     """
-    keys = messages.select("routing_key").distinct()
-    by_head = keys.select(
-        "routing_key",
-        topics.dotted(F.col("routing_key")).alias("_dotted"),
-        F.explode(F.array(F.substring_index("routing_key", ".", 1), F.lit("*"))).alias("_head"),
+    prefixes, suffixes = topics.possible_ends(F.col("routing_key"))
+    ends = ["_prefix", "_suffix"]
+    keys = (
+        messages.select("routing_key")
+        .distinct()
+        .select("routing_key", topics.dotted(F.col("routing_key")).alias("_dotted"), F.explode(prefixes).alias("_prefix"))
+        .select("*", F.explode(suffixes).alias("_suffix"))
     )
-    first = F.substring_index("pattern", ".", 1)
+    prefix, suffix = topics.literal_ends(F.col("pattern"))
     patterns = bindings.select(
-        "queue",
-        topics.topic_regex(F.col("pattern")).alias("_regex"),
-        F.when(first.isin("*", "#"), "*").otherwise(first).alias("_head"),
+        "queue", topics.topic_regex(F.col("pattern")).alias("_regex"), prefix.alias("_prefix"), suffix.alias("_suffix")
     )
     routes = (
-        lookup_join(by_head, patterns, ["_head"], "inner", spread=["routing_key"], hot_rows=hot_rows)
+        lookup_join(keys, patterns, ends, "inner", spread=["routing_key"], hot_rows=hot_rows)
         .filter(F.rlike("_dotted", F.col("_regex")))
         .select("routing_key", "queue")
         .distinct()

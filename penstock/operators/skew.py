@@ -82,37 +82,37 @@ def lookup_join(
     return salted_join(facts, dimension, on, how, spread, hot_rows=hot_rows)
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], slice_of: Column, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add `_slice`: `slice_of` (BIGINT, rising with the order) for hot keys, 0 for all others."""
-    hot = hot_keys(df, keys, hot_rows)
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_slice", F.when(F.col("_splits").isNotNull(), slice_of).otherwise(F.lit(0)))
-        .drop("_splits")
-    )
-
-
 def previous_value(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    slice_of: Column,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `name`: the last non-null `value` strictly before each row within its key.
 
-    `sliced` comes from `with_slices`. Each window task sees one slice of one key;
-    the last value of every slice of a hot key is carried forward to later slices
-    over a frame with one row per slice.
+    A hot key is cut into slices by `slice_of`, a BIGINT that rises with the order;
+    all other keys are one slice. Each window task sees one slice. The last value of
+    every slice is carried to the later ones over a frame with one row per slice of
+    a hot key, which is empty, and skipped at run time, when no key is hot.
     """
     keys = list(keys)
+    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    marked = df.withColumn("_value", value)
+    sliced = marked.join(hot, keys, "left").withColumn(
+        "_slice", F.when(F.col("_splits").isNotNull(), slice_of)
+    ).drop("_splits")
     inside = (
         Window.partitionBy(*keys, "_slice")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    marked = sliced.withColumn("_value", value)
-    local = marked.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
+    local = sliced.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
     per_slice = (
-        marked.filter(F.col("_slice") != 0)
+        marked.join(hot, keys, "inner")
+        .withColumn("_slice", slice_of)
         .groupBy(*keys, "_slice")
         .agg(
             F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last")
@@ -125,5 +125,5 @@ def previous_value(
     return (
         local.join(carried, [*keys, "_slice"], "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop("_value", "_local", "_carried")
+        .drop("_value", "_local", "_carried", "_slice")
     )

@@ -46,12 +46,20 @@ def error_text() -> Column:
     ).alias("errors")
 
 
+def raw_requests(spark: SparkSession, sf: str, name: str = "raw_events") -> DataFrame:
+    return tables.spread(fixture(spark, sf, name), "batch_id")
+
+
+def stored_events(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.spread(fixture(spark, sf, "stored"), "event_id")
+
+
 # --- requests -----------------------------------------------------------------------------
 
 
 @query
 def parse_raw_events(spark, sf):
-    parsed = requests.parse_raw_events(fixture(spark, sf, "raw_events"))
+    parsed = requests.parse_raw_events(raw_requests(spark, sf))
     m = F.col("m")
     return parsed.select(
         "batch_id",
@@ -75,19 +83,19 @@ def explode_event_batch(spark, sf):
 
 @query
 def validate_events(spark, sf):
-    validated = ingestion.validated_requests(fixture(spark, sf, "raw_events"))
+    validated = ingestion.validated_requests(raw_requests(spark, sf))
     return validated.select("batch_id", F.size("errors").alias("n_errors"), error_text())
 
 
 @query
 def valid_events(spark, sf):
-    validated = ingestion.validated_requests(fixture(spark, sf, "raw_events"))
+    validated = ingestion.validated_requests(raw_requests(spark, sf))
     return requests.valid_events(validated).select("batch_id", "workspace_id", ms("arrived_at"))
 
 
 @query
 def quarantine_events(spark, sf):
-    validated = ingestion.validated_requests(fixture(spark, sf, "raw_events"))
+    validated = ingestion.validated_requests(raw_requests(spark, sf))
     return requests.quarantine_events(validated).select(
         "batch_id", "workspace_id", "status_code", "error", F.array_join("message", "; ").alias("message"),
         "correlation_id", "raw",
@@ -102,12 +110,12 @@ def batch_admission(spark, sf):
 
 @query
 def reject_summary(spark, sf):
-    return requests.reject_summary(ingestion.validated_requests(fixture(spark, sf, "raw_events")))
+    return requests.reject_summary(ingestion.validated_requests(raw_requests(spark, sf)))
 
 
 @query
 def normalize_events(spark, sf):
-    valid = requests.valid_events(ingestion.validated_requests(fixture(spark, sf, "raw_events")))
+    valid = requests.valid_events(ingestion.validated_requests(raw_requests(spark, sf)))
     return ingest.normalize_events(valid).select(
         "id", "workspace_id", "event_id", "correlation_id", "event_name", "source", "version", "user_id",
         "anonymous_id", "session_id", "properties", "context", "received_text", ms("received_at"), ms("ingested_at"),
@@ -116,7 +124,7 @@ def normalize_events(spark, sf):
 
 @query
 def correlation_fill(spark, sf):
-    parsed = requests.parse_raw_events(fixture(spark, sf, "raw_events"))
+    parsed = requests.parse_raw_events(raw_requests(spark, sf))
     rows = parsed.withColumn("correlation_id", v.text(F.col("m")["correlationId"]))
     return ingest.correlation_fill(rows, "batch_id", "pos").select("batch_id", "correlation_id")
 
@@ -146,7 +154,7 @@ def already_ingested(spark, sf):
 @query
 def events_store(spark, sf):
     path = scratch_dir(spark, "events_store")
-    run = ingestion.ingest_requests(fixture(spark, sf, "raw_arrivals"))
+    run = ingestion.ingest_requests(raw_requests(spark, sf, "raw_arrivals"))
     tables.append_events(run.stored, path)
     return tables.read_events(spark, path).select(
         "id", "event_id", "workspace_id", "event_name", F.col("received_date").cast("string").alias("received_date"),
@@ -157,7 +165,7 @@ def events_store(spark, sf):
 @query
 def event_counts(spark, sf):
     """Accepted events per workspace and name, from raw text to counts."""
-    run = ingestion.ingest_requests(fixture(spark, sf, "raw_arrivals"))
+    run = ingestion.ingest_requests(raw_requests(spark, sf, "raw_arrivals"))
     return feeds.event_counts(run.stored)
 
 
@@ -338,13 +346,13 @@ def profiles(spark: SparkSession, sf: str) -> dict[str, steps.Enrichment]:
 
 def executed_rows(spark: SparkSession, sf: str) -> DataFrame:
     typed = steps.typed_pipelines(fixture(spark, sf, "pipelines"), fixture(spark, sf, "destinations"))
-    matched = steps.trigger_match(fixture(spark, sf, "stored"), typed)
+    matched = steps.trigger_match(stored_events(spark, sf), typed)
     return steps.run_steps(matched, profiles(spark, sf))
 
 
 def matched_rows(spark: SparkSession, sf: str) -> DataFrame:
     typed = steps.typed_pipelines(fixture(spark, sf, "pipelines"))
-    return steps.with_props(steps.trigger_match(fixture(spark, sf, "stored"), typed))
+    return steps.with_props(steps.trigger_match(stored_events(spark, sf), typed))
 
 
 def props_columns() -> list[Column]:

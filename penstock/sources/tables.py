@@ -13,6 +13,15 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "raw")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hand an input with fewer splits than cores (an unsplittable file) to all cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def append_events(stored: DataFrame, path: str) -> None:
     """Append accepted rows, partitioned by the day of the event.
 
