@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from penstock import schema
 from penstock.functions import ids, times
 from penstock.functions import variants as v
-from penstock.operators.skew import HOT_ROWS, salted_join, splits_of
+from penstock.operators.skew import HOT_ROWS, parts, salted_join, splits_of
 
 ROUTING_KEY = "event.ingested"
 ENVELOPE_SOURCE = "ingestion"
@@ -94,8 +94,8 @@ def dedupe_status(
     first = arrivals.groupBy("event_id").agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    hot = splits_of(first, ["event_id"], hot_rows)
-    first = first.drop("_n")
+    hot = splits_of(first, ["event_id"], hot_rows, also=["_first"])
+    first = first.withColumn("_splits", parts(hot_rows)).drop("_n")
     if store is not None:
         stored = store.groupBy("event_id").agg(F.min("ingested_at").alias("_stored_at"))
         first = first.join(stored, "event_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from penstock import schema
 from penstock.functions import ids, times
 from penstock.functions import variants as v
-from penstock.operators.skew import HOT_ROWS, salted_join, splits_of
+from penstock.operators.skew import HOT_ROWS, parts, salted_join, splits_of
 
 # Texts of the validation errors.
 EVENT_NAME = r"\A[a-z][a-z0-9]*(\.[a-z][a-z0-9]*)+\z"
@@ -223,11 +223,11 @@ def batch_admission(validated: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     )
     return salted_join(
         validated,
-        per_batch.drop("_n"),
+        per_batch.withColumn("_splits", parts(hot_rows)).drop("_n"),
         ["batch_id"],
         "left",
         spread=["pos"],
-        hot=splits_of(per_batch, ["batch_id"], hot_rows),
+        hot=splits_of(per_batch, ["batch_id"], hot_rows, also=["admitted"]),
     )
 
 

@@ -23,11 +23,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return splits_of(counted, keys, hot_rows)
 
 
-def splits_of(counted: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """As `hot_keys`, from a frame that already has one row per key and its count `_n`."""
-    return counted.filter(F.col("_n") >= hot_rows).select(
-        *keys, (F.floor(F.col("_n") / hot_rows) + 1).cast("int").alias("_splits")
-    )
+def splits_of(
+    counted: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, also: Sequence[str] = ()
+) -> DataFrame:
+    """As `hot_keys`, from a frame that already has one row per key and its count `_n`.
+
+    `also` names measures of that frame that are never null. Asking for them here
+    keeps them in the aggregate, which makes its shuffle the same as that of the join
+    that needs the measures, so Spark runs it once.
+    """
+    hot = F.col("_n") >= hot_rows
+    for measure in also:
+        hot = hot & F.col(measure).isNotNull()
+    return counted.filter(hot).select(*keys, parts(hot_rows).alias("_splits"))
+
+
+def parts(hot_rows: int) -> Column:
+    """Number of parts for a key of `_n` rows."""
+    return F.when(F.col("_n") >= hot_rows, F.floor(F.col("_n") / hot_rows) + 1).otherwise(1).cast("int")
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -47,7 +60,8 @@ def salted_join(
 ) -> DataFrame:
     """Shuffle join in which the left rows of a hot key are cut into parts.
 
-    `right` repeats its rows of a hot key once per part, and only those rows.
+    `right` repeats its rows of a hot key once per part, and only those rows; it may
+    bring the number of parts along as `_splits`.
     `spread` names left columns that tell rows of one key apart; their hash picks
     the part, so a recomputed task picks the same one. `how` is inner, left,
     left_semi or left_anti.
@@ -61,7 +75,8 @@ def salted_join(
         F.pmod(F.xxhash64(*spread), F.coalesce("_splits", F.lit(1))).cast("int")
     )
     cut = left.join(hot, on, "left").withColumn("_part", part).drop("_splits")
-    copies = right.join(hot, on, "left").withColumn(
+    sized = right if "_splits" in right.columns else right.join(hot, on, "left")
+    copies = sized.withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))
     ).drop("_splits")
     return cut.join(copies, [*on, "_part"], how).drop("_part")
