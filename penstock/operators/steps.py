@@ -53,8 +53,17 @@ class Enrichment:
 # --- config side --------------------------------------------------------------------------
 
 
+def _parsed_step(step: Column) -> Column:
+    """A step with its config parsed, once, for the many uses in `_typed_step`."""
+    return F.struct(
+        step.id.alias("id"),
+        step.type.alias("type"),
+        F.from_json(step.config, "map<string,variant>").alias("config"),
+    )
+
+
 def _typed_step(step: Column) -> Column:
-    config = F.from_json(step.config, "map<string,variant>")
+    config = step.config
     shorthand = F.transform(
         F.filter(F.map_keys(config), lambda k: k.rlike("^min[A-Z]")),
         lambda k: F.struct(
@@ -92,7 +101,7 @@ def typed_pipelines(pipelines: DataFrame, destinations: DataFrame | None = None)
         F.col("id").alias("pipeline_id"),
         "workspace_id",
         F.array_distinct("trigger.events").alias("trigger_events"),
-        F.transform("steps", _typed_step).alias("steps"),
+        F.transform(F.transform("steps", _parsed_step), _typed_step).alias("steps"),
     )
     if destinations is None:
         return typed
