@@ -110,17 +110,22 @@ def _step_errors(step: Column, index: Column) -> Column:
     return F.when(is_object, F.concat(inside, unknown)).otherwise(whole)
 
 
-def validate_pipelines(requests: DataFrame) -> DataFrame:
+def validate_pipelines(requests: DataFrame, partial: bool = False) -> DataFrame:
     """Add `m` and `errors` to submitted pipeline definitions (raw JSON text).
 
     A missing trigger is an error here: the store would refuse it. Steps may be empty.
+    With `partial`, as for updates, any field may be absent or null.
     """
     m = F.col("m")
+
+    def skipped(field: str) -> Column:
+        return v.absent(m[field]) if partial else F.lit(False)
+
     trigger = m["trigger"].try_cast("map<string,variant>")
     events = F.when(v.is_array(trigger["events"]), trigger["events"].try_cast("array<variant>"))
     steps = F.when(v.is_array(m["steps"]), m["steps"].try_cast("array<variant>"))
     none = F.array().cast(schema.ERRORS)
-    trigger_errors = F.when(
+    trigger_errors = F.when(skipped("trigger"), none).when(
         v.is_object(m["trigger"]),
         _at(
             "trigger",
@@ -139,12 +144,12 @@ def validate_pipelines(requests: DataFrame) -> DataFrame:
     body = F.concat(
         collect_errors(
             [
-                ("name", "name must be a string", v.is_string(m["name"])),
+                ("name", "name must be a string", skipped("name") | v.is_string(m["name"])),
                 ("description", "description must be a string", v.absent(m["description"]) | v.is_string(m["description"])),
             ]
         ),
         trigger_errors,
-        collect_errors([("steps", "steps must be an array", steps.isNotNull())]),
+        collect_errors([("steps", "steps must be an array", skipped("steps") | steps.isNotNull())]),
         F.coalesce(F.flatten(F.transform(steps, _step_errors)), none),
         collect_errors(
             [("enabled", "enabled must be a boolean value", v.absent(m["enabled"]) | v.is_boolean(m["enabled"]))]
@@ -154,19 +159,23 @@ def validate_pipelines(requests: DataFrame) -> DataFrame:
     return _with_errors(requests, body)
 
 
-def validate_destinations(requests: DataFrame) -> DataFrame:
-    """Add `m` and `errors` to submitted destinations (raw JSON text)."""
+def validate_destinations(requests: DataFrame, partial: bool = False) -> DataFrame:
+    """Add `m` and `errors` to submitted destinations (raw JSON text); `partial` as for pipelines."""
     m = F.col("m")
+
+    def skipped(field: str) -> Column:
+        return v.absent(m[field]) if partial else F.lit(False)
+
     body = F.concat(
         collect_errors(
             [
-                ("name", "name must be a string", v.is_string(m["name"])),
+                ("name", "name must be a string", skipped("name") | v.is_string(m["name"])),
                 (
                     "type",
                     f"type {_one_of(schema.DESTINATION_TYPES)}",
-                    v.is_string(m["type"]) & v.text(m["type"]).isin(*schema.DESTINATION_TYPES),
+                    skipped("type") | (v.is_string(m["type"]) & v.text(m["type"]).isin(*schema.DESTINATION_TYPES)),
                 ),
-                ("config", "config must be an object", v.is_object(m["config"])),
+                ("config", "config must be an object", skipped("config") | v.is_object(m["config"])),
             ]
         ),
         unknown_field_errors(F.map_keys(m), ("name", "type", "config")),

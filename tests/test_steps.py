@@ -120,3 +120,15 @@ def test_defaults_of_definitions(spark):
     df = spark.createDataFrame([("r", "w", body)], "request_id string, workspace_id string, raw string")
     row = config.pipeline_rows(config.validate_pipelines(df), F.current_timestamp()).first()
     assert row["enabled"] is True and row["description"] is None and row["steps"] == []
+
+
+def test_updates_may_leave_fields_out(spark):
+    bodies = ["{}", '{"name":null}', '{"name":1}', '{"type":"ftp"}', '{"config":[]}', '{"iv":"0"}', '{"steps":{}}', '{"trigger":{"type":"event","events":[]}}']
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "request_id string, raw string")
+
+    def fields(validated):
+        return [sorted(e["field"] for e in r["errors"]) for r in validated.orderBy("request_id").collect()]
+
+    assert fields(config.validate_destinations(df, partial=True)) == [[], [], ["name"], ["type"], ["config"], ["iv"], ["steps"], ["trigger"]]
+    assert fields(config.validate_pipelines(df, partial=True)) == [[], [], ["name"], ["type"], ["config"], ["iv"], ["steps"], ["trigger.events"]]
+    assert fields(config.validate_destinations(df.filter("request_id = '0'"))) == [["config", "name", "type"]]
