@@ -43,14 +43,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size in words."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (a hash of the text), source, size in words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.col("doc_id"), F.hash(text).alias("tag"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
+    )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per document.
+    """doc_id, tag, source, size, source_size, target, copies, taken: one row per document.
 
     Every document of a source is expected `rate` = target / source size times. The
     documents of a source stand in the order of size (largest first) and id; the
@@ -87,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> D
     upper = F.floor((F.col("before") + F.col("rank")) * F.col("rate") + F.col("offset"))
     lower = F.floor((F.col("before") + F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     return joined.withColumn("copies", upper - lower).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "tag", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
