@@ -20,13 +20,18 @@ WINDOW = 13
 #: Rows of the benchmark side up to which it is sent to every executor; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words after lower-casing A-Z alone."""
-    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Words as written; `lowered` turns each into the form that is compared."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def lowered(word: Column | str) -> Column:
+    """A-Z alone in lower case. Words of ASCII characters take the cheap way."""
+    word = F.col(word) if isinstance(word, str) else word
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def _beside(small: DataFrame, rows: int) -> DataFrame:
@@ -38,7 +43,7 @@ def item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFram
     words = words_of(F.coalesce(F.col("text"), F.lit("")))
     items = (
         benchmark.where("item_id is not null")
-        .select(F.col("item_id").cast("string").alias("item"), F.xxhash64("text").alias("mark"), words.alias("words"))
+        .select(F.col("item_id").cast("string").alias("item"), F.xxhash64("text").alias("mark"), F.transform(words, lowered).alias("words"))
         .where(F.size("words") > 0).distinct().withColumn("span", F.least(F.size("words"), F.lit(window)))
     )
     starts = items.select("item", "mark", "words", "span", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("span"))).alias("start"))
@@ -62,7 +67,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     known = _beside(vocabulary, vocabulary.count())
     counts = staged(
-        tokens.select(F.explode("words").alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("n")), "item-word-counts"
+        tokens.select(F.explode("words").alias("word")).select(lowered("word").alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("n")), "item-word-counts"
     )
     rarest = members.join(counts, "word").groupBy("item", "mark", "span", "start").agg(
         F.min(F.struct("n", "word", "at")).alias("rarest"), F.count("*").alias("found")
@@ -75,6 +80,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
     placed = tokens.select("doc", "tag", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    placed = placed.withColumn("word", lowered("word"))
     met = placed.join(_beside(prefixes, prefixes.count()), "word").where("pos >= before and n - pos >= after")
     spots = staged(
         met.select("doc", "tag", F.struct("item", "mark", (F.col("pos") - F.col("place")).alias("shift")).alias("spot"))
@@ -87,7 +93,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         "spots",
         lambda s: F.struct(
             s["item"].alias("item"), s["mark"].alias("mark"), F.greatest(s["shift"], F.lit(0)).alias("first"), F.greatest(-s["shift"], F.lit(0)).alias("skip"),
-            F.slice(F.col("words"), F.greatest(s["shift"], F.lit(0)) + 1, F.lit(longest)).alias("got"),
+            F.transform(F.slice(F.col("words"), F.greatest(s["shift"], F.lit(0)) + 1, F.lit(longest)), lowered).alias("got"),
         ),
     )
     wordy = docs.join(spots, ["doc", "tag"], "left").select("doc", "tag", "spots", words_of(F.col("text")).alias("words"))
@@ -95,13 +101,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     laid = read.where("stretches is not null").select("doc", "tag", F.explode("stretches").alias("s")).select("doc", "tag", "s.*")
     laid = laid.join(_beside(items, items.count()), ["item", "mark"])
-    same = F.zip_with("got", F.slice("words", F.col("skip") + 1, F.size("words")), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    laid = laid.select("doc", "tag", "item", "first", "span", same.alias("same"))
-    whole = F.filter(
-        F.sequence(F.lit(0), F.size("same") - F.col("span")),
-        lambda at: ~F.exists(F.slice("same", at + 1, F.col("span")), lambda x: ~x),
-    )
-    laid = laid.where("size(same) >= span").withColumn("starts", whole).where("size(starts) > 0")
+    # one character a word: 1 where both agree
+    same = F.array_join(F.zip_with("got", F.slice("words", F.col("skip") + 1, F.size("words")), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+    laid = laid.select("doc", "tag", "item", "first", "span", same.alias("same"), F.repeat(F.lit("1"), F.col("span")).alias("whole"))
+    laid = laid.where(F.instr("same", F.col("whole")) > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.length("same") - F.col("span")), lambda at: F.substr("same", at + 1, F.col("span")) == F.col("whole"))
+    laid = laid.withColumn("starts", starts)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + F.col("span") - 1))))
     hits = laid.select("doc", "tag", "item", F.explode(covered).alias("at"), "first").groupBy("doc", "tag").agg(
         F.collect_set(F.col("first") + F.col("at")).alias("hit"), F.collect_set("item").alias("items")
