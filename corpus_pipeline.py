@@ -15,7 +15,7 @@ from penstock.llm.common import NO_ID, keyed, staged, table
 from penstock.llm.decontaminate import contamination
 from penstock.llm.mixing import mix
 from penstock.llm.pii import pseudonym_key, pseudonymised
-from penstock.llm.simhash import near_duplicates
+from penstock.llm.simhash import NAMELESS, near_duplicates
 from penstock.llm.toxicity import THRESHOLD, fit, scored
 
 
@@ -36,19 +36,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id, once."""
+    """One document of each group of near duplicates: the one of the smallest id, once.
+
+    Of a group in which no row has an id, one row stays; of several texts under the
+    id that stays, one.
+    """
     found = near_duplicates(keyed(docs))
-    copies = staged(found.where("doc != component").select("doc", "tag"), "near-copies")
-    kept = _without(docs, copies)
-    names = kept.columns
-    # an id that occurs again, with the same text or a near one, is a copy as well
-    order = F.struct(F.hash("text").alias("h"), "text")
-    again = staged(keyed(kept).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1"), "ids-again")
+    first = found.where(F.col("component") >= NAMELESS).groupBy("component").agg(F.min("tag").alias("first"))
+    found = found.join(staged(first, "nameless-groups"), "component", "left")
+    copies = found.where(F.when(F.col("first").isNull(), F.col("doc") != F.col("component")).otherwise(F.col("tag") != F.col("first")))
+    kept = _without(docs, staged(copies.select("doc", "tag"), "near-copies"))
+    # what is left of an id, or of a text without one, is one document
+    own = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    again = staged(kept.groupBy(own.alias("own")).agg(F.count("*").alias("n")).where("n > 1").select("own"), "again")
     if not again.take(1):
         return kept
-    mine = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    single = kept.join(again, mine == again.doc, "left_anti")
-    several = kept.join(again, mine == again.doc, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), order).alias("row"))
+    single = kept.join(again, own.eqNullSafe(F.col("own")), "left_anti")
+    order = F.struct(F.hash("text").alias("h"), "text")
+    several = kept.join(again, own.eqNullSafe(F.col("own")), "left_semi").groupBy(own.alias("own")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
     return single.unionByName(several.select("row.*"))
 
 

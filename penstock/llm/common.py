@@ -71,10 +71,6 @@ def dropped(*stages: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
-
-
 class WordHashes(dict):
     """word -> its 64-bit hash; forgets everything at a fixed size."""
 

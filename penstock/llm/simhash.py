@@ -26,9 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstock.llm.common import dropped, is_empty, keyed, shown_id, staged, table
+from penstock.llm.common import NO_ID, dropped, keyed, shown_id, staged, table
 
 BITS, SEGMENTS = 64, 16
+#: Node ids from here on stand for fingerprints of rows without an id.
+NAMELESS = 2**62
 #: Fingerprints of one key from which they meet at flipped values, not in pairs.
 DENSE = 32
 
@@ -71,11 +73,10 @@ def _turned(by: int) -> Column:
     return value if by == 0 else F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, BITS - by))
 
 
-def _on_ring(difference: Column, start: Column, max_diff: int) -> Column:
-    """Whether every chain from segment `start` stays within its share; the last is the Hamming check."""
+def _on_ring(max_diff: int) -> Column:
+    """Whether every chain of the difference x from segment s on stays within its share; the last is the Hamming check."""
     wide = BITS // SEGMENTS
     turned = F.expr(f"shiftleft(x, int(s * {wide})) | if(s = 0, 0L, shiftrightunsigned(x, int({BITS} - s * {wide})))")
-    del difference, start
     holds = F.lit(True)
     for chain in range(1, SEGMENTS + 1):
         inside = F.bit_count(F.shiftrightunsigned(turned, BITS - chain * wide))
@@ -99,7 +100,7 @@ def near_links(nodes: DataFrame, max_diff: int = 2) -> DataFrame:
     left = few.select("s", "key", F.col("print").alias("p"), F.col("node").alias("a"))
     right = few.select("s", "key", F.col("print").alias("q"), F.col("node").alias("b"))
     pairs = left.join(right, ["s", "key"]).where("p < q").withColumn("x", F.col("p").bitwiseXOR(F.col("q")))
-    pairs = pairs.where(_on_ring(F.col("x"), F.col("s"), max_diff)).select("a", "b")
+    pairs = pairs.where(_on_ring(max_diff)).select("a", "b")
 
     dense = busy.where(F.col("n") >= DENSE).select("print", "node").distinct()
     flips = [F.lit(0).cast("long"), *[F.lit(int(np.int64(np.uint64(1 << b)) if b < 63 else -(2**63))) for b in range(BITS)]]
@@ -124,15 +125,6 @@ def components(links: DataFrame) -> DataFrame:
     of the longest path. Minima come pre-aggregated, and a hot node's links are split
     at the join.
     """
-
-    def star(pairs: DataFrame, label: str) -> DataFrame:
-        """Hand v to the smallest of u's neighbours and u itself, for (u, v) in `pairs`."""
-        low = staged(pairs.groupBy("u").agg(F.min("v").alias("low")), f"{label}-low")
-        handed = pairs.join(low, "u").select(F.col("v").alias("a"), F.least("u", "low").alias("b"))
-        out = staged(handed.where("a != b").distinct(), label)
-        dropped(low)
-        return out
-
     now = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     before = None
     while True:
@@ -156,27 +148,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, seed: int = 42) -> DataFrame:
-    """doc, tag, print, component for keyed rows; component is the smallest doc reachable over links.
+    """doc, tag, print, component for keyed rows; component is the smallest id reachable over links.
 
     Rows of one id are one document: what either links to, the other reaches. Texts
-    without words have fingerprint zero and link like others. A null id takes part
-    as the smallest one. An empty table gives an empty result.
+    without words have fingerprint zero and link like others. Rows with a null id
+    link as well but name no component; one that reaches no id gets a component of
+    at least NAMELESS. Ids are below that. An empty table gives an empty result.
     """
     prints = staged(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = staged(prints.groupBy("print").agg(F.min("doc").alias("node")), "nodes")
+    named = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    nameless = F.lit(NAMELESS).bitwiseOR(F.shiftrightunsigned("print", 2))
+    nodes = staged(prints.groupBy("print").agg(F.min(named).alias("node")).select("print", F.coalesce("node", nameless).alias("node")), "nodes")
     links = near_links(nodes, max_diff)
-    ids = prints.join(nodes, "print").where("doc != node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    own = prints.select("doc", "print").distinct().groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
-    twice = ids.join(own, F.col("a") == F.col("doc"), "left_semi").distinct()  # ids of several texts tie their fingerprints
+    ids = prints.where(F.col("doc") != NO_ID).join(nodes, "print").where("doc != node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    several = prints.where(F.col("doc") != NO_ID).groupBy("doc").agg(F.count_distinct("print").alias("n")).where("n > 1").select("doc")
+    twice = ids.join(several, F.col("a") == F.col("doc"), "left_semi").distinct()  # ids of several texts tie their fingerprints
     roots = components(links.unionByName(twice))
-    labels = staged(
-        nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component")), "components"
-    )
+    labels = staged(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component")), "components")
     return prints.join(labels, "print")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(keyed(table(spark, sf_dir, "documents")))
     return found.select(
-        shown_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), shown_id("component").alias("component_id")
+        shown_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id")
     )
