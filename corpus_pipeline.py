@@ -8,7 +8,7 @@ costs the work of one stage at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstock.llm.common import NO_ID, keyed, staged, table
@@ -19,14 +19,21 @@ from penstock.llm.simhash import NAMELESS, near_duplicates
 from penstock.llm.toxicity import THRESHOLD, fit, scored
 
 
+def _own_names(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """`docs` under names that nothing joined to it has, with its key (_doc, _tag); and the columns that lead back."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    own = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)],
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("_tag"),
+    )
+    return own, [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """`docs` but for the rows whose key (doc, tag) is in `rejected`; all columns as they are."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)],
-                       key.alias("doc"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("tag"))
-    kept = rows.join(rejected.select("doc", "tag").distinct(), ["doc", "tag"], "left_anti")
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    own, back = _own_names(docs)
+    gone = rejected.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct()
+    return own.join(gone, ["_doc", "_tag"], "left_anti").select(*back)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +54,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = found.where(F.when(F.col("first").isNull(), F.col("doc") != F.col("component")).otherwise(F.col("tag") != F.col("first")))
     kept = _without(docs, staged(copies.select("doc", "tag"), "near-copies"))
     # what is left of an id, or of a text without one, is one document
-    own = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    again = staged(kept.groupBy(own.alias("own")).agg(F.count("*").alias("n")).where("n > 1").select("own"), "again")
+    own, back = _own_names(kept)
+    one = ["_doc", F.when(F.col("_doc") == NO_ID, F.col("_tag")).otherwise(0).alias("_text")]
+    again = staged(own.select("_tag", *one).groupBy("_doc", "_text").agg(F.count("*").alias("n"), F.min("_tag").alias("_tag")).where("n > 1"), "again")
     if not again.take(1):
         return kept
-    single = kept.join(again, own.eqNullSafe(F.col("own")), "left_anti")
-    order = F.struct(F.hash("text").alias("h"), "text")
-    several = kept.join(again, own.eqNullSafe(F.col("own")), "left_semi").groupBy(own.alias("own")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-    return single.unionByName(several.select("row.*"))
+    rest = own.select("*", one[1])
+    single = rest.join(again.select("_doc", "_text"), ["_doc", "_text"], "left_anti")
+    several = rest.join(again.select("_doc", "_text", "_tag"), ["_doc", "_text", "_tag"]).dropDuplicates(["_doc", "_text"])
+    return single.select(*back).unionByName(several.select(*back))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,14 +78,14 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, numbered by `copy` from 1, with its source's target."""
-    taken = mix(docs).where("copies > 0").groupBy("doc_id", "tag", "source").agg(F.sum("copies").alias("copies"), F.min("target").alias("target"))
-    taken = staged(taken.select(F.col("doc_id").alias("of"), F.col("tag").alias("at"), F.col("source").alias("from"), "copies", "target"), "mix-taken")
-    here = docs.dropDuplicates(["doc_id", "text", "source"])
-    same = (
-        here.doc_id.eqNullSafe(taken["of"]) & (F.hash(F.coalesce(here.text, F.lit(""))) == taken["at"]) & here.source.eqNullSafe(taken["from"])
+    taken = mix(docs).groupBy("doc_id", "tag", "source").agg(F.sum("copies").alias("_copies"), F.min("target").alias("source_target"))
+    taken = taken.where("_copies > 0").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag"), F.hash("source").alias("_source"), "_copies", "source_target"
     )
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return here.join(taken, same).select(*[here[c] for c in docs.columns], F.col("target").alias("source_target"), copy.alias("copy"))
+    own, back = _own_names(docs)
+    own = own.withColumn("_source", F.hash(F.col(f"_{docs.columns.index('source')}").cast("string"))).dropDuplicates(["_doc", "_tag", "_source"])
+    copy = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy")
+    return own.join(staged(taken, "mix-taken"), ["_doc", "_tag", "_source"]).select(*back, "source_target", copy)
 
 
 STAGES = [

@@ -79,18 +79,22 @@ def permuted_text(text: Column, key: str, kind: str) -> Column:
     return _with(state, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permuted_number(number: Column, key: str, kind: str, a: int, b: int) -> Column:
-    """A permutation of 0 .. a*b-1."""
-    sizes = {"l": a, "r": b}
-    turning = lambda turn: F.when(turn % 2 == 1, F.lit(sizes["r"])).otherwise(F.lit(sizes["l"]))
+def permuted_pair(left: Column, right: Column, key: str, kind: str, a: Column | int, b: Column | int) -> Column:
+    """struct(l, r): a permutation of the pairs of a number below `a` and one below `b`."""
+    a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
 
     def moved(half: Column, other: Column, turn: Column) -> Column:
         step = F.conv(F.substr(_drawn(key, kind, turn, other.cast("string")), F.lit(1), F.lit(15)), 16, 10).cast("long")
-        return (half + step % turning(turn)) % turning(turn)
+        size = F.when(turn % 2 == 1, b).otherwise(a)
+        return (half + step % size) % size
+
+    return _feistel(left.cast("long"), right.cast("long"), moved)
 
+
+def permuted_number(number: Column, key: str, kind: str, a: int, b: int) -> Column:
+    """A permutation of 0 .. a*b-1."""
     whole = number.cast("long")
-    state = _feistel(F.floor(whole / F.lit(b)).cast("long"), whole % b, moved)
-    return _with(state, lambda s: s["l"] * b + s["r"])
+    return _with(permuted_pair(F.floor(whole / F.lit(b)), whole % b, key, kind, a, b), lambda s: s["l"] * b + s["r"])
 
 
 def _with(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -158,11 +162,20 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
-    new = permuted_number(number, key, "ipv4", 65536, 65536)
-    shown = _with(new, lambda n: F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)]))
-    return F.when(F.forall(octets, lambda x: x <= 255), shown)
+    """Each octet keeps its number of digits; there are 10, 90 or 156 octets of one, two or three."""
+    octets = F.split(m, r"\.")
+    part = lambda k: F.element_at(octets, k)
+    count = lambda k: F.element_at(F.array(F.lit(10), F.lit(90), F.lit(156)), F.length(part(k))).cast("long")
+    first = lambda k: F.element_at(F.array(F.lit(0), F.lit(10), F.lit(100)), F.length(part(k))).cast("long")
+    half = lambda i, j: (part(i).cast("long") - first(i)) * count(j) + part(j).cast("long") - first(j)
+    new = permuted_pair(half(1, 2), half(3, 4), key, "ipv4", count(1) * count(2), count(3) * count(4))
+
+    def shown(s: Column) -> Column:
+        pairs = ((s["l"], 1, 2), (s["r"], 3, 4))
+        return F.concat_ws(".", *[x.cast("long").cast("string") for v, i, j in pairs for x in (F.floor(v / count(j)) + first(i), v % count(j) + first(j))])
+
+    plain = F.forall(octets, lambda x: (x.cast("long") <= 255) & (x == x.cast("long").cast("string")))
+    return F.when(plain, _with(new, shown))
 
 
 def _date(m: Column, key: str) -> Column:

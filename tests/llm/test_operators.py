@@ -368,7 +368,7 @@ def test_pseudonyms(spark, odd, empty):
     assert digits(got[2].found[0].new) == new["4111111111111111"]
     assert new["+1 (521) 555-2373"].endswith(new["(521) 555-2373"])
     assert new["1984-02-29"].split("-")[::-1] == new["29.02.1984"].split(".")
-    assert all(int(x) < 256 for x in new["70.23.22.57"].split("."))
+    assert [len(x) for x in new["70.23.22.57"].split(".")] == [2, 2, 2, 2]
     account = new["GB82 WEST 1234 5698 7654 32"].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
     for left in ("4111111111111112", "300.1.1.1", "2023-02-30", "666-45-6789"):
