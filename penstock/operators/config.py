@@ -14,7 +14,7 @@ from penstock.operators.requests import (
     parse_raw_events,
     unknown_field_errors,
 )
-from penstock.operators.skew import HOT_ROWS, lookup_join, previous_value
+from penstock.operators.skew import HOT_ROWS, previous_value
 
 PUBLIC_DESTINATION = ("id", "workspace_id", "name", "type", "created_at", "updated_at")
 
@@ -40,14 +40,14 @@ def lookup_scoped(requests: DataFrame, config: DataFrame) -> DataFrame:
     A row of another workspace is as good as none.
     """
     rows = config.withColumn("found", F.lit(True))
-    joined = lookup_join(requests, rows, ["id", "workspace_id"], "left", spread=requests.columns)
+    joined = requests.join(rows, ["id", "workspace_id"], "left")
     return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def not_found_report(requests: DataFrame, config: DataFrame, kind: str) -> DataFrame:
     """Requests that name no row of their workspace, with the text of the reply."""
     known = config.select("id", "workspace_id")
-    missing = lookup_join(requests, known, ["id", "workspace_id"], "left_anti", spread=requests.columns)
+    missing = requests.join(known, ["id", "workspace_id"], "left_anti")
     return missing.withColumn("status_code", F.lit(404)).withColumn(
         "message", F.concat(F.lit(f"{kind} "), F.col("id"), F.lit(" not found"))
     )
@@ -116,6 +116,11 @@ def validate_pipelines(requests: DataFrame, partial: bool = False) -> DataFrame:
     A missing trigger is an error here: the store would refuse it. Steps may be empty.
     With `partial`, as for updates, any field may be absent or null.
     """
+    return _with_errors(requests, pipeline_errors(partial))
+
+
+def pipeline_errors(partial: bool) -> Column:
+    """Errors of a pipeline definition parsed into `m`."""
     m = F.col("m")
 
     def skipped(field: str) -> Column:
@@ -141,7 +146,7 @@ def validate_pipelines(requests: DataFrame, partial: bool = False) -> DataFrame:
             ],
         ),
     ).otherwise(collect_errors([("trigger", "trigger must be an object", F.lit(False))]))
-    body = F.concat(
+    return F.concat(
         collect_errors(
             [
                 ("name", "name must be a string", skipped("name") | v.is_string(m["name"])),
@@ -156,7 +161,6 @@ def validate_pipelines(requests: DataFrame, partial: bool = False) -> DataFrame:
         ),
         unknown_field_errors(F.map_keys(m), ("name", "description", "trigger", "steps", "enabled")),
     )
-    return _with_errors(requests, body)
 
 
 def validate_destinations(requests: DataFrame, partial: bool = False) -> DataFrame:
@@ -223,7 +227,9 @@ def patch_outcomes(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_R
 
     applied: takes effect. not_found: its row does not exist at that version, or belongs
     to another workspace. exists: a creation of a row that is there. invalid: no JSON
-    object, or a null for a column that must not be null; refused as a whole.
+    object, a field that breaks the rules of definitions (all of them for a creation,
+    those of the given fields for an update), or a null for a column that must not be
+    null; refused as a whole. What a deletion carries is not looked at.
     """
     key = ["id", "workspace_id"]
     parsed = v.with_object(patches, "patch", "m")
@@ -231,8 +237,10 @@ def patch_outcomes(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_R
     for field in REQUIRED_FIELDS:
         value = F.col("m")[field]
         broken = broken | (value.isNotNull() & F.coalesce(F.is_variant_null(value), F.lit(False)))
+    errors = F.when(F.col("op") == "create", pipeline_errors(False)).otherwise(pipeline_errors(True))
+    broken = broken | ((F.col("op") != "delete") & (F.size(errors) > 0))
     known = current.select(*key, F.lit(True).alias("_known"))
-    rows = lookup_join(parsed.withColumn("_broken", broken), known, key, "left", spread=["version"])
+    rows = parsed.withColumn("_broken", broken).join(known, key, "left")
     life = F.when(~F.col("_broken") & F.col("op").isin("create", "delete"), F.col("op"))
     part = F.floor(F.col("version") / 100_000)
     seen = previous_value(rows, key, ["version"], life, "_life", part, hot_rows)
@@ -306,12 +314,13 @@ def decrypt_column(df: DataFrame, key_hex: Column) -> DataFrame:
 def reencrypt_changed(
     destinations: DataFrame, changes: DataFrame, key_hex: Column, changed_at: Column
 ) -> DataFrame:
-    """Apply destination changes (id, workspace_id, name, type, config; NULL = absent).
+    """Apply destination changes (id, workspace_id, version, name, type, config; NULL = absent).
 
+    Of several changes to one destination the last given value of each field counts.
     Ciphertext and IV stay untouched unless a new config is given.
     """
-    renamed = changes.select(
-        "id", "workspace_id", *[F.col(c).alias(f"_{c}") for c in ("name", "type", "config")]
+    renamed = changes.groupBy("id", "workspace_id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(f"_{c}") for c in ("name", "type", "config")]
     )
     joined = destinations.join(renamed.withColumn("_hit", F.lit(True)), ["id", "workspace_id"], "left")
     fresh = joined.withColumn("_iv", F.when(F.col("_config").isNotNull(), crypto.random_iv()))

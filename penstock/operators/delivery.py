@@ -9,16 +9,20 @@ from penstock import schema
 from penstock.functions import backoff, ids, times
 from penstock.functions.backoff import Backoff
 from penstock.operators.ingest import ENVELOPE_VERSION
-from penstock.operators.skew import HOT_ROWS, lookup_join, salted_join
+from penstock.operators.skew import HOT_ROWS, salted_join
 
 DEAD_LETTER = ["reason", "queue", "routing_key", "event_id", "destination_id", "message", "dead_at"]
 
 
 def delivery_latest(attempts: DataFrame) -> DataFrame:
-    """Status of the last attempt per event and destination."""
+    """Status of the last attempt per event and destination, and how many there were.
+
+    The last one is the latest by time, then number, then id: a replay counts its
+    attempts from 1 again.
+    """
     return attempts.groupBy("event_id", "destination_id").agg(
-        F.max_by("status", "attempt_number").alias("status"),
-        F.max("attempt_number").alias("attempts"),
+        F.max_by("status", F.struct("attempted_at", "attempt_number", "id")).alias("status"),
+        F.count(F.lit(1)).alias("attempts"),
         F.max("attempted_at").alias("last_attempt_at"),
     )
 
@@ -62,7 +66,7 @@ def destination_health(attempts: DataFrame, threshold: int, hot_rows: int = HOT_
     last = settled.groupBy("destination_id").agg(F.max(F.when(success, order)).alias("_last"))
     after = F.col("_last").isNull() | (order > F.col("_last"))
     return (
-        lookup_join(settled, last, ["destination_id"], "left", spread=["id"], hot_rows=hot_rows)
+        settled.join(last, "destination_id", "left")
         .groupBy("destination_id")
         .agg(
             F.count_if(after).alias("trailing_failures"),

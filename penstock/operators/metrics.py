@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstock.operators.delivery import delivery_latest
-from penstock.operators.skew import HOT_ROWS, lookup_join
+from penstock.operators.skew import HOT_ROWS
 
 
 def throughput_series(store: DataFrame, bucket: str = "1 hour", totals: bool = False) -> DataFrame:
@@ -63,7 +63,7 @@ def read_model(store: DataFrame, attempts: DataFrame, workspaces: DataFrame) ->
             F.coalesce(F.sum("_dead"), F.lit(0)).alias("dead_lettered"),
         )
     )
-    return lookup_join(daily, workspaces, ["workspace_id"], "left", spread=["day", "event_name"])
+    return daily.join(workspaces, "workspace_id", "left")
 
 
 def workspace_quota(store: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def workspace_quota(store: DataFrame, quotas: DataFrame) -> DataFrame:
     used = store.groupBy("workspace_id", F.date_format("ingested_at", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("used")
     )
-    joined = lookup_join(used, quotas, ["workspace_id"], "left", spread=["month"])
+    joined = used.join(quotas, "workspace_id", "left")
     return joined.withColumn("over", F.coalesce(F.col("used") > F.col("quota"), F.lit(False)))
 
 
@@ -81,24 +81,28 @@ def rate_limit_audit(
     """Add `in_window`, the requests of the same key in the `window_ms` up to each request.
 
     `over_limit` marks counts above the limit, `over_burst` those above limit and
-    burst. Time is cut into slices of ten windows, each with a copy of the last
-    window before it, so that one busy key is counted by many tasks.
+    burst. A request counts as one from its time on and leaves the count one
+    millisecond after the window, so the count is a running sum, linear in the
+    number of requests. The sum runs within slices of ten windows, and each slice starts from
+    what the slices before it add up to: a busy key is counted by many tasks.
     """
     width = 10 * window_ms
     ms = F.unix_millis(at)
-    own = F.floor(ms / width)
-    sliced = requests.withColumn("_ms", ms).select(
-        "*",
-        own.alias("_own"),
-        F.explode(F.array_distinct(F.array(own, F.floor((ms + window_ms) / width)))).alias("_slice"),
+    steps = F.array(
+        F.struct(ms.alias("at"), F.lit(1).alias("step")), F.struct((ms + window_ms + 1).alias("at"), F.lit(-1).alias("step"))
     )
-    trailing = Window.partitionBy(key, "_slice").orderBy("_ms").rangeBetween(-window_ms, 0)
+    moves = requests.select("*", F.explode(steps).alias("_move")).withColumn("_slice", F.floor(F.col("_move.at") / width))
+    totals = moves.groupBy(key, "_slice").agg(F.sum("_move.step").alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    running = Window.partitionBy(key, "_slice").orderBy(F.col("_move.at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = moves.withColumn("_inside", F.sum("_move.step").over(running)).filter("_move.step = 1")
     return (
-        sliced.withColumn("in_window", F.count(F.lit(1)).over(trailing))
-        .filter(F.col("_slice") == F.col("_own"))
+        counted.join(carried, counted[key].eqNullSafe(carried["_key"]) & (counted["_slice"] == carried["_of"]))
+        .withColumn("in_window", F.col("_inside") + F.col("_before"))
         .withColumn("over_limit", F.col("in_window") > limit)
         .withColumn("over_burst", F.col("in_window") > limit + burst)
-        .drop("_ms", "_own", "_slice")
+        .drop("_move", "_slice", "_inside", "_key", "_of", "_before")
     )
 
 
@@ -119,9 +123,7 @@ def alert_rules(store: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS) ->
         F.count(F.lit(1)).alias("n"), F.sum(total).alias("total")
     )
     renamed = rules.withColumnRenamed("event_name", "wanted_event")
-    joined = lookup_join(
-        per_minute, renamed, ["workspace_id"], "inner", spread=["event_name", "minute"], hot_rows=hot_rows
-    ).filter(F.col("wanted_event").isNull() | (F.col("wanted_event") == F.col("event_name")))
+    joined = per_minute.join(renamed, "workspace_id").filter(F.col("wanted_event").isNull() | (F.col("wanted_event") == F.col("event_name")))
     width = F.col("window_seconds")
     measured = joined.groupBy(
         "rule_id", "workspace_id", "metric", "op", "threshold", "cooldown_seconds",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstock import schema
-from penstock.operators.skew import HOT_ROWS, lookup_join
+from penstock.operators.skew import HOT_ROWS
 
 
 def context_flatten(events: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def group_membership(groups: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.min("seen_at").alias("first_at"), F.max("seen_at").alias("last_at"), F.count(F.lit(1)).alias("calls")
     )
     traits = _merged(_latest_by_key(groups, "group_id"), "group_id")
-    return lookup_join(members, traits, ["group_id"], "left", spread=["user_id"], hot_rows=hot_rows)
+    return members.join(traits, "group_id", "left")
 
 
 def session_rollup(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penstock.functions import topics
-from penstock.operators.skew import HOT_ROWS, lookup_join
+from penstock.operators.skew import HOT_ROWS
 
 # The declared topology. The dead-letter binding is read as the topic
 # pattern it was meant to be; two queues have no binding, so nothing reaches them.
@@ -41,9 +41,9 @@ def route_topics(messages: DataFrame, bindings: DataFrame, hot_rows: int = HOT_R
         "queue", topics.topic_regex(F.col("pattern")).alias("_regex"), prefix.alias("_prefix"), suffix.alias("_suffix")
     )
     routes = (
-        lookup_join(keys, patterns, ends, "inner", spread=["routing_key"], hot_rows=hot_rows)
+        keys.join(patterns, ends)
         .filter(F.rlike("_dotted", F.col("_regex")))
         .select("routing_key", "queue")
         .distinct()
     )
-    return lookup_join(messages, routes, ["routing_key"], "inner", spread=["message_id"], hot_rows=hot_rows)
+    return messages.join(routes, "routing_key")

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -43,12 +42,6 @@ def parts(hot_rows: int) -> Column:
     return F.when(F.col("_n") >= hot_rows, F.floor(F.col("_n") / hot_rows) + 1).otherwise(1).cast("int")
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure `df` (one distributed pass, one row back) against the broadcast bound."""
-    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
-    return size <= limit
-
-
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -82,21 +75,6 @@ def salted_join(
     return cut.join(copies, [*on, "_part"], how).drop("_part")
 
 
-def lookup_join(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread: Sequence[str],
-    broadcast_limit: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join facts to a dimension: broadcast while its measured size is within bound, else salted."""
-    if fits_broadcast(dimension, broadcast_limit):
-        return facts.join(F.broadcast(dimension), list(on), how)
-    return salted_join(facts, dimension, on, how, spread, hot_rows=hot_rows)
-
-
 def previous_value(
     df: DataFrame,
     keys: Sequence[str],

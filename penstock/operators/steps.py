@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from penstock.functions import ids
 from penstock.functions import variants as v
 from penstock.operators.config import enabled_pipelines
-from penstock.operators.skew import HOT_ROWS, lookup_join
+from penstock.operators.skew import HOT_ROWS
 
 CLAUSES = "array<struct<field:string,op:string,value:string>>"
 SENDS = "array<struct<step_id:string,destination_id:string,payload:string>>"
@@ -62,23 +62,34 @@ def _parsed_step(step: Column) -> Column:
     )
 
 
+OPERATIONS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "exists", "contains", "regex")
+
+
+def _checked_clause(clause: Column) -> Column:
+    """The clause, without its operation if that is unknown or its pattern doesn't compile."""
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), clause.value).isNotNull()
+    sound = clause.op.isin(*OPERATIONS) & ((clause.op != "regex") | compiles)
+    return F.struct(clause.field.alias("field"), F.when(sound, clause.op).alias("op"), clause.value.alias("value"))
+
+
 def _typed_step(step: Column) -> Column:
     config = step.config
     shorthand = F.transform(
         F.filter(F.map_keys(config), lambda k: k.rlike("^min[A-Z]")),
         lambda k: F.struct(
-            F.concat(F.lit("properties."), F.lower(F.substring(k, 4, 1)), F.substring(k, 5, 1000)).alias("field"),
+            F.concat(F.lit("properties."), F.lower(F.substr(k, F.lit(4), F.lit(1))), F.substr(k, F.lit(5))).alias("field"),
             F.lit("gte").alias("op"),
             v.text(config[k]).alias("value"),
         ),
     )
     none = F.array().cast(CLAUSES)
+    given = F.concat(F.coalesce(F.from_json(v.text(config["clauses"]), CLAUSES), none), F.coalesce(shorthand, none))
+    clauses = F.transform(given, _checked_clause)
     return F.struct(
         step.id.alias("id"),
         step.type.alias("type"),
-        F.concat(
-            F.coalesce(F.from_json(v.text(config["clauses"]), CLAUSES), none), F.coalesce(shorthand, none)
-        ).alias("clauses"),
+        clauses.alias("clauses"),
+        F.exists(clauses, lambda c: c.op.isNull()).alias("bad_filter"),
         F.coalesce(F.try_variant_get(config["remove"], "$", "array<string>"), F.array().cast("array<string>")).alias("remove"),
         F.try_variant_get(config["rename"], "$", "map<string,string>").alias("rename"),
         config["set"].try_cast("map<string,variant>").alias("set"),
@@ -133,9 +144,7 @@ def trigger_match(events: DataFrame, typed: DataFrame, hot_rows: int = HOT_ROWS)
     triggers = typed.select(
         "*", F.explode("trigger_events").alias("event_name")
     ).drop("trigger_events")
-    return lookup_join(
-        events, triggers, ["workspace_id", "event_name"], "inner", spread=["event_id"], hot_rows=hot_rows
-    )
+    return events.join(triggers, ["workspace_id", "event_name"])
 
 
 # --- single steps as column expressions ---------------------------------------------------
@@ -147,11 +156,11 @@ def field_text(field: Column, props: Column) -> Column:
         *[part for name, column in ENVELOPE.items() for part in (F.lit(name), F.col(column))]
     )
     return (
-        F.when(field.startswith("properties."), v.text(F.element_at(props, F.substring(field, 12, 10_000))))
+        F.when(field.startswith("properties."), v.text(F.element_at(props, F.substr(field, F.lit(12)))))
         .when(
             field.startswith("context."),
             F.call_function(
-                "get_json_object", F.col("context"), F.concat(F.lit("$."), F.substring(field, 9, 10_000))
+                "get_json_object", F.col("context"), F.concat(F.lit("$."), F.substr(field, F.lit(9)))
             ),
         )
         .otherwise(F.element_at(envelope, field))
@@ -236,7 +245,7 @@ def attach_reference(rows: DataFrame, name: str, enrichment: Enrichment, hot_row
     )
     event_column = ENVELOPE[checked.on]
     reference = checked.table.select(F.col(checked.key).alias(event_column), entries.alias(f"_ref_{name}"))
-    return lookup_join(rows, reference, [event_column], "left", spread=["event_id"], hot_rows=hot_rows)
+    return rows.join(reference, event_column, "left")
 
 
 def enrich_step(rows: DataFrame, step: Column, name: str, enrichment: Enrichment) -> DataFrame:
@@ -283,8 +292,10 @@ def run_steps(matched: DataFrame, enrichments: dict[str, Enrichment]) -> DataFra
             )
         ).cast(SENDS)
         sending = (step.type == "destination") & step.destination_id.isNotNull()
-        broken = F.when((step.type == "enrich") & ~known, "bad_enrichment").when(
-            (step.type == "destination") & ~sending, "bad_destination"
+        broken = (
+            F.when((step.type == "filter") & step.bad_filter, "bad_filter")
+            .when((step.type == "enrich") & ~known, "bad_enrichment")
+            .when((step.type == "destination") & ~sending, "bad_destination")
         )
         moved = F.struct(
             F.when(step.type == "transform", transformed(step, props))

@@ -229,12 +229,25 @@ DERIVED = {
                 when o % 7 = 2 then concat('{"name":"n', o, '"}')
                 when o % 7 = 3 then '{"enabled":false}'
                 when o % 7 = 4 then concat('{"description":"d', o, '","enabled":true}')
+                when o % 91 = 5 then '{"enabled":"maybe"}' when o % 91 = 12 then '{"name":5}'
+                when o % 91 = 19 then '{"steps":{}}' when o % 91 = 26 then '{"trigger":"x"}'
+                when o % 91 = 33 then '{"owner":1}' when o % 91 = 40 then '{"description":7}'
+                when o % 91 = 47 then '{"steps":[{"id":"x","type":"filter","name":"n","config":{}}]}'
                 else '{"steps":[]}' end as patch
         from (select o_orderkey as o, o_custkey as c from {orders})
     """,
-    # Each event goes to one destination, in 1 to 4 attempts spaced by the backoff.
+    # Each event goes to one destination, in 1 to 4 attempts spaced by the backoff; some dead ones
+    # are replayed a day later, from attempt 1.
     "attempts": """
-        select @uuid4[concat('a', seed, '_', n)] as id, event_id, destination_id,
+        select @uuid4[concat('a', seed, '_', n)] as id, event_id, destination_id, status, attempt_number, error, attempted_at
+        from {first_attempts}
+        union all
+        select @uuid4[concat('replay', seed)] as id, event_id, destination_id, 'delivered' as status, cast(1 as int) as attempt_number,
+            cast(null as string) as error, @ms[attempted_at | 86400000] as attempted_at
+        from {first_attempts} where status = 'dead_lettered' and seed % 22 = 0
+    """,
+    "first_attempts": """
+        select seed, n, @uuid4[concat('a', seed, '_', n)] as id, event_id, destination_id,
             case when n < tries then 'failed' when seed % 11 = 0 then 'dead_lettered'
                 when seed % 19 = 0 then 'pending' else 'delivered' end as status,
             cast(n as int) as attempt_number,
@@ -320,7 +333,8 @@ _PARTS = {
         when 0 then '{"minTotal":1000}'
         when 1 then '{"clauses":<<{"field":"properties.k","op":"gt","value":"30"},{"field":"source","op":"ne","value":"server"}>>}'
         when 2 then '{"clauses":<<{"field":"context.app.name","op":"eq","value":"shop"}>>}'
-        else '{"clauses":<<{"field":"event","op":"regex","value":"^app"},{"field":"userId","op":"exists"}>>}' end]""",
+        else concat('{"clauses":<<{"field":"event","op":"regex","value":"', case when c % 44 = 3 then '(' else '^app' end,
+            '"},{"field":"userId","op":"exists"}>>}') end]""",
     "TRANSFORM": """@step[@uuid4[concat('s2', c)] | 'transform' | 'reshape' | case c % 3
         when 0 then '{"rename":{"k":"key"},"set":{"flag":true}}'
         when 1 then '{"remove":<<"k">>}'

@@ -168,7 +168,8 @@ MATCHED = f"""(select s.*, t.pipeline_id, t.steps, cast(json_extract_string(s.pr
 HOLDS = """(case when c1 like '%minTotal%' then total >= 1000
     when c1 like '%properties.k%' then k > 30 and source <> 'server'
     when c1 like '%context.app.name%' then coalesce(json_extract_string(context, '$.app.name') = 'shop', false)
-    else user_id is not null end)"""
+    when c1 like '%"value":"("%' then false else user_id is not null end)"""
+BAD = """(c1 like '%"value":"("%')"""
 RESHAPED = """case when c2 like '%rename%' then 'flag,key,total' when c2 like '%remove%' then 'total' else 'k,total' end as keys,
     case when c2 like '%"set":{"total":0}%' then '0' else cast(total as varchar) end as total,
     case when c2 like '%remove%' then null else cast(k as varchar) end as k"""
@@ -178,8 +179,8 @@ FANNED = f"""(select m.event_id, m.pipeline_id, m.destination_id, dest.type, m.i
     from {SENT} m left join {d('destinations')} dest
         on dest.id = m.destination_id and dest.workspace_id = m.workspace_id)"""
 EXECUTED = f"""(select m.event_id, m.pipeline_id,
-        case when {HOLDS} and f.destination_id is not null and f.type is null then 'failed' else 'completed' end as status,
-        case when {HOLDS} and f.destination_id is not null and f.type is null then 'unknown_destination' end as error,
+        case when {BAD} or {HOLDS} and f.destination_id is not null and f.type is null then 'failed' else 'completed' end as status,
+        case when {BAD} then 'bad_filter' when {HOLDS} and f.destination_id is not null and f.type is null then 'unknown_destination' end as error,
         cast(case when {HOLDS} then 1 else 0 end as integer) as n_sends,
         m.received_at, m.ingested_at
     from {MATCHED} m left join {FANNED} f on f.event_id = m.event_id and f.pipeline_id = m.pipeline_id)"""
@@ -187,7 +188,9 @@ EXECUTED = f"""(select m.event_id, m.pipeline_id,
 # --- patches ------------------------------------------------------------------------------
 
 # Replays one row's patches in version order: the state is whether the row exists.
-_BROKEN = "(json_type(patch, '$.name') = 'NULL' and json_type(patch, '$.name') is not null)"
+_BROKEN = """(json_type(patch, '$.name') <> 'VARCHAR' or json_type(patch, '$.enabled') <> 'BOOLEAN' or json_type(patch, '$.steps') <> 'ARRAY'
+    or json_type(patch, '$.trigger') <> 'OBJECT' or json_type(patch, '$.description') not in ('VARCHAR', 'NULL')
+    or json_exists(patch, '$.owner') or json_extract_string(patch, '$.steps[0].id') = 'x')"""
 PATCHED = f"""(select p.*, coalesce({_BROKEN}, false) as broken, c.id is not null as known from {d('patches')} p
     left join {d('pipelines')} c on c.id = p.id and c.workspace_id = p.workspace_id)"""
 OUTCOMES = f"""(select *, case when broken then 'invalid' when op = 'create' and alive then 'exists'
@@ -278,8 +281,8 @@ def throughput() -> str:
         from {d('stored')} group by grouping sets ((bucket_ms, workspace_id, event_name), (bucket_ms, workspace_id), (bucket_ms))"""
 
 
-LATEST = f"""(select event_id, destination_id, arg_max(status, attempt_number) as status,
-        max(attempt_number) as attempts, max(attempted_at) as last_attempt_at
+LATEST = f"""(select event_id, destination_id, arg_max(status, row(attempted_at, attempt_number, id)) as status,
+        count(*) as attempts, max(attempted_at) as last_attempt_at
     from {d('attempts')} group by all)"""
 AS_OF = "timestamp '2024-01-31 00:00:00'"
 EXPIRED = f"""(select *, 'dead.' || queue as routing_key, published_at + interval 24 hour as dead_at from {d('queue_log')}
@@ -427,8 +430,9 @@ def oracle_sql() -> dict[str, str]:
             union all select 'unknown_destination', 'pipeline.events', 'dead.pipeline.events', event_id, destination_id,
                 epoch_ms(ingested_at) from {FANNED} where type is null""",
         "dlq_replay": f"""select event_id, destination_id, 'delivery.retry' as routing_key, cast(1 as integer) as attempt,
-            '2024-01-31T00:00:00.000Z' as replayed_at from {d('attempts')}
-            where status = 'dead_lettered' and attempt_number > 1""",
+            '2024-01-31T00:00:00.000Z' as replayed_at from {d('attempts')} a
+            where status = 'dead_lettered' and attempt_number > 1 and not exists (select 1 from {d('attempts')} again
+                where again.event_id = a.event_id and again.destination_id = a.destination_id and again.status = 'delivered')""",
         "context_flatten": f"""select event_id, context->>'$.app.name' as app_name, context->>'$.app.version' as app_version,
             context->>'$.campaign.source' as campaign_source, context->>'$.campaign.medium' as campaign_medium,
             context->>'$.campaign.name' as campaign_name, context->>'$.locale' as locale, context->>'$.timezone' as timezone

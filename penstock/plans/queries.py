@@ -321,12 +321,14 @@ def decrypt_column(spark, sf):
 
 @query
 def credentials_updated(spark, sf):
-    """Half of the destinations get a new name, and a third of those new credentials."""
+    """Half of the destinations get a new name, after another one, and a third of those new credentials."""
     changes = fixture(spark, sf, "destinations").filter(F.substring(F.md5("id"), 1, 1) < "8").select(
-        "id", "workspace_id", F.concat(F.lit("Renamed "), F.col("name")).alias("name"),
+        "id", "workspace_id", F.lit(2).alias("version"), F.concat(F.lit("Renamed "), F.col("name")).alias("name"),
         F.lit(None).cast("string").alias("type"),
         F.when(F.substring(F.md5("id"), 2, 1) < "5", F.lit('{"token":"new"}')).alias("config"),
     )
+    older = changes.withColumns({"version": F.lit(1), "name": F.lit("older"), "config": F.lit(None).cast("string")})
+    changes = changes.unionByName(older)
     changed = config.reencrypt_changed(sealed_destinations(spark, sf), changes, F.lit(KEY_HEX), as_of())
     return config.decrypt_column(changed, F.lit(KEY_HEX)).select("id", "name", "type", "config", ms("updated_at"))
 
@@ -649,17 +651,15 @@ def files_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query
 def queue_source(spark, sf):
-    """Messages put on a file queue, one third of them twice, and consumed once."""
+    """Messages put on a file queue, one third of them again between two runs, file by file, and consumed once."""
     path, out, checkpoint = (scratch_dir(spark, part) for part in ("queue", "consumed", "checkpoint"))
     messages = ingest.event_envelope(fixture(spark, sf, "stored")).select("routing_key", "value", "published_at")
-    queue.publish(messages, path)
-    queue.publish(messages.filter(F.crc32("value") % 3 == 0), path)
-    stream = queue.queue_source(spark, path, "routing_key STRING, value STRING, published_at TIMESTAMP")
-
-    def consume(batch: DataFrame, n: int) -> None:
-        queue.consumed_once(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    jobs.run_batches(stream, consume, checkpoint).awaitTermination()
+    for part in (messages, messages.filter(F.crc32("value") % 3 == 0)):
+        queue.publish(part.coalesce(2), path)
+        stream = queue.queue_source(spark, path, "routing_key STRING, value STRING, published_at TIMESTAMP", files_per_trigger=1)
+        jobs.run_batches(
+            queue.consumed_once(stream), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint
+        ).awaitTermination()
     consumed = spark.read.parquet(out)
     return consumed.select(
         "routing_key", F.get_json_object("value", "$.payload.eventId").alias("event_id"), ms("published_at")

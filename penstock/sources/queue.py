@@ -49,7 +49,11 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, offsets_per_trig
 
 
 def consumed_once(messages: DataFrame) -> DataFrame:
-    """Messages without the copies that redelivery causes, by message id."""
+    """Messages without the copies that redelivery causes, by message id.
+
+    On a stream the ids seen so far are state, so a copy is dropped in whatever
+    micro-batch it arrives; on a batch table it drops the copies within it.
+    """
     return messages.withColumn("message_id", F.get_json_object("value", "$.meta.messageId")).dropDuplicates(
         ["message_id"]
     )

@@ -25,12 +25,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def append_events(stored: DataFrame, path: str) -> None:
     """Append accepted rows, partitioned by the day of the event.
 
-    Rows are brought together by day and by a part of the event id before the write:
-    each day becomes a bounded number of files, and a busy day is not one task.
+    Rows are brought together by day, and a day is cut into parts by its size: small
+    days become one file, large ones as many as the advisory partition size asks for.
     """
     (
         stored.withColumn("received_date", F.to_date("received_at"))
-        .repartition("received_date", F.pmod(F.xxhash64("event_id"), F.lit(32)))
+        .hint("rebalance", "received_date")
         .write.mode("append")
         .partitionBy("received_date")
         .parquet(path)
@@ -55,9 +55,9 @@ def write_version(df: DataFrame, path: str, version: int) -> str:
 
 
 def write_read_model(daily: DataFrame, path: str) -> None:
-    """Write daily rows partitioned by day, replacing only the days present."""
+    """Write daily rows partitioned by day, replacing only the days present; large days are cut by size."""
     (
-        daily.repartition("day")
+        daily.hint("rebalance", "day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

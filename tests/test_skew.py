@@ -33,14 +33,6 @@ def test_hot_key_is_spread(spark, facts):
     assert [(r["key"], r["_splits"]) for r in hot] == [("hot", 11)]
 
 
-def test_lookup_join_beyond_the_broadcast_bound(spark, facts):
-    dimension = spark.createDataFrame([("hot", 1), ("k1", 3)], "key string, v int")
-    assert not skew.fits_broadcast(dimension, 10) and skew.fits_broadcast(dimension, 10_000)
-    small = skew.lookup_join(facts, dimension, ["key"], "left", ["id"])
-    large = skew.lookup_join(facts, dimension, ["key"], "left", ["id"], broadcast_limit=0, hot_rows=100)
-    assert rows_of(small, "id", "key", "v") == rows_of(large, "id", "key", "v")
-
-
 def test_previous_value_over_slices(spark):
     rng = random.Random(2)
     data = [(i, "hot" if i % 3 else f"k{i % 7}", rng.choice([None, i])) for i in range(600)]

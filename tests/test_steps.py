@@ -132,3 +132,24 @@ def test_updates_may_leave_fields_out(spark):
     assert fields(config.validate_destinations(df, partial=True)) == [[], [], ["name"], ["type"], ["config"], ["iv"], ["steps"], ["trigger"]]
     assert fields(config.validate_pipelines(df, partial=True)) == [[], [], ["name"], ["type"], ["config"], ["iv"], ["steps"], ["trigger.events"]]
     assert fields(config.validate_destinations(df.filter("request_id = '0'"))) == [["config", "name", "type"]]
+
+
+def test_bad_patterns_and_operations_fail_the_run(spark):
+    for clause in ({"op": "regex", "value": "("}, {"op": "like", "value": "x"}, {"value": "x"}):
+        done = run(spark, [("filter", {"clauses": [{"field": "event", **clause}]})], {}).first()
+        assert done.error == "bad_filter" and done.sends == []
+
+
+def test_field_names_of_any_length(spark):
+    name = "m" * 20_000
+    clause = {"field": f"properties.{name}", "op": "eq", "value": "7"}
+    assert run(spark, [("filter", {"clauses": [clause], f"minX{name}": 3})], {name: 7, f"x{name}": 5}).first().alive
+    assert not run(spark, [("filter", {f"minX{name}": 6})], {name: 7, f"x{name}": 5}).first().alive
+
+
+def test_a_replay_is_later_than_the_first_attempts(spark):
+    at = [NOW + datetime.timedelta(hours=h) for h in range(4)]
+    rows = [("a", "e", "d", "failed", 1, at[0]), ("b", "e", "d", "dead_lettered", 2, at[1]), ("c", "e", "d", "delivered", 1, at[3])]
+    attempts = spark.createDataFrame(rows, "id string, event_id string, destination_id string, status string, attempt_number int, attempted_at timestamp")
+    last = delivery.delivery_latest(attempts).first()
+    assert (last.status, last.attempts, last.last_attempt_at) == ("delivered", 3, at[3])
