@@ -15,7 +15,7 @@ from penstock.llm.common import NO_ID, keyed, staged, table
 from penstock.llm.decontaminate import contamination
 from penstock.llm.mixing import mix
 from penstock.llm.pii import pseudonym_key, pseudonymised
-from penstock.llm.simhash import NAMELESS, near_duplicates
+from penstock.llm.simhash import NAMELESS, near_duplicates, similar_documents
 from penstock.llm.toxicity import THRESHOLD, fit, scored
 
 
@@ -45,9 +45,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id, once.
 
-    Of a group in which no row has an id, one row stays; of several texts under the
-    id that stays, one.
+    Groups are those of the fingerprints, at two bits of difference, and then, among what is left,
+    those of texts whose five-word shingles are 0.8 alike. Of a group in which no
+    row has an id, one row stays; of several texts under the id that stays, one.
     """
+    once = staged(_first_of_prints(docs), "prints-once")
+    similar = similar_documents(keyed(once.where("doc_id is not null")))
+    own, back = _own_names(once)
+    return own.join(staged(similar.select(F.col("node").alias("_doc")), "similar-copies"), "_doc", "left_anti").select(*back)
+
+
+def _first_of_prints(docs: DataFrame) -> DataFrame:
+    """One row of each group of near fingerprints."""
     found = near_duplicates(keyed(docs))
     first = found.where(F.col("component") >= NAMELESS).groupBy("component").agg(F.min("tag").alias("first"))
     found = found.join(staged(first, "nameless-groups"), "component", "left")

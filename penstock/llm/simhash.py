@@ -168,6 +168,90 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, seed:
     return prints.join(labels, "print")
 
 
+def _views(shingle: int, per_view: int, views: int):
+    """(doc, view): fingerprints of small fixed parts of each document's set of shingles."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, out = [], []
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                hashes = _shingles(text.as_buffer().to_pybytes(), shingle)
+                if not len(hashes):
+                    continue
+                level = max(0.0, float(np.log2(len(hashes) / per_view)))
+                # sets that are 0.8 alike differ in size by a third of a level at most
+                for parts in {int(level + 0.17), int(level + 0.51)}:
+                    of_view = hashes & np.uint64((1 << parts) - 1)
+                    for view in range(min(views, 1 << parts)):
+                        mine = hashes[of_view == view]
+                        if len(mine):
+                            docs.append(doc)
+                            out.append(xxhash.xxh64_intdigest(mine.tobytes(), parts << 8 | view))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc", "view"])
+
+    return of
+
+
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted set of a text's shingle hashes; a shorter text is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def _alike(shingle: int, similarity: float):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                a, b = (_shingles(batch.column(c)[i].as_buffer().to_pybytes(), shingle) for c in ("text_a", "text_b"))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return of
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, per_view: int = 4, views: int = 12) -> DataFrame:
+    """node, root: documents whose sets of `shingle` words are `similarity` alike, by groups.
+
+    For keyed rows of one text per id. The fingerprint of a whole text at a similarity of 0.8
+    differs in some ten of 64 bits, too many for any exact filter. Fingerprints of parts
+    do better: the set of shingles is dealt into parts of about `per_view` by their hashes,
+    and of two texts at 0.8 each part is equal with a chance of 0.4, at least one of 12
+    with 0.998. Within a group of equal parts each document is compared with one
+    leader by exact similarity over whole texts, never all with all. Grouped
+    documents leave, but for one, and the rest choose new leaders, until a round groups none.
+    """
+    probes = staged(docs.mapInArrow(_views(shingle, per_view, views), "doc long, view long"), "views")
+    held = staged(probes.groupBy("view").agg(F.count_distinct("doc").alias("n")).where("n > 1").select("view"), "views-shared")
+    alive = staged(probes.join(held, "view").select("doc", "view"), "views-alive")
+    texts = staged(docs.join(alive.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "view-texts")
+    dropped(probes, held)
+    links, turn = [], 0
+    while True:
+        order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc") if turn else F.struct("doc")
+        leaders = staged(alive.groupBy("view").agg(F.min(order).alias("first")).select("view", F.col("first.doc").alias("b")), "leaders")
+        pairs = staged(alive.join(leaders, "view").where("doc != b").select(F.col("doc").alias("a"), "b").distinct(), "leader-pairs")
+        sides = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+        sides = sides.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        found = staged(sides.mapInArrow(_alike(shingle, similarity), "a long, b long"), "similar")
+        dropped(leaders, pairs)
+        if not found.take(1):
+            break
+        links.append(found)
+        gone = components(found).select(F.col("node").alias("doc"))
+        rest = staged(alive.join(gone, "doc", "left_anti"), "views-alive")
+        dropped(alive)
+        alive, turn = rest, turn + 1
+    every = found
+    for link in links:
+        every = every.unionByName(link)
+    return components(every)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(keyed(table(spark, sf_dir, "documents")))
     return found.select(
