@@ -25,8 +25,3 @@ def parse_iso(text: Column) -> Column:
 
 def iso_millis(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-
-
-def millis(moment: Column) -> Column:
-    """Epoch milliseconds: the form in which results leave for comparison."""
-    return F.unix_millis(moment)

@@ -21,10 +21,6 @@ def text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
-
-
 def absent(value: Column) -> Column:
     """Missing key or explicit null."""
     return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))

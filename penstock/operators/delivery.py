@@ -54,7 +54,7 @@ def retry_schedule(attempts: DataFrame, policy: Backoff = backoff.BROKER) -> Dat
     )
 
 
-def destination_health(attempts: DataFrame, threshold: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def destination_health(attempts: DataFrame, threshold: int) -> DataFrame:
     """Trailing failures per destination; `open` from `threshold` on, else `closed`.
 
     The run is counted as attempts after the last success, which needs two

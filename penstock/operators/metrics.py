@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstock.operators.delivery import delivery_latest
-from penstock.operators.skew import HOT_ROWS
 
 
 def throughput_series(store: DataFrame, bucket: str = "1 hour", totals: bool = False) -> DataFrame:
@@ -106,7 +105,7 @@ def rate_limit_audit(
     )
 
 
-def alert_rules(store: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def alert_rules(store: DataFrame, rules: DataFrame) -> DataFrame:
     """Alerts: windows in which a rule's measure passes its threshold.
 
     Rules (rule_id, workspace_id, event_name or NULL for any, metric count or total,
@@ -122,8 +121,10 @@ def alert_rules(store: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS) ->
     per_minute = store.groupBy("workspace_id", "event_name", minute.alias("minute")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(total).alias("total")
     )
-    renamed = rules.withColumnRenamed("event_name", "wanted_event")
-    joined = per_minute.join(renamed, "workspace_id").filter(F.col("wanted_event").isNull() | (F.col("wanted_event") == F.col("event_name")))
+    # a rule of one name meets the minutes of that name; a rule of any name, minutes summed over names
+    per_any = per_minute.groupBy("workspace_id", "minute").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    named = per_minute.join(rules.filter(F.col("event_name").isNotNull()), ["workspace_id", "event_name"]).drop("event_name")
+    joined = named.unionByName(per_any.join(rules.filter(F.col("event_name").isNull()).drop("event_name"), "workspace_id"))
     width = F.col("window_seconds")
     measured = joined.groupBy(
         "rule_id", "workspace_id", "metric", "op", "threshold", "cooldown_seconds",

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstock import schema
-from penstock.operators.skew import HOT_ROWS
 
 
 def context_flatten(events: DataFrame) -> DataFrame:
@@ -61,7 +60,7 @@ def identify_traits(identifies: DataFrame) -> DataFrame:
     return _merged(_latest_by_key(identifies, "user_id"), "user_id")
 
 
-def group_membership(groups: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def group_membership(groups: DataFrame) -> DataFrame:
     """Groups of each user with first and last call, and the merged traits of the group."""
     members = groups.groupBy("user_id", "group_id").agg(
         F.min("seen_at").alias("first_at"), F.max("seen_at").alias("last_at"), F.count(F.lit(1)).alias("calls")

@@ -6,20 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penstock.functions import topics
-from penstock.operators.skew import HOT_ROWS
 
-# The declared topology. The dead-letter binding is read as the topic
-# pattern it was meant to be; two queues have no binding, so nothing reaches them.
-QUEUES = {
-    "ingestion.events": "dead.ingestion.events",
-    "pipeline.events": "dead.pipeline.events",
-    "delivery.events": "dead.delivery.events",
-    "dead_letter.queue": None,
-}
-BINDINGS = [("ingestion.events", "event.#"), ("dead_letter.queue", "dead.#")]
 
-
-def route_topics(messages: DataFrame, bindings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def route_topics(messages: DataFrame, bindings: DataFrame) -> DataFrame:
     """Add `queue`: one row per message and queue with a binding that matches its routing key.
 
     Patterns meet distinct routing keys, not messages: a key is matched once however

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from penstock.functions import ids
 from penstock.functions import variants as v
 from penstock.operators.config import enabled_pipelines
-from penstock.operators.skew import HOT_ROWS
 
 CLAUSES = "array<struct<field:string,op:string,value:string>>"
 SENDS = "array<struct<step_id:string,destination_id:string,payload:string>>"
@@ -135,7 +134,7 @@ def typed_pipelines(pipelines: DataFrame, destinations: DataFrame | None = None)
 # --- trigger ------------------------------------------------------------------------------
 
 
-def trigger_match(events: DataFrame, typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def trigger_match(events: DataFrame, typed: DataFrame) -> DataFrame:
     """One row per event and enabled pipeline of its workspace that lists its name.
 
     Names match exactly. `typed` comes from `typed_pipelines`; a name listed twice
@@ -236,7 +235,7 @@ def transform_step(rows: DataFrame, step: Column) -> DataFrame:
     return rows.withColumn("props", transformed(step, F.col("props")))
 
 
-def attach_reference(rows: DataFrame, name: str, enrichment: Enrichment, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_reference(rows: DataFrame, name: str, enrichment: Enrichment) -> DataFrame:
     """Add `_ref_<name>`, the matching reference row as a map: the left outer join of an enrich step."""
     checked = enrichment.checked()
     columns = [c for c in checked.table.columns if c != checked.key]

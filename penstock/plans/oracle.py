@@ -486,6 +486,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_dedupe": f"select batch_id, event_id, arrival_seq, status from {deduped(normalized(VALID_ARRIVALS))}",
         "stream_labels": f"select event_id, arrival_seq, status from {deduped(d('arrivals'))}",
         "stream_accepted": f"select distinct event_id from {d('arrivals')}",
+        "late_rows": f"""select epoch_ms(time_bucket(interval 6 hour, received_at, timestamp '1970-01-01')) as bucket_ms, workspace_id, event_name,
+            count(*) as stored, count(*) filter (md5(event_id) >= '1') as n, count(*) filter (md5(event_id) < '1') as late
+            from {d('stored')} group by 1, 2, 3 having count(*) filter (md5(event_id) < '1') > 0 and count(*) filter (md5(event_id) >= '1') > 0""",
+        "masked_failures": f"""select 500 as status_code, 'Internal Server Error' as error, 'An unexpected error occurred' as message,
+            correlation_id, 'error' as level from {d('stored')}""",
         "queue_source": f"""select 'event.ingested' as routing_key, event_id, epoch_ms(ingested_at) as published_at_ms
             from {d('stored')}""",
         "stream_pipeline": f"select pipeline_id, event_id, status, error, n_sends from {EXECUTED}",

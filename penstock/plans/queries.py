@@ -649,6 +649,22 @@ def files_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+@query
+def late_rows(spark, sf):
+    """Rows of a tenth of the events that the closed windows of the others miss."""
+    store = fixture(spark, sf, "stored")
+    closed = metrics.throughput_series(store.filter(F.substring(F.md5("event_id"), 1, 1) != "0"), "6 hours")
+    late = jobs.late_rows(store, closed, "6 hours")
+    return late.select(ms("bucket"), "workspace_id", "event_name", "stored", "n", "late")
+
+
+@query
+def masked_failures(spark, sf):
+    """The reply to an unexpected failure of every stored event."""
+    masked = requests.masked_failures(fixture(spark, sf, "stored"))
+    return masked.withColumn("message", F.array_join("message", ";"))
+
+
 @query
 def queue_source(spark, sf):
     """Messages put on a file queue, one third of them again between two runs, file by file, and consumed once."""

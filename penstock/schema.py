@@ -8,11 +8,6 @@ DESTINATION_TYPES = (
     "postgres", "mysql", "slack", "discord", "webhook", "s3", "email", "elasticsearch",
 )
 DELIVERY_STATUSES = ("pending", "delivered", "failed", "dead_lettered")
-EXECUTION_STATUSES = ("pending", "running", "completed", "failed")
-API_KEY_SCOPES = (
-    "events:write", "events:read", "pipelines:read",
-    "pipelines:write", "destinations:read", "destinations:write",
-)
 
 # Request fields in declaration order; anything else is refused.
 EVENT_FIELDS = (
@@ -48,23 +43,4 @@ PIPELINE = f"""
     trigger {TRIGGER}, steps ARRAY<{STEP}>, enabled BOOLEAN,
     created_at TIMESTAMP, updated_at TIMESTAMP
 """
-DESTINATION = """
-    id STRING, workspace_id STRING, name STRING, type STRING,
-    encrypted_config STRING, iv STRING, created_at TIMESTAMP, updated_at TIMESTAMP
-"""
-EXECUTION = """
-    id STRING, pipeline_id STRING, event_id STRING, correlation_id STRING,
-    status STRING, started_at TIMESTAMP, completed_at TIMESTAMP, error STRING
-"""
-ATTEMPT = """
-    id STRING, event_id STRING, destination_id STRING, status STRING,
-    attempt_number INT, error STRING, attempted_at TIMESTAMP
-"""
-WORKSPACE = "id STRING, name STRING, slug STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
-API_KEY = """
-    id STRING, workspace_id STRING, name STRING, key_prefix STRING,
-    scopes ARRAY<STRING>, created_at TIMESTAMP, expires_at TIMESTAMP
-"""
-QUEUE_MESSAGE = "queue STRING, routing_key STRING, value STRING, published_at TIMESTAMP"
-
 ERRORS = "array<struct<field:string,message:string>>"

@@ -1,4 +1,4 @@
-"""Replayable queues as streaming sources: folders of files, or Kafka topics."""
+"""Replayable queues as streaming sources: folders of files."""
 
 from __future__ import annotations
 
@@ -11,17 +11,6 @@ def publish(envelopes: DataFrame, path: str, mode: str = "append") -> None:
     envelopes.write.mode(mode).parquet(path)
 
 
-def publish_kafka(envelopes: DataFrame, servers: str, topic: str) -> None:
-    """Put envelope messages on a Kafka topic; needs the Kafka connector on the class path."""
-    (
-        envelopes.select(F.col("routing_key").alias("key"), "value")
-        .write.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("topic", topic)
-        .save()
-    )
-
-
 def queue_source(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
     """Stream of a file queue. The checkpoint of the reading query holds its position,
     so an unfinished batch is delivered again; consumers must tolerate that."""
@@ -32,22 +21,6 @@ def queue_source(spark: SparkSession, path: str, schema: str, files_per_trigger:
     )
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str, offsets_per_trigger: int) -> DataFrame:
-    """Stream of a Kafka topic in the same shape; needs the Kafka connector on the class path."""
-    return (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("maxOffsetsPerTrigger", offsets_per_trigger)
-        .load()
-        .select(
-            F.col("key").cast("string").alias("routing_key"),
-            F.col("value").cast("string").alias("value"),
-            F.col("timestamp").alias("published_at"),
-        )
-    )
-
-
 def consumed_once(messages: DataFrame) -> DataFrame:
     """Messages without the copies that redelivery causes, by message id.
 

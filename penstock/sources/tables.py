@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from penstock import schema
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Raw request texts, one JSON object per line."""
-    return spark.read.text(path).withColumnRenamed("value", "raw")
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hand an input with fewer splits than cores (an unsplittable file) to all cores.
 
@@ -47,13 +42,6 @@ def config_scan(spark: SparkSession, path: str, workspace_id: str | None = None)
     return rows if workspace_id is None else rows.filter(F.col("workspace_id") == workspace_id)
 
 
-def write_version(df: DataFrame, path: str, version: int) -> str:
-    """Write a whole table as a new version folder; older versions stay readable."""
-    target = f"{path.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(target)
-    return target
-
-
 def write_read_model(daily: DataFrame, path: str) -> None:
     """Write daily rows partitioned by day, replacing only the days present; large days are cut by size."""
     (
