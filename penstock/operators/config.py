@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,12 +167,17 @@ def pipeline_errors(partial: bool) -> Column:
 
 def validate_destinations(requests: DataFrame, partial: bool = False) -> DataFrame:
     """Add `m` and `errors` to submitted destinations (raw JSON text); `partial` as for pipelines."""
+    return _with_errors(requests, destination_errors(partial))
+
+
+def destination_errors(partial: bool) -> Column:
+    """Errors of a destination parsed into `m`."""
     m = F.col("m")
 
     def skipped(field: str) -> Column:
         return v.absent(m[field]) if partial else F.lit(False)
 
-    body = F.concat(
+    return F.concat(
         collect_errors(
             [
                 ("name", "name must be a string", skipped("name") | v.is_string(m["name"])),
@@ -184,7 +191,6 @@ def validate_destinations(requests: DataFrame, partial: bool = False) -> DataFra
         ),
         unknown_field_errors(F.map_keys(m), ("name", "type", "config")),
     )
-    return _with_errors(requests, body)
 
 
 def _with_errors(requests: DataFrame, body: Column) -> DataFrame:
@@ -231,13 +237,19 @@ def patch_outcomes(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_R
     those of the given fields for an update), or a null for a column that must not be
     null; refused as a whole. What a deletion carries is not looked at.
     """
+    return _outcomes(current, patches, pipeline_errors, REQUIRED_FIELDS, hot_rows)
+
+
+def _outcomes(
+    current: DataFrame, patches: DataFrame, errors_of: Callable[[bool], Column], required: tuple[str, ...], hot_rows: int
+) -> DataFrame:
     key = ["id", "workspace_id"]
     parsed = v.with_object(patches, "patch", "m")
     broken = F.col("m").isNull()
-    for field in REQUIRED_FIELDS:
+    for field in required:
         value = F.col("m")[field]
         broken = broken | (value.isNotNull() & F.coalesce(F.is_variant_null(value), F.lit(False)))
-    errors = F.when(F.col("op") == "create", pipeline_errors(False)).otherwise(pipeline_errors(True))
+    errors = F.when(F.col("op") == "create", errors_of(False)).otherwise(errors_of(True))
     broken = broken | ((F.col("op") != "delete") & (F.size(errors) > 0))
     known = current.select(*key, F.lit(True).alias("_known"))
     rows = parsed.withColumn("_broken", broken).join(known, key, "left")
@@ -263,34 +275,73 @@ def apply_patches(current: DataFrame, patches: DataFrame, hot_rows: int = HOT_RO
     clears `description`. Creation sets every field, so nothing older than the last
     creation shows through; a deletion that nothing follows removes the row.
     """
+    joined = _folded(current, patch_outcomes(current, patches, hot_rows), tuple(PATCH_FIELDS))
+    recreated = F.col("_life").isNotNull()
+
+    def merged(field: str, kind: str) -> Column:
+        new = F.try_variant_get(f"_new_{field}", "$", kind)
+        if field == "enabled":
+            new = F.coalesce(new, F.lit(True))
+        return F.when(F.col(f"_set_{field}").isNotNull(), new).otherwise(F.col(field)).alias(field)
+
+    return joined.select(
+        "id",
+        "workspace_id",
+        *[merged(field, kind) for field, kind in PATCH_FIELDS.items()],
+        F.when(recreated, F.col("_created_at")).otherwise(F.col("created_at")).alias("created_at"),
+        F.coalesce("_updated_at", "updated_at").alias("updated_at"),
+    )
+
+
+def _folded(current: DataFrame, outcomes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Current rows beside the last value set in each field (`_new_`, `_set_`); rows that end deleted are gone."""
     m, version = F.col("m"), F.col("version")
     created = F.col("op") == "create"
-    applied = patch_outcomes(current, patches, hot_rows).filter(F.col("outcome") == "applied")
     folded = []
-    for field in PATCH_FIELDS:
+    for field in fields:
         when_set = F.when(created | F.map_contains_key("m", field), version)
         folded += [F.max_by(m[field], when_set).alias(f"_new_{field}"), F.max(when_set).alias(f"_set_{field}")]
-    latest = applied.groupBy("id", "workspace_id").agg(
+    latest = outcomes.filter(F.col("outcome") == "applied").groupBy("id", "workspace_id").agg(
         *folded,
         F.max_by("op", F.when(F.col("op") != "update", version)).alias("_life"),
         F.max(F.when(created, F.col("changed_at"))).alias("_created_at"),
         F.max_by("changed_at", "version").alias("_updated_at"),
     )
-    joined = current.join(latest, ["id", "workspace_id"], "full_outer").filter(
-        F.coalesce(F.col("_life") != "delete", F.lit(True))
-    )
+    joined = current.join(latest, ["id", "workspace_id"], "full_outer")
+    return joined.filter(F.coalesce(F.col("_life") != "delete", F.lit(True)))
+
+
+DESTINATION_FIELDS = ("name", "type", "config")
+
+
+def destination_outcomes(current: DataFrame, changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As `patch_outcomes`, for destinations."""
+    return _outcomes(current, changes, destination_errors, DESTINATION_FIELDS, hot_rows)
+
+
+def apply_destination_changes(
+    current: DataFrame, changes: DataFrame, key_hex: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Sealed destinations after all applied creations, updates and deletions.
+
+    Ciphertext and IV stay untouched unless a config is given, which is then sealed
+    with a new IV.
+    """
+    joined = _folded(current, destination_outcomes(current, changes, hot_rows), DESTINATION_FIELDS)
     recreated = F.col("_life").isNotNull()
 
-    def merged(field: str, kind: str) -> Column:
-        new = F.try_variant_get(f"_new_{field}", "$", kind)
-        if field == "enabled":
-            new = F.coalesce(new, F.lit(True))
-        return F.when(F.col(f"_set_{field}").isNotNull(), new).otherwise(F.col(field)).alias(field)
+    def merged(field: str) -> Column:
+        return F.when(F.col(f"_set_{field}").isNotNull(), v.text(F.col(f"_new_{field}"))).otherwise(F.col(field)).alias(field)
 
-    return joined.select(
+    given = F.when(F.col("_set_config").isNotNull(), F.to_json("_new_config"))
+    fresh = joined.withColumn("_plain", given).withColumn("_iv", F.when(F.col("_plain").isNotNull(), crypto.random_iv()))
+    return fresh.select(
         "id",
         "workspace_id",
-        *[merged(field, kind) for field, kind in PATCH_FIELDS.items()],
+        merged("name"),
+        merged("type"),
+        F.coalesce(crypto.encrypt(F.col("_plain"), key_hex, F.col("_iv")), "encrypted_config").alias("encrypted_config"),
+        F.coalesce("_iv", "iv").alias("iv"),
         F.when(recreated, F.col("_created_at")).otherwise(F.col("created_at")).alias("created_at"),
         F.coalesce("_updated_at", "updated_at").alias("updated_at"),
     )

@@ -236,6 +236,23 @@ DERIVED = {
                 else '{"steps":[]}' end as patch
         from (select o_orderkey as o, o_custkey as c from {orders})
     """,
+    # Changes of destinations: as patches, with new credentials and broken ones.
+    "destination_patches": """
+        select @uuid4[concat(case when o % 23 = 0 then 'unknown' else 'd' end, c)] as id,
+            concat('ws_', @div[c | 3]) as workspace_id, o as version,
+            case when o % 11 = 5 then 'delete' when o % 11 = 6 then 'create' else 'update' end as op,
+            @ms[timestamp '2024-03-01 00:00:00' | o * 1000] as changed_at,
+            case when o % 11 = 5 then '{}'
+                when o % 11 = 6 then concat('{"name":"new ', o, '","type":"slack","config":{"token":"n', o, '"}}')
+                when o % 7 = 0 then concat('{"config":{"token":"t', o, '"}}')
+                when o % 7 = 1 then '{"config":null}'
+                when o % 7 = 2 then concat('{"name":"n', o, '"}')
+                when o % 7 = 3 then '{"type":"email"}'
+                when o % 7 = 4 then '{"type":"fax"}'
+                when o % 7 = 5 then '{"config":"x"}'
+                else concat('{"owner":', o, '}') end as patch
+        from (select o_orderkey as o, o_custkey as c from {orders})
+    """,
     # Each event goes to one destination, in 1 to 4 attempts spaced by the backoff; some dead ones
     # are replayed a day later, from attempt 1.
     "attempts": """

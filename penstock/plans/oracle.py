@@ -230,6 +230,26 @@ APPLY = f"""select coalesce(c.id, n.id) as id, coalesce(c.workspace_id, n.worksp
     from {d('pipelines')} c full outer join {PATCH_STATE} n on c.id = n.id and c.workspace_id = n.workspace_id
     where coalesce(life <> 'delete', true)"""
 
+# The same for destinations: every broken change is refused as a whole.
+_CHANGED = f"""(select *, case when broken then 'invalid' when op = 'create' and alive then 'exists'
+        when op <> 'create' and not alive then 'not_found' else 'applied' end as outcome
+    from (select *, coalesce(last_value(case when not broken and op <> 'update' then op end ignore nulls) over (
+            partition by id, workspace_id order by version rows between unbounded preceding and 1 preceding) = 'create', known) as alive
+        from (select p.*, c.id is not null as known, coalesce(json_type(patch, '$.config') <> 'OBJECT' or json_extract_string(patch, '$.type') = 'fax'
+                or json_exists(patch, '$.owner'), false) as broken
+            from {d('destination_patches')} p left join {d('destinations')} c on c.id = p.id and c.workspace_id = p.workspace_id)))"""
+_CHANGES = f"""(select id, workspace_id, {_field('name')} as n_name, {_field('type')} as n_type, {_field('config')} as n_config,
+        arg_max(op, version) filter (op <> 'update') as life,
+        max(changed_at) filter (op = 'create') as created, arg_max(changed_at, version) as touched
+    from {_CHANGED} where outcome = 'applied' group by id, workspace_id)"""
+DESTINATIONS = f"""select coalesce(c.id, n.id) as id, coalesce(c.workspace_id, n.workspace_id) as workspace_id,
+        case when n_name is not null then {_text('n_name')} else c.name end as name,
+        case when n_type is not null then {_text('n_type')} else c.type end as type, coalesce(n_config, c.config) as config,
+        epoch_ms(case when life is not null then created else c.created_at end) as created_at_ms,
+        epoch_ms(coalesce(touched, c.updated_at)) as updated_at_ms
+    from {d('destinations')} c full outer join {_CHANGES} n on c.id = n.id and c.workspace_id = n.workspace_id
+    where coalesce(life <> 'delete', true)"""
+
 CONFIG_REQUESTS = f"""(select id, case when version % 5 = 0 then 'ws_0' else workspace_id end as workspace_id,
     version as request from {d('patches')})"""
 
@@ -391,6 +411,8 @@ def oracle_sql() -> dict[str, str]:
             case when changed and substr(md5(id), 2, 1) < '5' then '{{"token":"new"}}' else config end as config,
             epoch_ms(case when changed then {AS_OF} else updated_at end) as updated_at_ms
             from (select *, substr(md5(id), 1, 1) < '8' as changed from {d('destinations')})""",
+        "destination_outcomes": f"select id, version, op, outcome from {_CHANGED}",
+        "destination_patches": DESTINATIONS,
         "retry_schedule": f"""select id, attempt_number, cast(least(1000 * power(2, attempt_number - 1), 30000) as bigint) as delay_ms,
             false as exhausted, epoch_ms(attempted_at) + cast(least(1000 * power(2, attempt_number - 1), 30000) as bigint) as next_attempt_at_ms
             from {d('attempts')} where status = 'failed'""",

@@ -333,6 +333,22 @@ def credentials_updated(spark, sf):
     return config.decrypt_column(changed, F.lit(KEY_HEX)).select("id", "name", "type", "config", ms("updated_at"))
 
 
+@query
+def destination_outcomes(spark, sf):
+    outcomes = config.destination_outcomes(sealed_destinations(spark, sf), fixture(spark, sf, "destination_patches"))
+    return outcomes.select("id", "version", "op", "outcome")
+
+
+@query
+def destination_patches(spark, sf):
+    """Destinations created, updated several times and deleted; the config is read back to compare."""
+    before = sealed_destinations(spark, sf)
+    after = config.apply_destination_changes(before, fixture(spark, sf, "destination_patches"), F.lit(KEY_HEX))
+    return config.decrypt_column(after, F.lit(KEY_HEX)).select(
+        "id", "workspace_id", "name", "type", "config", ms("created_at"), ms("updated_at")
+    )
+
+
 @query
 def retry_schedule(spark, sf):
     planned = delivery.retry_schedule(fixture(spark, sf, "attempts"), backoff.BROKER)
