@@ -269,6 +269,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, order: int = 3, word_share: flo
     copies = whole.groupBy("doc", "tag").agg(F.count("*").alias("copies"))
     below = below.join(copies, ["doc", "tag"])  # repeated rows have repeated their rare words
     below = staged(below.select("doc", "tag", (F.col("rare") / F.col("copies")).alias("rare"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known")), "lm-rare")
+    dropped(counts)
     out = whole.join(below, ["doc", "tag"], "left")
     rest = F.coalesce("rare", F.lit(0.0))
     return out.select(

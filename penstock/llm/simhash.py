@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_diff: int = 2, seed:
     twice = ids.join(several, F.col("a") == F.col("doc"), "left_semi").distinct()  # ids of several texts tie their fingerprints
     roots = components(links.unionByName(twice))
     labels = staged(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component")), "components")
+    dropped(nodes, links)
     return prints.join(labels, "print")
 
 
@@ -249,7 +250,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     every = found
     for link in links:
         every = every.unionByName(link)
-    return components(every)
+    groups = components(every)
+    dropped(texts, alive, found, *links)
+    return groups
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

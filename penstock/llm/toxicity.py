@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstock.llm.common import fold, keyed, shown_id, staged, table
+from penstock.llm.common import dropped, fold, keyed, shown_id, staged, table
 
 #: Labelled rows of each class that the models learn from, at most; those of the smallest id hashes.
 ROWS_PER_CLASS = 4000
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(x, pa.float64())], ["toxic", "x"])
 
     measured = rows.mapInArrow(crossed, "toxic int, x double").toArrow()
+    dropped(rows)
     x, y = measured["x"].to_numpy(), measured["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Model({}, {})
