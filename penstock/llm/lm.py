@@ -1,19 +1,24 @@
 """LM scoring with a weighted backoff automaton.
 
-Word counts cover all training documents and stay a distributed table. Words and
-n-grams that make up at least a fixed share of all training tokens become the
-automaton: there can be no more than 1 / share of each order, at any corpus size,
-so it fits every executor. N-grams are counted level by level: one can't be more frequent
-than the shorter ones within it, so longer ones are only counted where all of those
-were kept. All counts are taken over all training documents.
+Counts of words and n-grams cover all training documents and stay distributed tables. An
+n-gram is kept from LEAST occurrences on, at any corpus size. What is kept of an order has all
+its shorter n-grams kept, so longer ones are only counted where a filter of those says so.
 
 States are the kept n-grams that begin another one. An arc carries a discounted
 log-probability; a state without an arc for the next token passes its failure arc,
 which carries the backoff weight, to the state of the next shorter history, down to
-the smoothed word frequencies. One pass from left to right carries the state and adds up.
-Words outside the automaton take the failure arcs to the bottom; their own
-frequencies come from the distributed counts by a join, in which no word can
-hold more than the fixed share of training tokens.
+the smoothed word frequencies.
+
+A path through the automaton costs the sum of its arcs and failure arcs. That sum is the same
+if each failure weight is moved on to the arc that enters its state: with value(g) =
+log p(g) - log p(g without its first word) - weight(history of g) + weight(g as a history), and words valued at their
+frequency and weight, a text's score is the sum of the values of all kept n-grams in it, of each order. So a text
+needs no state: its n-grams get their values by joins and are added up.
+Words and n-grams that hold at least a fixed share of all training tokens (no more than
+1 / share of an order) are valued from a broadcast; the rest, of which none is hot, by a
+shuffle. The shares decide on the route only, not on the score.
+
+N-grams go by 64-bit hashes: of a billion kept ones, 0.03 pairs are expected to share one.
 """
 
 from __future__ import annotations
@@ -24,17 +29,26 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstock.llm.common import dropped, fold, keyed, shown_id, staged, table
+from penstock.llm.common import CHUNK_WORDS, dropped, fold, keyed, shown_id, staged, table
 
-#: Least share of all training tokens, for words and for longer n-grams; so at most 1,000,000 and 500,000 of an order.
+#: Least share of all training tokens of what is broadcast, for words and for longer n-grams; so at most 1,000,000 and 500,000 of an order.
 WORD_SHARE, NGRAM_SHARE = 1e-6, 2e-6
+#: Occurrences from which an n-gram is kept.
+LEAST = 2
 DISCOUNT = 0.75
-#: The end token; no word holds a newline. A word number takes 21 bits.
-END, BITS = b"\n", 21
+#: The end token and the start, a history only; no word holds a newline. A word number takes 21 bits.
+END, START, BITS = b"\n", b"\n\n", 21
 LIMIT = 300_000
+#: Bits (their logarithm) of the filters of kept n-grams, at most. A full filter lets more n-grams through, which then find no value.
+FILTER_BITS = 29
+_SEED = 42
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -61,67 +75,136 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _packed(ids: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every n-gram of word numbers as one number, and whether all of it is known."""
-    n = len(ids) - order + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    key, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(order):
-        part = ids[k : k + n]
-        key = (key << BITS) | np.maximum(part, 0)
-        known &= part >= 0
-    return key, known
+class _Hashes(dict):
+    """word -> Spark's xxhash64 of it; forgets everything at a fixed size."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, _SEED)
+        return value
 
-def _renumbered(keys: np.ndarray, order: int, old: int, new: int) -> np.ndarray:
-    """Keys with the number `new` for the start, which was `old`."""
-    mask, out = (1 << BITS) - 1, np.zeros(len(keys), np.int64)
-    for k in range(order - 1, -1, -1):
-        part = keys >> BITS * k & mask
-        out = out << BITS | np.where(part == old, new, part)
-    return out
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
-def _count_ngrams(order: int, words, shorter):
-    """Counts of n-grams of known words whose two shorter n-grams are kept (`shorter` is sorted)."""
+
+def _joined(hist: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(hist, low)."""
+    value = np.full(len(hist), _SEED, np.uint64)
+    for part in (hist, low):
+        value = value + (_P5 + np.uint64(8)) ^ _turned(part * _P2, 31) * _P1
+        value = _turned(value, 27) * _P1 + _P4
+        value = (value ^ value >> np.uint64(33)) * _P2
+        value = (value ^ value >> np.uint64(29)) * _P3
+        value = value ^ value >> np.uint64(32)
+    return value
+
+
+def _chunks(batch: pa.RecordBatch, cache: _Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of start, words and end of each text, and the row of each, some texts at a time."""
+    flat: list[bytes] = []
+    sizes, first = [], 0
+    last = batch.num_rows - 1
+    for i, text in enumerate(batch.column("text")):
+        tokens = _tokens(text.as_buffer().to_pybytes())
+        flat.append(START)
+        flat += tokens
+        sizes.append(len(tokens) + 1)
+        if len(flat) >= CHUNK_WORDS or i == last:
+            yield np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat)), np.repeat(np.arange(first, i + 1), sizes)
+            flat, sizes, first = [], [], i + 1
+
+
+def _ngrams(hashes: np.ndarray, rows: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each order from 2: history, lower n-gram (without the first word), key and row of all n-grams within a text."""
+    keys = hashes
+    for size in range(2, order + 1):
+        hist, low = keys[:-1], keys[1:]
+        keys = _joined(hist, low)
+        inside = rows[: len(keys)] == rows[size - 1 :]
+        yield hist[inside], low[inside], keys[inside], rows[: len(keys)][inside]
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter of 2**k bits holds the keys; the first k bits of a key are its place."""
+    place = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _filter(kept: DataFrame, held: int):
+    """A filter of the keys of `kept`, eight bits for each of the `held` ones as far as FILTER_BITS goes."""
+    wide = min(FILTER_BITS, max(10, (8 * held).bit_length()))
+    place = kept.select(F.shiftrightunsigned("key", 64 - wide).alias("place"))
+    bit = F.expr("bit_or(shiftleft(1L, int(place & 63)))")
+    got = place.groupBy(F.shiftright("place", 6).alias("at")).agg(bit.alias("bits")).toArrow()
+    bits = np.zeros(1 << wide - 6, np.uint64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return kept.sparkSession.sparkContext.broadcast(bits)
+
+
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64)) for c in columns]
+
+
+def _count_ngrams(order: int, shorter):
+    """Counts of n-grams whose two shorter ones pass the filter `shorter`; no filter lets all pass."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(words.value)}
-        kept = shorter.value if shorter else None
-        held, size = [], 0
+        cache, held, size = _Hashes(), [], 0
 
         def rows() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            hist, low, keys = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "n"])
+            _, first, times = np.unique(keys, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays(_longs(hist[first], low[first], times.astype(np.int64)), ["hist", "low", "n"])
 
-        get = number.get
         for batch in batches:
-            for text in batch.column("text"):
-                tokens = _tokens(text.as_buffer().to_pybytes())
-                ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-                ids = np.concatenate([[len(number)], ids])  # the start, a history only
-                key, known = _packed(ids, order)
-                if kept is not None and len(key):
-                    left = key >> BITS
-                    right = key & ((1 << BITS * (order - 1)) - 1)
-                    for part in (left, right):
-                        at = np.minimum(np.searchsorted(kept, part), max(0, len(kept) - 1))
-                        known &= (kept[at] == part) if len(kept) else False
-                if known.any():
-                    held.append(key[known])
-                    size += len(held[-1])
+            for hashes, owner in _chunks(batch, cache):
+                *_, (hist, low, keys, _) = _ngrams(hashes, owner, order)
+                if shorter:
+                    known = _passes(shorter.value, hist) & _passes(shorter.value, low)
+                    hist, low, keys = hist[known], low[known], keys[known]
+                held.append((hist, low, keys))
+                size += len(keys)
                 if size > 1_500_000:
                     yield rows()
                     size = 0
-        yield rows()
+        if held:
+            yield rows()
+
+    return of
+
+
+def _found(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys are among the sorted ones, and whether they are."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _rest(size: int, hot, kept):
+    """(doc, tag, key) of n-grams of an order that the broadcast doesn't value and the filter lets through."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Hashes()
+        for batch in batches:
+            for hashes, owner in _chunks(batch, cache):
+                *_, (_, _, keys, rows) = _ngrams(hashes, owner, size)
+                known = _passes(kept.value, keys)
+                keys, rows = keys[known], rows[known]
+                other = ~_found(keys, hot.value[size - 2][0])[1]
+                rows = pa.array(rows[other])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").take(rows), batch.column("tag").take(rows), *_longs(keys[other])], ["doc", "tag", "key"]
+                )
 
     return of
 
 
 class Automaton:
-    """Arcs and failure arcs of the kept n-grams; states are numbers, 0 is the empty history."""
+    """Arcs and failure arcs of the kept n-grams; states are numbers, 0 is the empty history. The definition that sums of values are tested with."""
 
     def __init__(self, bottom: list[float], counts: list[int], ngrams: list[tuple[np.ndarray, np.ndarray]], starts: int):
         """bottom: log-probability of each word; counts: of each word; ngrams: keys and counts from order 2 up."""
@@ -196,7 +279,8 @@ def _traverse(ids: list[int], tables: tuple) -> float:
     return total
 
 
-def _score(words, tables):
+def _score(words, hot, order: int):
+    """Per text its sums over what is broadcast, and one row for each other word."""
     kinds = [
         ("doc", pa.int64()), ("tag", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
         ("model", pa.float64()), ("word", pa.string()), ("n", pa.int64()),
@@ -206,18 +290,25 @@ def _score(words, tables):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = {w: i for i, w in enumerate(words.value)}.get
-        held = tables.value
-        bottom = held[3]
+        often, bottom, weight, start = words.value
+        get = {w: i for i, w in enumerate(often)}.get
+        bottom, weight = np.append(bottom, 0.0), np.append(weight, 0.0)  # the last is for other words
+        cache = _Hashes()
         for batch in batches:
+            longer = np.full(batch.num_rows, start)
+            for hashes, owner in _chunks(batch, cache):
+                for (_, _, keys, rows), (known, values) in zip(_ngrams(hashes, owner, order), hot.value, strict=True):
+                    at, there = _found(keys, known)
+                    if there.any():
+                        longer += np.bincount(rows[there], values[at[there]], batch.num_rows)
             rows: list[tuple] = []
             docs, tags = batch.column("doc").to_pylist(), batch.column("tag").to_pylist()
-            for doc, tag, text in zip(docs, tags, batch.column("text"), strict=True):
+            for i, (doc, tag, text) in enumerate(zip(docs, tags, batch.column("text"), strict=True)):
                 tokens = _tokens(text.as_buffer().to_pybytes())
-                ids = [get(w, -1) for w in tokens]
-                rare = Counter(w for w, i in zip(tokens, ids, strict=True) if i < 0)
-                base = sum(bottom[i] for i in ids if i >= 0)
-                rows.append((doc, tag, len(tokens), len(tokens) - rare.total(), base, _traverse(ids, held), None, 0))
+                ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+                rare = Counter(tokens[k] for k in np.flatnonzero(ids < 0))
+                base = float(bottom[ids].sum())
+                rows.append((doc, tag, len(tokens), len(tokens) - rare.total(), base, base + float(weight[ids].sum() + longer[i]), None, 0))
                 rows += [(doc, tag, 0, 0, 0.0, 0.0, w.decode(), n) for w, n in rare.items()]
                 if len(rows) > 50_000:
                     yield records(rows)
@@ -227,11 +318,46 @@ def _score(words, tables):
     return of, ", ".join(f"{name} {'int' if kind == pa.int32() else 'double' if kind == pa.float64() else 'string' if kind == pa.string() else 'long'}" for name, kind in kinds)
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, order: int = 3, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE) -> DataFrame:
+def _model(counts: DataFrame, train: DataFrame, floor: float, order: int, least: int) -> tuple[DataFrame | None, list[DataFrame], list]:
+    """Weights of words as histories (hist, weight); per order from 2 the values (key, n, value) and a filter of their keys."""
+    spark = counts.sparkSession
+    start = spark.range(1).select(F.xxhash64(F.lit(START.decode())).alias("key"), F.lit(train.count()).cast("long").alias("n"), F.lit(None).cast("double").alias("chance"))
+    below = counts.select(F.xxhash64("word").alias("key"), "n", F.log10((F.col("n") + 0.5) / F.lit(floor)).alias("chance")).unionByName(start)
+    weights, arcs, filters = [], [], []
+    for size in range(2, order + 1):
+        counted = train.mapInArrow(_count_ngrams(size, filters[-1] if filters else None), "hist long, low long, n long")
+        found = staged(counted.groupBy("hist", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "lm-ngrams")
+        totals = below.select(F.col("key").alias("hist"), F.col("n").alias("total"))
+        lower = below.select(F.col("key").alias("low"), F.col("chance").alias("lower"))
+        chance = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
+        grams = found.join(totals, "hist").join(lower, "low").select(F.xxhash64("hist", "low").alias("key"), "hist", "n", chance.alias("chance"), "lower")
+        grams = staged(grams, "lm-chances")
+        dropped(found)
+        left = [F.greatest(1 - F.sum(F.pow(F.lit(10.0), c)), F.lit(1e-12)) for c in ("chance", "lower")]
+        weights.append(staged(grams.groupBy("hist").agg((F.log10(left[0]) - F.log10(left[1])).alias("weight")), "lm-weights"))
+        below = staged(grams.join(weights[-1], "hist").select("key", "n", "chance", (F.col("chance") - F.col("lower") - F.col("weight")).alias("gain")), "lm-arcs")
+        dropped(grams)
+        arcs.append(below)
+        filters.append(_filter(below, below.count()))
+    values = []
+    for k, arc in enumerate(arcs):
+        value = F.col("gain")
+        if k + 1 < len(arcs):
+            arc = arc.join(weights[k + 1].withColumnRenamed("hist", "key"), "key", "left")
+            value = value + F.coalesce("weight", F.lit(0.0))
+        values.append(staged(arc.select("key", "n", value.alias("value")), "lm-values"))
+    dropped(*arcs, *weights[1:])
+    return weights[0] if weights else None, values, filters
+
+
+def lm_scores(
+    docs: DataFrame, train: DataFrame, order: int = 3, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE, least: int = LEAST
+) -> DataFrame:
     """doc, tag, n_tokens, n_known, train_tokens, base_score, score for keyed rows, by a model of the keyed rows `train`.
 
     Tokens are the words of a text after lower-casing A-Z, then one end. base_score
-    takes add-0.5 word frequencies, score the automaton that backs off to them. Null and
+    takes add-0.5 word frequencies, score the automaton that backs off to them, with all n-grams
+    that occur `least` times in `train` (2 or more). The shares say what is broadcast and change no score. Null and
     empty texts are one end token. Without training rows every token has
     probability 1. Repeated rows get equal results.
     """
@@ -239,42 +365,59 @@ def lm_scores(docs: DataFrame, train: DataFrame, order: int = 3, word_share: flo
     counts = staged(train.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = 0.5 * (types + 1) + total
-    often = counts.where(F.col("n") >= word_share * total).orderBy(F.col("n").desc(), "word").toArrow()  # 1 / word_share at most
-    words, numbers = [w.encode() for w in often["word"].to_pylist()], often["n"].to_pylist()
-    vocabulary = spark.sparkContext.broadcast(words)
-    least = max(2, ngram_share * total)
-    paired = spark.sparkContext.broadcast([w for w, n in zip(words, numbers, strict=True) if n >= least])  # the first ones, so numbers agree
-    ngrams, kept = [], None
-    starts = train.count()
-    for size in range(2, order + 1):
-        counted = train.mapInArrow(_count_ngrams(size, paired, kept), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        found = staged(counted.where(F.col("n") >= least), "lm-ngrams")
-        got = found.orderBy("key").toArrow()  # 1 / ngram_share at most
-        dropped(found)
-        keys = got["key"].to_numpy()
-        ngrams.append((_renumbered(keys, size, len(paired.value), len(words)), got["n"].to_numpy()))
-        kept = spark.sparkContext.broadcast(keys)
-    bottom = [log10((n + 0.5) / floor) for n in numbers]
-    automaton = spark.sparkContext.broadcast(Automaton(bottom, numbers, ngrams, starts).tables())
-
-    score, shape = _score(vocabulary, automaton)
+    weights, values, filters = _model(counts, train, floor, order, max(2, least))
+    start, weighed = 0.0, counts.withColumn("weight", F.lit(0.0))
+    if weights:
+        first = weights.where(F.col("hist") == F.xxhash64(F.lit(START.decode()))).first()
+        start = first["weight"] if first else 0.0
+        weighed = counts.withColumn("hist", F.xxhash64("word")).join(weights, "hist", "left").select("word", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    weighed = staged(weighed, "lm-words")
+    often = weighed.where(F.col("n") >= word_share * total).toArrow()  # 1 / word_share at most
+    bottom = np.log10((often["n"].to_numpy() + 0.5) / floor)
+    words = spark.sparkContext.broadcast(([w.encode() for w in often["word"].to_pylist()], bottom, often["weight"].to_numpy(), start))
+    tables = []
+    for value in values:
+        got = value.where(F.col("n") >= ngram_share * total).toArrow()  # 1 / ngram_share at most
+        keys = got["key"].to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        tables.append((keys[by], got["value"].to_numpy()[by]))
+    hot = spark.sparkContext.broadcast(tables)
+
+    score, shape = _score(words, hot, order)
     rows = staged(docs.mapInArrow(score, shape), "lm-rows")
     whole = rows.where("word is null")
     rare = rows.where("word is not null").select("doc", "tag", "word", F.col("n").alias("times"))
     chance = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(floor))
-    below = (
-        rare.join(counts, "word", "left")
-        .groupBy("doc", "tag").agg(F.sum(F.col("times") * chance).alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    )
+    weight = F.coalesce("weight", F.lit(0.0))
+    parts = [
+        staged(
+            rare.join(weighed, "word", "left")
+            .groupBy("doc", "tag").agg(
+                F.sum(F.col("times") * chance).alias("rare"), F.sum(F.col("times") * (chance + weight)).alias("gain"),
+                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+            ),
+            "lm-rare",
+        )
+    ]
+    for size, (value, kept) in enumerate(zip(values, filters, strict=True), 2):
+        other = value.where(F.col("n") < ngram_share * total).select("key", "value")
+        if other.take(1):
+            met = docs.mapInArrow(_rest(size, hot, kept), "doc long, tag int, key long").join(other, "key")
+            gain = met.groupBy("doc", "tag").agg(F.sum("value").alias("gain"))
+            parts.append(staged(gain.select("doc", "tag", F.lit(0.0).alias("rare"), "gain", F.lit(0).cast("long").alias("rare_known")), "lm-gains"))
+    below = parts[0]
+    for part in parts[1:]:
+        below = below.unionByName(part)
+    below = below.groupBy("doc", "tag").agg(*[F.sum(c).alias(c) for c in ("rare", "gain", "rare_known")])
     copies = whole.groupBy("doc", "tag").agg(F.count("*").alias("copies"))
-    below = below.join(copies, ["doc", "tag"])  # repeated rows have repeated their rare words
-    below = staged(below.select("doc", "tag", (F.col("rare") / F.col("copies")).alias("rare"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known")), "lm-rare")
-    dropped(counts)
+    below = below.join(copies, ["doc", "tag"])  # repeated rows have repeated their rare words and n-grams
+    below = below.select("doc", "tag", *[(F.col(c) / F.col("copies")).alias(c) for c in ("rare", "gain")], (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known"))
+    below = staged(below, "lm-below")
+    dropped(counts, weighed, *parts, *values, *([weights] if weights else []))
     out = whole.join(below, ["doc", "tag"], "left")
-    rest = F.coalesce("rare", F.lit(0.0))
     return out.select(
         "doc", "tag", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("model") + rest).alias("score"),
+        (F.col("base") + F.coalesce("rare", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

@@ -316,6 +316,35 @@ def test_lm_rare_words_and_odd_rows(spark, odd, empty):
     assert {(r.score, r.n_known, r.train_tokens) for r in untrained} == {(0.0, 0, 0)}
 
 
+def scores_by_force(train, texts, least=2):
+    """Traversals of the automaton over all words and all n-grams that occur `least` times."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    counts = Counter(w for t in train for w in tokens(t))
+    number = {w: i for i, w in enumerate(counts)}
+    floor = counts.total() + 0.5 * (len(counts) + 1)
+    grams = []
+    for order in (2, 3):
+        ids = [[len(number), *(number[w] for w in tokens(t))] for t in train]
+        found = Counter(tuple(t[i : i + order]) for t in ids for i in range(len(t) + 1 - order))
+        kept = {g: n for g, n in found.items() if n >= least}
+        grams.append((np.array([sum(x << lm.BITS * (order - 1 - k) for k, x in enumerate(g)) for g in kept], np.int64), np.array(list(kept.values()))))
+    automaton = lm.Automaton([log10((n + 0.5) / floor) for n in counts.values()], list(counts.values()), grams, len(train))
+    unknown = log10(0.5 / floor)
+    return [lm._traverse([number.get(w, -1) for w in tokens(t)], automaton.tables()) + unknown * sum(w not in number for w in tokens(t)) for t in texts]
+
+
+def test_lm_keeps_ngrams_at_any_share(spark, db):
+    """The shares only decide what is broadcast: n-grams far below them, and all orders of rare words, count as by definition."""
+    rows = [(d, t) for d, t in documents(db)[:120]] + [(10**6, "new words of no training text"), (10**6 + 1, ""), (10**6 + 1, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = frame.where("doc_id % 4 != 0")
+    force = dict(zip([d for d, _ in rows], scores_by_force([t for d, t in rows if d % 4], [t for _, t in rows]), strict=True))
+    for share in ({}, {"word_share": 0.001, "ngram_share": 0.0005}, {"word_share": 1.0, "ngram_share": 1.0}):
+        got = lm.lm_scores(keyed(frame), keyed(train), **share).collect()
+        assert len(got) == len(rows)
+        assert all(abs(r.score - force[r.doc]) < 1e-6 * max(1, abs(force[r.doc])) for r in got)
+
+
 def test_automaton_is_a_distribution():
     """Over all words, known or not, the chances after any history sum to one; the traversal agrees with the definition."""
     rng = np.random.default_rng(1)
