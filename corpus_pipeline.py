@@ -15,7 +15,7 @@ from penstock.llm.common import NO_ID, keyed, staged, table
 from penstock.llm.decontaminate import contamination
 from penstock.llm.mixing import mix
 from penstock.llm.pii import pseudonym_key, pseudonymised
-from penstock.llm.simhash import NAMELESS, near_duplicates, similar_documents
+from penstock.llm.simhash import NAMELESS, components, near_duplicates, similar_documents
 from penstock.llm.toxicity import THRESHOLD, fit, scored
 
 
@@ -45,19 +45,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id, once.
 
-    Groups are those of the fingerprints, at two bits of difference, and then, among what is left,
-    those of texts whose five-word shingles are 0.8 alike. Of a group in which no
+    Documents are linked by fingerprints, at two bits of difference, and by five-word shingles that
+    are 0.8 alike; groups are what all these links connect. Of a group in which no
     row has an id, one row stays; of several texts under the id that stays, one.
     """
-    once = staged(_first_of_prints(docs), "prints-once")
-    similar = similar_documents(keyed(once.where("doc_id is not null")))
-    own, back = _own_names(once)
-    return own.join(staged(similar.select(F.col("node").alias("_doc")), "similar-copies"), "_doc", "left_anti").select(*back)
-
-
-def _first_of_prints(docs: DataFrame) -> DataFrame:
-    """One row of each group of near fingerprints."""
-    found = near_duplicates(keyed(docs))
+    found = staged(near_duplicates(keyed(docs)), "print-groups")
+    # texts by their hashes, one row each: no one leaves before all links are found
+    texts = staged(keyed(docs).select("tag", F.col("doc").alias("of"), F.xxhash64("text").alias("doc"), "text"), "hashed-texts")
+    similar = staged(similar_documents(staged(texts.dropDuplicates(["doc"]).select("doc", "tag", "text"), "distinct-texts")), "similar-texts")
+    held = texts.select(F.col("of").alias("doc"), "tag", F.col("doc").alias("node")).join(found.select("doc", "tag", "component").distinct(), ["doc", "tag"])
+    held = held.select("node", "component").distinct().join(similar, "node").select("root", "component").distinct()
+    roots = similar.select("root").distinct().withColumn("node", F.col("root"))
+    own_roots = texts.select(F.col("of").alias("doc"), "tag", F.col("doc").alias("node")).join(roots, "node")
+    own_roots = own_roots.join(found.select("doc", "tag", "component").distinct(), ["doc", "tag"]).select("root", "component").distinct()
+    held = staged(held.unionByName(own_roots).distinct(), "similar-components")
+    low = held.groupBy("root").agg(F.min("component").alias("b"))
+    links = staged(held.join(low, "root").select(F.col("component").alias("a"), "b").where("a != b"), "component-links")
+    merged = staged(components(links), "merged-components").withColumnRenamed("node", "component")
+    found = found.join(merged, "component", "left").select("doc", "tag", F.coalesce("root", "component").alias("component"))
+    return _first_of_groups(docs, staged(found, "near-groups"))
+
+
+def _first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each group; `found` has the group (component) of each key."""
     first = found.where(F.col("component") >= NAMELESS).groupBy("component").agg(F.min("tag").alias("first"))
     found = found.join(staged(first, "nameless-groups"), "component", "left")
     copies = found.where(F.when(F.col("first").isNull(), F.col("doc") != F.col("component")).otherwise(F.col("tag") != F.col("first")))

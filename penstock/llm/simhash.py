@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BITS, SEGMENTS = 64, 16
 NAMELESS = 2**62
 #: Fingerprints of one key from which they meet at flipped values, not in pairs.
 DENSE = 32
+#: Of so many documents one is counted to find common shingles, and the number of those, at most. Both decide on an order only.
+SAMPLED, COMMON = 8, 500_000
 
 
 def _fingerprints(shingle: int, seed: int):
@@ -215,16 +218,53 @@ def _alike(shingle: int, similarity: float):
     return of
 
 
+def _sets(shingle: int):
+    """(key): the shingles of each document."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text.as_buffer().to_pybytes(), shingle).view(np.int64))], ["key"])
+
+    return of
+
+
+def _prefixes(shingle: int, similarity: float, common):
+    """(doc, key, size, rest): the first shingles of each document, its number of shingles, and how many there are from this one on.
+
+    The order is by hash, with the common ones (sorted, with their ranks) last.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = common.value
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                keys = _shingles(text.as_buffer().to_pybytes(), shingle)
+                n = len(keys)
+                if not n:
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    keys = keys[np.lexsort((keys, np.where(known[at] == keys, ranks[at], -1)))]
+                first = n - ceil(similarity * n - 1e-6) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(first, doc)), pa.array(keys[:first].view(np.int64)), pa.array(np.full(first, n)), pa.array(n - np.arange(first))],
+                    ["doc", "key", "size", "rest"],
+                )
+
+    return of
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, per_view: int = 4, views: int = 12) -> DataFrame:
-    """node, root: documents whose sets of `shingle` words are `similarity` alike, by groups.
-
-    For keyed rows of one text per id. The fingerprint of a whole text at a similarity of 0.8
-    differs in some ten of 64 bits, too many for any exact filter. Fingerprints of parts
-    do better: the set of shingles is dealt into parts of about `per_view` by their hashes,
-    and of two texts at 0.8 each part is equal with a chance of 0.4, at least one of 12
-    with 0.998. Within a group of equal parts each document is compared with one
-    leader by exact similarity over whole texts, never all with all. Grouped
-    documents leave, but for one, and the rest choose new leaders, until a round groups none.
+    """node, root: documents whose sets of `shingle` words are `similarity` alike, by groups; all such links count.
+
+    For keyed rows of one text per id. Two routes. The first links large groups at low cost: the set of
+    shingles is dealt into parts of about `per_view` by their hashes, and within a group of equal parts each document is
+    compared with one leader. Grouped documents leave, but for one, and the rest choose new leaders, until a round
+    groups none. It finds most links, at no certainty.
+    The second is exact: in a common order of all shingles, of two sets that are `similarity` alike each has one
+    of the other's among its first n - similarity * n + 1. Documents that meet at one of these, and are not in
+    one group yet, are compared over whole texts, unless their sizes or what follows rule it out.
     """
     probes = staged(docs.mapInArrow(_views(shingle, per_view, views), "doc long, view long"), "views")
     held = staged(probes.groupBy("view").agg(F.count_distinct("doc").alias("n")).where("n > 1").select("view"), "views-shared")
@@ -250,9 +290,37 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     every = found
     for link in links:
         every = every.unionByName(link)
-    groups = components(every)
-    dropped(texts, alive, found, *links)
-    return groups
+    groups = staged(components(every), "leader-groups")
+    exact = _exact_links(docs, groups, similarity, shingle)
+    out = components(every.unionByName(exact))
+    dropped(texts, alive, found, groups, exact, *links)
+    return out
+
+
+def _exact_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b: all documents that are `similarity` alike and not in one of `groups` (node, root) yet."""
+    spark = docs.sparkSession
+    some = docs.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(SAMPLED)) == 0)
+    often = some.mapInArrow(_sets(shingle), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    often = often.orderBy(F.col("n").desc(), "key").limit(COMMON).toArrow()["key"].to_numpy().view(np.uint64)[::-1]
+    by = np.argsort(often)
+    common = spark.sparkContext.broadcast((often[by], by))
+    probes = staged(docs.mapInArrow(_prefixes(shingle, similarity, common), "doc long, key long, size long, rest long"), "prefixes")
+    shared = staged(probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "prefixes-shared")
+    roots = groups.select(F.col("node").alias("doc"), "root")
+    met = staged(probes.join(shared, "key").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc")), "prefixes-met")
+    left, right = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "size", "rest", "root")]) for side in "ab")
+    least = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6)
+    # each pair once, the smaller set first; at the first shingle they share all others follow
+    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("doc_a") < F.col("doc_b")))
+    holds = ordered & (F.col("root_a") != F.col("root_b")) & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6) & (F.least("rest_a", "rest_b") >= least)
+    pairs = staged(left.join(right, "key").where(holds).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "prefix-pairs")
+    texts = docs.select("doc", "text")
+    sides = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    sides = sides.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    out = staged(sides.mapInArrow(_alike(shingle, similarity), "a long, b long"), "exact-links")
+    dropped(probes, shared, met, pairs)
+    return out
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,26 @@ def test_similar_texts_without_near_prints(spark):
     assert near and not any(alike(texts[a], texts[b]) for i, a in enumerate(near) for b in near[i + 1 :])
 
 
+def left_by_stage(spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+
+
+def test_star_and_template_groups(spark):
+    """Copies alike to one original only, whose id is the largest; and alike pairs that share a template with all others."""
+    original = [f"s{i}" for i in range(404)]
+    star = [(i, " ".join([*(w if (k * 7 + i * 11) % 61 else f"c{i}x{k}" for k, w in enumerate(original))])) for i in range(60)]
+    star.append((1000, " ".join(original)))
+    template = [f"t{i}" for i in range(120)]
+    rows = star + [(2000 + 2 * g + c, " ".join([*template, *(f"g{g}w{k}" for k in range(120 if c else 121))])) for g in range(30) for c in range(2)]
+    kept = left_by_stage(spark, rows)
+    texts = [t for _, t in kept]
+    assert all(alike(t, star[-1][1]) for _, t in star) and not alike(star[0][1], star[1][1])
+    assert [d for d, _ in kept if d <= 1000] == [0]
+    assert sorted(d for d, _ in kept if d >= 2000) == [2000 + 2 * g for g in range(30)]
+    assert not any(alike(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :])
+
+
 def test_contaminated_go_and_others_stay(spark, stages):
     from penstock.llm.common import keyed
     from penstock.llm.decontaminate import contamination
