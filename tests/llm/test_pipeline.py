@@ -78,6 +78,16 @@ def test_star_and_template_groups(spark):
     assert not any(alike(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :])
 
 
+def test_short_and_nameless_near_copies(spark):
+    """Texts of five shingles against six, and rows without an id alike to each other or to a row that has one."""
+    rows = [(10 * g + c, " ".join(f"g{g}w{k}" for k in range(9 + c))) for g in range(40) for c in range(2)]
+    long = [f"n{i}" for i in range(100)]
+    rows += [(None, " ".join([*long, "x"])), (None, " ".join([*long, "y", "z"])), (None, " ".join(f"g3w{k}" for k in range(11)))]
+    kept = left_by_stage(spark, rows)
+    assert sorted(d for d, _ in kept if d is not None) == [10 * g for g in range(40)]
+    assert sum(d is None for d, _ in kept) == 1
+
+
 def test_contaminated_go_and_others_stay(spark, stages):
     from penstock.llm.common import keyed
     from penstock.llm.decontaminate import contamination
