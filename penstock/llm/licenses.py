@@ -7,6 +7,8 @@ licences. The same is done with each line, for notices within other texts.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,27 @@ COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?: [^\p{L}\n]|[^\p{L}\n]|$)|\(c\
 OTHER = r"[^\p{L}\p{N}\n]+"
 
 
+#: Long licences by the file in license_files that has the text; a text alone doesn't say "or later", so it counts as the version only.
+LONG = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only",
+    "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only",
+    "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+LAST = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """license, text of LONG; those with an appendix on how to apply them also without it."""
+    out = []
+    for name, license_id in LONG.items():
+        text = (files("penstock.llm") / "license_files" / f"{name}.txt").read_text("utf-8")
+        out.append((license_id, text))
+        if LAST in text:
+            out.append((license_id, text[: text.rindex(LAST)]))
+            out.append((license_id, text[: text.rindex(LAST) + len(LAST)]))
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical writing, without empty ones."""
     plain = F.regexp_replace(F.lower(text), COPYRIGHT, "")
@@ -27,27 +50,29 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
-    """digest, license, size (characters of the canonical text) of the catalogue."""
-    rows = spark.createDataFrame(texts, "license string, text string")
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None, more: DataFrame | None = None) -> DataFrame:
+    """digest, license, size (characters of the canonical text) of the catalogue: `texts`, TEXTS and LONG if none, and the table `more`."""
+    rows = spark.createDataFrame(TEXTS + long_texts() if texts is None else texts, "license string, text string")
+    if more is not None:
+        rows = rows.unionByName(more.select("license", "text"))
     rows = rows.select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("text"))
     return rows.select(F.sha2("text", 256).alias("digest"), "license", F.length("text").alias("size")).distinct()
 
 
-def license_scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
+def license_scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, more: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license, notices: one row per document.
 
     `license` is that of the entire text, null if unknown; `notices` has the sorted
     identifiers of all lines that are known by themselves, comma-joined, empty if
     none. Null and empty texts have the digest of nothing, which is no licence. Repeated
-    rows get equal results; extra columns are ignored.
+    rows get equal results; extra columns are ignored. `more` (license, text) adds to the catalogue.
 
-    The catalogue is part of the code, so it is broadcast; documents aren't shuffled
+    The catalogue is small, so it is broadcast; documents aren't shuffled
     but for the few that have notices, whose identifiers are joined back. Lines of a
     length that no known text has are not digested.
     """
     spark = docs.sparkSession
-    known = staged(known_digests(spark, texts), "license-digests")
+    known = staged(known_digests(spark, texts, more), "license-digests")
     sizes = [r.size for r in known.select("size").distinct().collect()]
     fitting = F.transform(F.filter("lines", lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
     rows = staged(

@@ -284,6 +284,20 @@ def test_license_scan(spark, odd, empty):
     assert license_scan(empty).count() == 0
 
 
+def test_license_scan_of_long_texts(spark):
+    """Entire long licences, wrapped in another way or without their appendix; and a catalogue table."""
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+    texts = {}
+    for i, name in enumerate(names):
+        with open(f"/usr/share/common-licenses/{name}") as f:
+            texts[i] = f.read()
+    rows = [(i, t.upper().replace("\n", "\n\n ")) for i, t in texts.items()]
+    rows += [(20, texts[0][: texts[0].index("   APPENDIX")]), (21, texts[0][:-30]), (22, "Do as you like.")]
+    more = spark.createDataFrame([("Own", "do as YOU like")], "license string, text string")
+    got = {r.doc_id: r.license for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), more=more).collect()}
+    assert got == dict(enumerate(names.values())) | {20: "Apache-2.0", 21: None, 22: "Own"}
+
+
 # LM scores
 
 
