@@ -6,6 +6,7 @@ from penstock.llm.licenses import OP6_SQL, op6_license_scan
 from penstock.llm.lm import op7_lm_scores
 from penstock.llm.mixing import OP3_SQL, op3_source_mix
 from penstock.llm.pii import op8_pseudonyms
+from penstock.llm.repair import op12_conversation_repair
 from penstock.llm.simhash import op5_simhash
 from penstock.llm.substrings import op1_substring_dedup
 from penstock.llm.topk import OP9_SQL, op9_exact_top_k
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_decontaminate": op10_decontaminate,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE = {
