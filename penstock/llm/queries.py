@@ -7,7 +7,7 @@ from penstock.llm.lm import op7_lm_scores
 from penstock.llm.mixing import OP3_SQL, op3_source_mix
 from penstock.llm.neighbours import op13_embedding_dedup
 from penstock.llm.pii import op8_pseudonyms
-from penstock.llm.repair import op12_conversation_repair
+from penstock.llm.repair import OP12_SQL, op12_conversation_repair
 from penstock.llm.simhash import op5_simhash
 from penstock.llm.substrings import op1_substring_dedup
 from penstock.llm.topk import OP9_SQL, op9_exact_top_k
@@ -35,4 +35,5 @@ ORACLE = {
     "op6_license_scan": OP6_SQL,
     "op9_exact_top_k": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }

@@ -264,7 +264,7 @@ def _blank(text: Column) -> Column:
 def ordered(rows: DataFrame) -> DataFrame:
     """c, turn, role, digest, text of rows (conv_id, turn, role, text); a null role or text is one space, a null conversation one of its own."""
     role, text = (F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("role", "text"))
-    digest = F.md5(F.concat_ws("\x00", role, text))
+    digest = F.md5(F.concat(F.length(role), F.lit(":"), role, text))
     return rows.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("c"), F.col("turn").cast("long").alias("turn"), role.alias("role"), digest.alias("digest"), text.alias("text")
     )
@@ -414,3 +414,58 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = [F.coalesce(F.col(name), F.lit(0).cast("long")).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     nothing = F.sha2(F.lit(""), 256)
     return out.select(shown_id("c").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+  FROM conversations),
+h AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(bytes, lambda c, b: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b)), 4294967295)) % 20 AS kind
+  FROM k),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM h WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i FROM d),
+f AS (
+  SELECT *, left(role, 1) AS ini, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM o),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id),
+ins(s, t, c, a) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+mv(t, u, c, a, ini) AS (VALUES (0, 0, 3, 'D', ''), (1, 1, 3, 'D', ''), (2, 2, 3, 'D', ''), (3, 3, 3, 'D', ''), (0, 2, 2, 'R', ''), (1, 2, 2, 'R', ''), (2, 3, 2, 'R', ''), (3, 2, 2, 'R', ''),
+  (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a'), (3, 2, 0, 'K', 'u')),
+r AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, {'c': 0::BIGINT, 'a': ''} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, i, u, min(way)
+  FROM (SELECT r.conv_id, f.i, mv.u, {'c': (r.best.c + ins.c + mv.c + CASE WHEN fault = 'truncated' AND mv.a <> 'D' THEN 1 ELSE 0 END)::BIGINT, 'a': r.best.a || ins.a || mv.a} AS way
+        FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1 JOIN ins ON ins.s = r.s JOIN mv ON mv.t = ins.t
+        WHERE mv.a = 'D' OR fault NOT IN ('blank', 'duplicate') AND (mv.a = 'R' OR mv.ini = f.ini)) GROUP BY conv_id, i, u),
+won AS (
+  SELECT c.conv_id, min({'c': (best.c + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END)::BIGINT, 'a': best.a || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS best
+  FROM r JOIN counts c ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.n GROUP BY c.conv_id),
+letters AS (SELECT conv_id, best.a AS a, unnest(range(1, length(best.a) + 1)) AS p FROM won),
+placed AS (
+  SELECT conv_id, p, substr(a, p, 1) AS letter, length(replace(substr(a, 1, p), 'I', '')) AS i, length(replace(substr(a, 1, p), 'D', '')) AS q FROM letters),
+edited AS (
+  SELECT l.conv_id, l.p, l.letter, l.q, f.role, f.text, bool_or(l.q = 1 AND l.letter = 'K' AND f.ini = 's') OVER (PARTITION BY l.conv_id) AS led
+  FROM placed l LEFT JOIN f ON l.letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE l.letter <> 'D'),
+said AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (q + CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS body
+  FROM edited GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN said x ON x.conv_id IS NOT DISTINCT FROM g.conv_id
+"""

@@ -56,7 +56,7 @@ def empty(spark, odd):
 @pytest.fixture(scope="module")
 def db():
     connection = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         connection.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return connection
 

@@ -53,7 +53,7 @@ def best_by_force(rows):
 
 def expected(rows):
     """All result columns of one conversation, of damaged (turn, role, text) rows."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{r[1]}\x00{r[2]}".encode()).hexdigest()))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
     counts, seen, judged = [0, 0, 0], set(), []
     for _, role, text in rows:
         words = re.sub(r"[\x20\x09-\x0D]", "", text)
