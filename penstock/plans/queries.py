@@ -20,7 +20,7 @@ from penstock.plans import ingestion
 from penstock.plans.fixtures import fixture
 from penstock.session import prepare, scratch_dir, staged
 from penstock.sources import queue, sinks, tables
-from penstock.streaming import jobs, labels
+from penstock.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,25 +604,29 @@ def alert_rules(spark, sf):
 # --- streams ------------------------------------------------------------------------------
 
 
-CUT = "2024-01-16"  # where the feed is cut into two runs
+CUTS = ["2024-01-16"]  # where the feed is cut into two runs
+FIVE = ["2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25"]
 
 
-def in_two_runs(
-    spark: SparkSession, df: DataFrame, time: str, start: Callable[[DataFrame], object]
+def in_runs(
+    spark: SparkSession, df: DataFrame, time: str | Column, start: Callable[[DataFrame], object], cuts: list[str] = CUTS
 ) -> None:
-    """Feed `df` to a stream in two parts by time; `start` runs on the same checkpoint for each.
+    """Feed `df` to a stream in parts by time; `start` runs on the same checkpoint for each.
 
-    The second run picks up where the first stopped, as after a restart.
+    A later run picks up where the one before stopped, as after a restart.
     """
     path = scratch_dir(spark, "feed")
-    for part in (F.col(time) < CUT, F.col(time) >= CUT):
-        df.filter(part).write.mode("append").parquet(path)
+    df = staged(df, "feed-rows")
+    at = F.col(time) if isinstance(time, str) else time
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = F.lit(True) if low is None else at >= low
+        df.filter(part if high is None else part & (at < high)).write.mode("append").parquet(path)
         start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 def ingested_stream(spark: SparkSession, sf: str, name: str) -> str:
     root, checkpoint = scratch_dir(spark, "ingest"), scratch_dir(spark, "checkpoint")
-    in_two_runs(spark, fixture(spark, sf, name), "arrived_at", lambda s: jobs.stream_ingest(s, root, checkpoint))
+    in_runs(spark, fixture(spark, sf, name), "arrived_at", lambda s: jobs.stream_ingest(s, root, checkpoint), FIVE)
     return root
 
 
@@ -644,8 +648,8 @@ def stream_dedupe(spark, sf):
 @query
 def stream_labels(spark, sf):
     root, checkpoint = scratch_dir(spark, "labels"), scratch_dir(spark, "checkpoint")
-    in_two_runs(spark, fixture(spark, sf, "arrivals"), "arrived_at", lambda s: labels.stream_labels(s, root, checkpoint))
-    return jobs.read_batches(spark, root, "labels", labels.LABELLED).select("event_id", "arrival_seq", "status")
+    in_runs(spark, fixture(spark, sf, "arrivals"), "arrived_at", lambda s: jobs.stream_labels(s, root, checkpoint), FIVE)
+    return jobs.read_batches(spark, root, "labelled", "event_id STRING, arrival_seq BIGINT, status STRING").select("event_id", "arrival_seq", "status")
 
 
 @query
@@ -689,10 +693,10 @@ def queue_source(spark, sf):
     for part in (messages, messages.filter(F.crc32("value") % 3 == 0)):
         queue.publish(part.coalesce(2), path)
         stream = queue.queue_source(spark, path, "routing_key STRING, value STRING, published_at TIMESTAMP", files_per_trigger=1)
-        jobs.run_batches(
-            queue.consumed_once(stream), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint
+        jobs.consume_once(
+            stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/consumed/batch={n}"), out, checkpoint
         ).awaitTermination()
-    consumed = spark.read.parquet(out)
+    consumed = spark.read.parquet(f"{out}/consumed")
     return consumed.select(
         "routing_key", F.get_json_object("value", "$.payload.eventId").alias("event_id"), ms("published_at")
     )
@@ -705,7 +709,7 @@ def stream_pipeline(spark, sf):
     def read_config():
         return fixture(spark, sf, "pipelines"), fixture(spark, sf, "destinations"), profiles(spark, sf)
 
-    in_two_runs(
+    in_runs(
         spark, fixture(spark, sf, "stored"), "received_at",
         lambda s: jobs.stream_pipeline(s, root, checkpoint, read_config),
     )
@@ -717,7 +721,7 @@ def stream_pipeline(spark, sf):
 def stream_throughput(spark, sf):
     """Closed six-hour windows, tumbling; the last ones stay open until later events arrive."""
     out, checkpoint = scratch_dir(spark, "throughput"), scratch_dir(spark, "checkpoint")
-    in_two_runs(
+    in_runs(
         spark, fixture(spark, sf, "stored"), "received_at",
         lambda s: jobs.stream_throughput(s, out, checkpoint, "6 hours"),
     )
@@ -727,7 +731,7 @@ def stream_throughput(spark, sf):
 @query
 def stream_throughput_sliding(spark, sf):
     out, checkpoint = scratch_dir(spark, "sliding"), scratch_dir(spark, "checkpoint")
-    in_two_runs(
+    in_runs(
         spark, fixture(spark, sf, "stored"), "received_at",
         lambda s: jobs.stream_throughput(s, out, checkpoint, "12 hours", "6 hours"),
     )

@@ -22,11 +22,7 @@ def queue_source(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def consumed_once(messages: DataFrame) -> DataFrame:
-    """Messages without the copies that redelivery causes, by message id.
-
-    On a stream the ids seen so far are state, so a copy is dropped in whatever
-    micro-batch it arrives; on a batch table it drops the copies within it.
-    """
+    """Messages of a table without the copies that redelivery causes, by message id; `jobs.consume_once` does so over a stream."""
     return messages.withColumn("message_id", F.get_json_object("value", "$.meta.messageId")).dropDuplicates(
         ["message_id"]
     )

@@ -15,7 +15,8 @@ from pyspark.storagelevel import StorageLevel
 
 from penstock import schema
 from penstock.operators import delivery, ingest, requests, steps
-from penstock.sources import sinks
+from penstock.sources import queue, sinks
+from penstock.streaming.idtable import IdTable, claim
 
 
 def batch_path(root: str, table: str, batch: int) -> str:
@@ -40,15 +41,14 @@ QUARANTINE = """
     batch_id STRING, pos INT, workspace_id STRING, arrived_at TIMESTAMP, status_code INT, error STRING,
     message ARRAY<STRING>, correlation_id STRING, errors ARRAY<STRUCT<field: STRING, message: STRING>>, raw STRING
 """
-IDS = "event_id STRING, ingested_at TIMESTAMP"
 
 
-def ingest_batch(spark_batch: DataFrame, batch: int, root: str) -> None:
+def ingest_batch(spark_batch: DataFrame, batch: int, root: str, ids: IdTable) -> None:
     """Validate, split, deduplicate against what earlier batches stored, and write all branches.
 
     The parsed and validated rows are kept for the two branches that read them. The
-    ids stored so far are a narrow table of their own; only ids of this batch are
-    looked up in it.
+    ids stored so far are a narrow table cut by hash buckets; only the buckets of this
+    batch's ids are read.
     """
     spark = spark_batch.sparkSession
     validated = requests.validate_events(requests.parse_raw_events(spark_batch))
@@ -60,25 +60,71 @@ def ingest_batch(spark_batch: DataFrame, batch: int, root: str) -> None:
     finally:
         validated.unpersist()
     arrived = spark.read.schema(rows.schema).parquet(batch_path(root, "arrivals", batch))
-    store = None
-    if batch > 0:
-        known = read_batches(spark, root, "ids", IDS, before=batch)
-        store = known.join(arrived.select("event_id").distinct(), "event_id", "left_semi").select(
-            "event_id", "ingested_at"
-        )
-    labelled = ingest.dedupe_status(arrived, store, order=ingest.REQUEST_ORDER)
-    labelled.write.mode("overwrite").parquet(batch_path(root, "labelled", batch))
-    labelled = spark.read.schema(labelled.schema).parquet(batch_path(root, "labelled", batch))
+    labelled = labelled_batch(arrived, batch, root, ids, ingest.REQUEST_ORDER)
     accepted = labelled.filter(F.col("status") == "accepted")
     ingest.event_envelope(accepted).write.mode("overwrite").parquet(batch_path(root, "queue", batch))
-    accepted.select("event_id", F.col("arrived_at").alias("ingested_at")).write.mode("overwrite").parquet(
-        batch_path(root, "ids", batch)
-    )
 
 
-def stream_ingest(stream: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Raw requests to quarantine, labelled arrivals, stored ids and queue messages."""
-    return run_batches(stream, lambda df, n: ingest_batch(df, n, root), checkpoint, once)
+def labelled_batch(arrived: DataFrame, batch: int, root: str, ids: IdTable, order: tuple[str, ...]) -> DataFrame:
+    """Write the labels of a batch's arrivals, and make the ids it accepts known to later batches.
+
+    Nothing is held between batches but the id table, of which only the buckets of this batch's ids are read.
+    """
+    store = ids.find(arrived, batch).select("event_id", F.timestamp_micros("first_us").alias("ingested_at"))
+    labelled = ingest.dedupe_status(arrived, store if batch else None, order=order)
+    labelled.write.mode("overwrite").parquet(batch_path(root, "labelled", batch))
+    labelled = arrived.sparkSession.read.schema(labelled.schema).parquet(batch_path(root, "labelled", batch))
+    ids.add(labelled.filter(F.col("status") == "accepted").select("event_id", F.unix_micros("arrived_at").alias("first_us")), batch)
+    return labelled
+
+
+def stream_ingest(stream: DataFrame, root: str, checkpoint: str, once: bool = True, buckets: int = 32) -> StreamingQuery:
+    """Raw requests to quarantine, labelled arrivals, stored ids and queue messages.
+
+    The more batches a day, the more `buckets` keep a look-up small. `root` belongs to one checkpoint.
+    """
+    claim(stream.sparkSession, root, checkpoint)
+    ids = IdTable(f"{root}/ids", buckets)
+    return run_batches(stream, lambda df, n: ingest_batch(df, n, root, ids), checkpoint, once)
+
+
+def stream_labels(stream: DataFrame, root: str, checkpoint: str, once: bool = True, buckets: int = 32) -> StreamingQuery:
+    """Arrivals (event_id, arrived_at, arrival_seq) to a table of labels, in three states.
+
+    No state is kept in Spark: an id is a duplicate or a conflict by its entry in the id table, for
+    ever, and nobody's clock decides when state may go. Input rows of a look-up follow the batch.
+    """
+    claim(stream.sparkSession, root, checkpoint)
+    ids = IdTable(f"{root}/ids", buckets)
+
+    def label(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(batch_path(root, "arrivals", batch))
+        arrived = rows.sparkSession.read.schema(rows.schema).parquet(batch_path(root, "arrivals", batch))
+        labelled_batch(arrived, batch, root, ids, ("arrived_at", "arrival_seq"))
+
+    return run_batches(stream, label, checkpoint, once)
+
+
+def consume_once(
+    messages: DataFrame, work: Callable[[DataFrame, int], None], root: str, checkpoint: str, ttl_ms: int = schema.MESSAGE_TTL_MS, once: bool = True, buckets: int = 32
+) -> StreamingQuery:
+    """Hand each queue message to `work` once, in whatever batches its copies arrive.
+
+    The ids of consumed messages are kept in an id table as long as a queue keeps a
+    message, so neither state nor table grows without end.
+    """
+    claim(messages.sparkSession, root, checkpoint)
+    ids = IdTable(f"{root}/ids", buckets, keep_us=2 * ttl_ms * 1000)
+
+    def consume(rows: DataFrame, batch: int) -> None:
+        known = queue.consumed_once(rows).withColumn("event_id", F.col("message_id"))
+        known.write.mode("overwrite").parquet(batch_path(root, "messages", batch))
+        read = rows.sparkSession.read.schema(known.schema).parquet(batch_path(root, "messages", batch))
+        new = read.join(ids.find(read, batch).select("event_id"), "event_id", "left_anti")
+        work(new.select(*rows.columns), batch)
+        ids.add(new.select("event_id", F.unix_micros("published_at").alias("first_us")), batch)
+
+    return run_batches(messages, consume, checkpoint, once)
 
 
 def pipeline_batch(
@@ -107,6 +153,7 @@ def pipeline_batch(
 
 def stream_pipeline(stream: DataFrame, root: str, checkpoint: str, config, once: bool = True) -> StreamingQuery:
     """Stored events to executions, dead letters and deliveries by type."""
+    claim(stream.sparkSession, root, checkpoint)
     return run_batches(stream, lambda df, n: pipeline_batch(df, n, root, config), checkpoint, once)
 
 
