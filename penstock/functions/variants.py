@@ -42,6 +42,11 @@ def is_boolean(value: Column) -> Column:
     return F.coalesce(kind(value) == "BOOLEAN", F.lit(False))
 
 
+def object_of(value: Column) -> Column:
+    """A variant as MAP<STRING, VARIANT>, NULL where it is no object."""
+    return F.when(is_object(value), value.try_cast("map<string,variant>"))
+
+
 def parsed_text(raw: Column) -> Column:
     """`raw` as an ARRAY of JSON objects, NULL where it is no list of objects.
 

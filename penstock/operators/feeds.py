@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penstock.operators.skew import HOT_ROWS, previous_value
+from penstock.operators.skew import previous_in_slices
 
 
 def event_counts(store: DataFrame) -> DataFrame:
@@ -18,13 +18,13 @@ def latest_events(store: DataFrame, n: int) -> DataFrame:
     return store.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n)
 
 
-def correlation_trace(
-    store: DataFrame, correlation_id: str | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Events of one correlation id, or of all, with the gap in ms to the event before."""
+def correlation_trace(store: DataFrame, correlation_id: str | None = None) -> DataFrame:
+    """Events of one correlation id, or of all, with the gap in ms to the event before.
+
+    The store is read once, into slices of equal size, so an id with all its events in one
+    hour is traced by many tasks.
+    """
     rows = store if correlation_id is None else store.filter(F.col("correlation_id") == correlation_id)
-    hour = F.floor(F.unix_millis("received_at") / 3_600_000)
-    traced = previous_value(
-        rows, ["correlation_id"], ["received_at", "event_id"], F.unix_millis("received_at"), "_before", hour, hot_rows
-    )
-    return traced.withColumn("gap_ms", F.unix_millis("received_at") - F.col("_before")).drop("_before")
+    at = F.unix_millis("received_at")
+    traced = previous_in_slices(rows, ["correlation_id"], ["received_at", "event_id"], at, "_before")
+    return traced.withColumn("gap_ms", at - F.col("_before")).drop("_before")

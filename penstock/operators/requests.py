@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstock import schema
 from penstock.functions import ids, times
 from penstock.functions import variants as v
-from penstock.operators.skew import HOT_ROWS, parts, salted_join, splits_of
 
 # Texts of the validation errors.
 EVENT_NAME = r"\A[a-z][a-z0-9]*(\.[a-z][a-z0-9]*)+\z"
@@ -38,23 +39,29 @@ def explode_event_batch(bodies: DataFrame) -> DataFrame:
     A body without a usable `events` array yields one row with a NULL position and
     size, an empty one a NULL position and size 0, so that no batch vanishes.
     """
-    fields = F.col("_body")["events"]
-    events = F.when(v.is_array(fields), fields.try_cast("array<variant>"))
-    outside = F.array_except(F.map_keys("_body"), F.array(F.lit("events")))
     return (
-        v.with_object(bodies, "raw", "_body")
+        event_body(bodies)
         .select(
             *[c for c in bodies.columns if c not in ("raw", "pos")],
-            events.alias("_events"),
-            F.coalesce(outside, F.array().cast("array<string>")).alias("unknown_fields"),
-        )
-        .select(
-            "*",
-            F.when(F.col("_events").isNotNull(), F.size("_events")).alias("batch_size"),
+            "unknown_fields",
+            "batch_size",
             F.posexplode_outer("_events").alias("pos", "_event"),
         )
         .withColumn("raw", F.to_json("_event"))
-        .drop("_events", "_event")
+        .drop("_event")
+    )
+
+
+def event_body(bodies: DataFrame) -> DataFrame:
+    """Add `_events` (the array of a batch body, NULL without one), `batch_size` and `unknown_fields`."""
+    fields = F.col("_body")["events"]
+    events = F.when(v.is_array(fields), fields.try_cast("array<variant>"))
+    outside = F.array_except(F.map_keys("_body"), F.array(F.lit("events")))
+    return v.with_object(bodies, "raw", "_body").select(
+        *[c for c in bodies.columns if c not in ("raw", "pos")],
+        events.alias("_events"),
+        F.when(events.isNotNull(), F.size(events)).alias("batch_size"),
+        F.coalesce(outside, F.array().cast("array<string>")).alias("unknown_fields"),
     )
 
 
@@ -84,14 +91,8 @@ def unknown_field_errors(keys: Column, known: tuple[str, ...]) -> Column:
     )
 
 
-def event_checks() -> list[tuple[str, Column | str, Column]]:
-    """The rules of one event in field order, over the columns `_k_*` (kind) and `_t_*` (text)."""
-
-    def kind(f: str) -> Column:
-        return F.col(f"_k_{f}")
-
-    def text(f: str) -> Column:
-        return F.col(f"_t_{f}")
+def event_checks(kind: Callable[[str], Column], text: Callable[[str], Column], moment: Column) -> list[tuple[str, Column | str, Column]]:
+    """The rules of one event in field order, over the kind and text of each field and the parsed timestamp."""
 
     def missing(f: str) -> Column:
         return kind(f).isNull() | (kind(f) == "VOID")
@@ -126,7 +127,7 @@ def event_checks() -> list[tuple[str, Column | str, Column]]:
         (
             "timestamp",
             stamp_message,
-            missing("timestamp") | (string("timestamp") & F.col("_timestamp").isNotNull()),
+            missing("timestamp") | (string("timestamp") & moment.isNotNull()),
         ),
         ("source", "source should not be empty", filled("source")),
         ("source", "source must be a string", string("source")),
@@ -142,6 +143,16 @@ def event_checks() -> list[tuple[str, Column | str, Column]]:
     ]
 
 
+def _workspace_errors() -> Column:
+    return collect_errors([("x-workspace-id", WORKSPACE_MESSAGE, F.coalesce("workspace_id", F.lit("")) != "")])
+
+
+def _body_errors(m: Column, checks: list[tuple[str, Column | str, Column]]) -> Column:
+    malformed = F.array(_error("body", MALFORMED_MESSAGE)).cast(schema.ERRORS)
+    body = F.concat(collect_errors(checks), unknown_field_errors(F.map_keys(m), schema.EVENT_FIELDS))
+    return F.when(m.isNull(), malformed).otherwise(body)
+
+
 def validate_events(parsed: DataFrame) -> DataFrame:
     """Add `errors`: every broken rule as (field, message); empty means valid.
 
@@ -154,14 +165,9 @@ def validate_events(parsed: DataFrame) -> DataFrame:
         *[v.kind(m[f]).alias(f"_k_{f}") for f in schema.EVENT_FIELDS],
         *[v.text(m[f]).alias(f"_t_{f}") for f in schema.EVENT_FIELDS if f not in ("properties", "context")],
     ).withColumn("_timestamp", times.parse_iso(F.col("_t_timestamp")))
-    workspace = collect_errors(
-        [("x-workspace-id", WORKSPACE_MESSAGE, F.coalesce("workspace_id", F.lit("")) != "")]
-    )
-    body = F.concat(
-        collect_errors(event_checks()), unknown_field_errors(F.map_keys(m), schema.EVENT_FIELDS)
-    )
-    malformed = F.array(_error("body", MALFORMED_MESSAGE)).cast(schema.ERRORS)
-    errors = F.concat(F.when(m.isNull(), malformed).otherwise(body), workspace)
+    workspace = _workspace_errors()
+    checks = event_checks(lambda f: F.col(f"_k_{f}"), lambda f: F.col(f"_t_{f}"), F.col("_timestamp"))
+    errors = F.concat(_body_errors(m, checks), workspace)
     extras = [c for c in fields.columns if c.startswith(("_k_", "_t_")) or c == "_timestamp"]
     return v.fenced(fields.withColumn("errors", errors).drop(*extras), "errors")
 
@@ -189,9 +195,8 @@ def quarantine_events(validated: DataFrame) -> DataFrame:
     )
 
 
-def batch_errors(exploded: DataFrame) -> DataFrame:
-    """Add to `errors` what is wrong with the batch itself: not an array, too short, too long."""
-    size = F.col("batch_size")
+def _batch_errors(size: Column) -> Column:
+    """What is wrong with the batch itself: not an array, too short, too long, fields beside `events`."""
     is_array = size.isNotNull()
     checks = collect_errors(
         [
@@ -200,34 +205,39 @@ def batch_errors(exploded: DataFrame) -> DataFrame:
             ("events", BATCH_MESSAGES["max"], is_array & (size <= schema.BATCH_MAX)),
         ]
     )
-    unknown = F.transform(
-        "unknown_fields",
-        lambda k: F.struct(
-            k.alias("field"), F.concat(F.lit("property "), k, F.lit(" should not exist")).alias("message")
-        ),
-    )
-    none = F.array().cast(schema.ERRORS)
-    per_event = F.when(F.col("pos").isNull(), none).otherwise(F.col("errors"))
-    return exploded.withColumn("errors", F.concat(checks, unknown, per_event))
+    return F.concat(checks, unknown_field_errors(F.col("unknown_fields"), ()))
 
 
-def batch_admission(validated: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add `admitted`: true only where every event of the batch is valid.
+def _fields_of(event: Column) -> Column:
+    """An event of a body as its object and the kinds and texts of its fields; NULL where it is none."""
+    m = v.object_of(event)
+    kinds = [v.kind(m[f]).alias(f"k_{f}") for f in schema.EVENT_FIELDS]
+    texts = [v.text(m[f]).alias(f"t_{f}") for f in schema.EVENT_FIELDS if f not in ("properties", "context")]
+    return F.struct(event.alias("event"), m.alias("m"), *kinds, *texts, times.parse_iso(v.text(m["timestamp"])).alias("at"))
 
-    Pre-aggregates to one row per batch before the shuffle and joins that back,
-    instead of collecting each batch in a window: a body above the size limit may
-    hold any number of rows.
+
+def batch_admission(bodies: DataFrame) -> DataFrame:
+    """One row per event of a batch body, as `explode_event_batch` gives them, with `m`, `errors` and `admitted`.
+
+    `admitted` holds only where every event of the batch is valid and the batch itself is. A
+    body's row has all that decides this, so it is parsed and judged as one row: nothing is
+    shuffled or joined, and the events part afterwards.
     """
-    per_batch = validated.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("_n"), (F.max(F.size("errors")) == 0).alias("admitted")
+    judged = event_body(bodies).withColumn("_fields", F.transform("_events", _fields_of)).withColumn(
+        "_errors", F.transform("_fields", lambda e: _body_errors(e["m"], event_checks(lambda f: e[f"k_{f}"], lambda f: e[f"t_{f}"], e["at"])))
+    )
+    own = judged.withColumns({"_batch": _batch_errors(F.col("batch_size")), "_workspace": _workspace_errors()})
+    valid = F.coalesce(F.forall("_errors", lambda e: F.size(e) == 0), F.lit(True)) & (F.size("_batch") == 0)
+    # a batch without events has no event that lacks a workspace
+    admitted = valid & ((F.size("_workspace") == 0) | F.coalesce(F.col("batch_size") == 0, F.lit(True)))
+    rows = own.select(
+        *[c for c in bodies.columns if c not in ("raw", "pos")], "unknown_fields", "batch_size", "_batch", "_workspace", admitted.alias("admitted"),
+        F.posexplode_outer(F.arrays_zip("_fields", "_errors")).alias("pos", "_e"),
     )
-    return salted_join(
-        validated,
-        per_batch.withColumn("_splits", parts(hot_rows)).drop("_n"),
-        ["batch_id"],
-        "left",
-        spread=["pos"],
-        hot=splits_of(per_batch, ["batch_id"], hot_rows, also=["admitted"]),
+    per_event = F.when(F.col("pos").isNotNull(), F.concat("_e._errors", "_workspace")).otherwise(F.array().cast(schema.ERRORS))
+    return rows.select(
+        *[c for c in rows.columns if not c.startswith("_") and c not in ("admitted", "pos")], "pos",
+        F.to_json("_e._fields.event").alias("raw"), F.col("_e._fields.m").alias("m"), F.concat("_batch", per_event).alias("errors"), "admitted",
     )
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penstock.session import staged
+
 HOT_ROWS = 1_000_000
 
 
@@ -120,3 +122,53 @@ def previous_value(
         .withColumn(name, F.coalesce("_local", "_carried"))
         .drop("_value", "_local", "_carried", "_slice")
     )
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "slices") -> DataFrame:
+    """The rows as a staged table, cut in the order of keys and `order` into slices of about equal size.
+
+    `_slice` rises with that order. A key with all rows in one instant is cut like any other, as
+    long as `order` tells its rows apart.
+    """
+    columns = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return staged(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint")), label)
+
+
+def spanning_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of the first and the last row of each slice: no other key has rows in two slices.
+
+    There are two per slice, whatever the number of keys or rows.
+    """
+    ends = rows.groupBy("_slice").agg(F.min(F.struct(*keys)).alias("_a"), F.max(F.struct(*keys)).alias("_b"))
+    return ends.select(F.explode(F.array("_a", "_b")).alias("_k")).select("_k.*").distinct()
+
+
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join with a small `right` (two rows per slice at most) in which null keys meet; its key columns are left out."""
+    named = F.broadcast(right.select(*[F.col(c).alias(f"_of_{c}") if c in keys else F.col(c) for c in right.columns]))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return left.join(named, same, how).drop(*[f"_of_{key}" for key in keys])
+
+
+def previous_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Add `name`: the last non-null `value` strictly before each row within its key.
+
+    One scan of `df` sorts it into slices; each window sees one key in one slice. The last
+    values of the keys that span slices, a table of two rows per slice, are carried on.
+    """
+    keys = list(keys)
+    rows = sliced(df.withColumn("_value", value), keys, order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last")
+    per_slice = on_keys(rows, spanning_keys(rows, keys), keys, "inner").groupBy(*keys, "_slice").agg(last)
+    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slice.select(*keys, "_slice", F.last("_last", ignorenulls=True).over(across).alias("_carried"))
+    return (
+        on_keys(local, carried, [*keys, "_slice"], "left")
+        .withColumn(name, F.coalesce("_local", "_carried"))
+        .drop("_value", "_local", "_carried", "_slice")
+    )

@@ -134,12 +134,28 @@ DERIVED = {
             concat('ws_', @div[event_id | 200]) as workspace_id, ts, event_id, """
     + _RAW + """ as raw
         from """ + _HASHED.replace("ID_SEED", "(event_id - case when event_id % 15 = 8 then 1 else 0 end)"),
+    # Clean events of each 200 in the order of their ids, as a body of 100 and one of 101.
+    "full_items": """
+        select concat('b_', block, '_', size) as batch_id, cast(nr as int) as pos, concat('ws_', block) as workspace_id, ts, event_id, raw
+        from (select *, @each['100', '101'] as size from (
+            select *, @div[event_id | 200] as block, row_number() over (partition by @div[event_id | 200] order by event_id) - 1 as nr
+            from {clean_items}))
+        where nr < cast(size as int)
+    """,
+    "clean_items": """
+        select event_id, ts, """ + _RAW + """ as raw
+        from """ + _HASHED.replace("ID_SEED", "event_id") + """ where event_id % 97 > 21
+    """,
+    "all_items": """
+        select batch_id, pos, workspace_id, ts, event_id, raw from {batch_items}
+        union all select batch_id, pos, workspace_id, ts, event_id, raw from {full_items}
+    """,
     # The bodies, plus an empty one, one that is no array and one with a stray field per 200 events.
     "batch_bodies": """
-        select batch_id, case when batch_id like '%_3' then null else min(workspace_id) end as workspace_id,
+        select batch_id, case when substr(batch_id, length(batch_id) - 1, 2) = '_3' then null else min(workspace_id) end as workspace_id,
             @ms[min(ts) | 0] as arrived_at, cast(0 as bigint) as arrival_seq,
             concat('{"events":[', @bodies[], ']}') as raw
-        from {batch_items} group by batch_id
+        from {all_items} group by batch_id
         union all
         select concat('b_', block, '_', k), concat('ws_', block), started, cast(0 as bigint),
             case k when 'empty' then '{"events":[]}' when 'scalar' then '{"events":5}'

@@ -139,7 +139,7 @@ VALID_ARRIVALS = f"(select * from {validated(d('raw_arrivals'))} where len(errs)
 
 # A body is unreadable when one of its items is; items of readable bodies are validated one by one.
 BODY_OK = """(case when json_valid(raw) then not (raw like '%"event":"app.view","event":"app.view"%') else false end)"""
-ITEMS = f"""(select i.batch_id, i.pos, b.workspace_id, b.arrived_at, b.arrival_seq, i.raw, b.batch_size from {d('batch_items')} i
+ITEMS = f"""(select i.batch_id, i.pos, b.workspace_id, b.arrived_at, b.arrival_seq, i.raw, b.batch_size from {d('all_items')} i
     join (select *, json_array_length(raw, '$.events') as batch_size from {d('batch_bodies')} where {BODY_OK}) b using (batch_id))"""
 ODD_BODIES = f"""(select batch_id, cast(null as integer) as pos,
         case when {BODY_OK} and raw like '%"events":[]%' then 0 end as batch_size,
@@ -311,7 +311,23 @@ SESSIONS = f"""(select *, sum(fresh) over (partition by workspace_id, who order
     select *, case when received_at - lag(received_at) over (partition by workspace_id, who order by received_at, event_id)
         < interval 2 hour then 0 else 1 end as fresh
     from (select *, coalesce(user_id, anonymous_id) as who from {d('stored')} where session_id is null)))"""
-STREAM_CUT = "timestamp '2024-01-16'"
+ISLANDS = f"""(select *, sum(fresh) over (partition by workspace_id, kind, session order by received_at, event_id) as nr from (
+    select *, case when received_at - lag(received_at) over (partition by workspace_id, kind, session order by received_at, event_id) < width then 0 else 1 end as fresh
+    from (select *, case when session_id is null then 'gap' else 'id' end as kind, coalesce(session_id, user_id, anonymous_id) as session,
+            case when session_id is null then interval 2 hour else interval 24 hour end as width from {d('stored')})))"""
+# Every window of every rule between the first of January and AS_OF, empty ones as well.
+ALERT_WINDOWS = f"""(select rule_id, r.workspace_id, op, threshold, window_seconds, cooldown_seconds, w.opens as window_start, e.n, case when e.n is null then 0 else e.value end as value
+    from {d('rules')} r cross join unnest(range(cast(ceil(1704067200 / window_seconds) * window_seconds as bigint), cast(floor(1706659200 / window_seconds) * window_seconds as bigint), cast(window_seconds as bigint))) w(opens)
+    left join (select rule_id, cast(floor(epoch(received_at) / window_seconds) * window_seconds as bigint) as opens, count(*) as n,
+            cast(case when any_value(metric) = 'count' then count(*) else sum(cast(properties->>'$.total' as bigint)) end as bigint) as value
+        from {d('rules')} r join {d('stored')} s on s.workspace_id = r.workspace_id and (r.event_name is null or r.event_name = s.event_name)
+        group by 1, 2) e using (rule_id, opens))"""
+ALERTS = f"""(select *, coalesce(window_start - lag(window_start) over (partition by rule_id order by window_start) < cooldown_seconds, false) as suppressed
+    from {ALERT_WINDOWS} where case op when 'gt' then value > threshold when 'gte' then value >= threshold
+        when 'lt' then value < threshold else value <= threshold end)"""
+ALERT_GAPS = f"""(select *, case when n is null then sum(case when n is null and before_empty and window_start - before = window_seconds then 0 else 1 end)
+            over (partition by rule_id order by window_start) else -window_start end as island
+    from (select *, lag(window_start) over w as before, lag(n is null) over w as before_empty from {ALERTS} window w as (partition by rule_id order by window_start)))"""
 
 
 def traits(owner: str, table: str) -> str:
@@ -488,6 +504,25 @@ def oracle_sql() -> dict[str, str]:
             max(quota) as quota
             from {d('stored')} left join {LATEST} using (event_id) left join {d('quotas')} using (workspace_id)
             group by 1, 2, 3""",
+        "read_model_runs": f"""select cast(cast(received_at as date) as varchar) as day, workspace_id, event_name, count(*) as events,
+            count(distinct coalesce(user_id, anonymous_id)) as users,
+            cast(sum(cast(properties->>'$.total' as bigint)) as bigint) as total,
+            count(*) filter (status = 'delivered') as delivered, count(*) filter (status = 'dead_lettered') as dead_lettered,
+            max(quota) as quota
+            from {d('stored')} left join {LATEST} using (event_id) left join {d('quotas')} using (workspace_id)
+            group by 1, 2, 3""",
+        "active_users_spans": f"""select cast(span as integer) as span, cast(day as varchar) as day, workspace_id, count(distinct who) as users, true as close
+            from (select workspace_id, who, span, cast(unnest(range(seen, least(seen + to_days(cast(span as integer)), timestamp '2024-02-01'), interval 1 day)) as date) as day
+                from (select distinct workspace_id, coalesce(user_id, anonymous_id) as who, cast(date_trunc('day', received_at) as timestamp) as seen, unnest([7, 28]) as span from {d('stored')}))
+            group by 1, 2, 3""",
+        "edge_limit_audit": f"""with recursive o as (select event_id, workspace_id, epoch_ms(received_at) as t,
+                row_number() over (partition by workspace_id order by epoch_ms(received_at), event_id) as i from {d('stored')}),
+            r as (select *, cast(21600000 as bigint) as level from o where i = 1 union all
+                select o.*, greatest(0, r.level - (o.t - r.t)) + 21600000 from r join o on o.workspace_id = r.workspace_id and o.i = r.i + 1)
+            select event_id, workspace_id, cast(level as bigint) as level, level > 3 * 21600000 as over_limit from r""",
+        "alert_rules_with_silence": f"""select rule_id, any_value(workspace_id) as workspace_id, min(window_start) as window_start, count(*) as windows,
+            cast(min(value) as bigint) as value, arg_min(suppressed, window_start) as suppressed,
+            count(*) > 1 and arg_max(suppressed, window_start) as repeats_suppressed from {ALERT_GAPS} group by rule_id, island""",
         "workspace_quota": f"""select workspace_id, month, used, quota, coalesce(used > quota, false) as over
             from (select workspace_id, strftime(ingested_at, '%Y-%m') as month, count(*) as used from {d('stored')} group by 1, 2)
             left join {d('quotas')} using (workspace_id)""",
@@ -516,6 +551,14 @@ def oracle_sql() -> dict[str, str]:
         "queue_source": f"""select 'event.ingested' as routing_key, event_id, epoch_ms(ingested_at) as published_at_ms
             from {d('stored')}""",
         "stream_pipeline": f"select pipeline_id, event_id, status, error, n_sends from {EXECUTED}",
+        "stream_sessions": f"""select workspace_id, kind, session, cast(sum(events) as bigint) as events, epoch_ms(min(started)) as started_at_ms, epoch_ms(max(ended)) as ended_at_ms
+            from (select workspace_id, kind, session, nr, count(*) as events, min(received_at) as started, max(received_at) as ended
+                from {ISLANDS} group by workspace_id, kind, session, nr, width
+                having max(received_at) + width <= (select max(received_at) - interval 4 day from {d('stored')}))
+            group by workspace_id, kind, session, case when kind = 'gap' then nr end""",
+        "stream_expiry": f"""select message_id, queue, 'dead.' || queue as routing_key, epoch_ms(published_at + interval 24 hour) as dead_at_ms from {d('queue_log')}
+            where coalesce(consumed_at >= published_at + interval 24 hour, true)
+                and published_at + interval 25 hour <= (select least(max(published_at), max(consumed_at)) from {d('queue_log')})""",
         "stream_throughput": closed_windows(6, 6),
         "stream_throughput_sliding": closed_windows(12, 6),
     }

@@ -18,6 +18,7 @@ from penstock.operators import (
 )
 from penstock.plans import ingestion
 from penstock.plans.fixtures import fixture
+from penstock.plans.serving import Serving
 from penstock.session import prepare, scratch_dir, staged
 from penstock.sources import queue, sinks, tables
 from penstock.streaming import jobs
@@ -582,6 +583,35 @@ def read_model(spark, sf):
     return spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
 
 
+@query
+def read_model_runs(spark, sf):
+    """The read model after three runs: early events, later ones, and a sixteenth that came late; attempts by their own time."""
+    serving = Serving(scratch_dir(spark, "serving"), buckets=8)
+    store, attempts, quotas = (staged(fixture(spark, sf, name), name) for name in ("stored", "attempts", "quotas"))
+    late = F.substring(F.md5("event_id"), 1, 1) == "0"
+    for number, (events, tries) in enumerate([
+        (~late & (F.col("received_at") < CUTS[0]), F.col("attempted_at") < CUTS[0]),
+        (~late & (F.col("received_at") >= CUTS[0]), (F.col("attempted_at") >= CUTS[0]) & (F.col("attempted_at") < FIVE[-1])),
+        (late, F.col("attempted_at") >= FIVE[-1]),
+    ]):
+        serving.run(number, store.filter(events), attempts.filter(tries), quotas)
+    return serving.model(spark).withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def active_users_spans(spark, sf):
+    """People of 7 and 28 days from stored sketches, next to the exact count: within three standard errors, or one person."""
+    path, store, until = scratch_dir(spark, "sketches"), fixture(spark, sf, "stored"), F.lit("2024-01-31").cast("date")
+    metrics.user_sketches(store).write.parquet(path)
+    spans = metrics.active_users_spans(spark.read.parquet(path), until)
+    days = store.select("workspace_id", F.coalesce("user_id", "anonymous_id").alias("who"), F.to_date("received_at").alias("at"), F.explode(F.array(F.lit(7), F.lit(28))).alias("span"))
+    exact = days.distinct().select("workspace_id", "who", "span", F.explode(F.expr("sequence(at, least(date_add(at, span - 1), date '2024-01-31'))")).alias("day"))
+    exact = exact.groupBy("span", "day", "workspace_id").agg(F.count_distinct("who").alias("exact"))
+    both = spans.join(exact, ["span", "day", "workspace_id"], "full")
+    allowed = F.greatest(F.lit(1.0), F.col("exact") * 3 * 1.04 / 2**7)
+    return both.select("span", F.col("day").cast("string").alias("day"), "workspace_id", F.col("exact").alias("users"), (F.abs(F.col("exact") - F.col("users")) <= allowed).alias("close"))
+
+
 @query
 def workspace_quota(spark, sf):
     return metrics.workspace_quota(fixture(spark, sf, "stored"), fixture(spark, sf, "quotas"))
@@ -595,6 +625,18 @@ def rate_limit_audit(spark, sf):
     return audited.select("event_id", "workspace_id", "in_window", "over_limit", "over_burst")
 
 
+@query
+def edge_limit_audit(spark, sf):
+    audited = metrics.edge_limit_audit(fixture(spark, sf, "stored"), "workspace_id", "received_at", "event_id", rate=1, burst=2, per_ms=6 * 3_600_000)
+    return audited.select("event_id", "workspace_id", "level", "over_limit")
+
+
+@query
+def alert_rules_with_silence(spark, sf):
+    alerts = metrics.alert_rules_with_silence(fixture(spark, sf, "stored"), fixture(spark, sf, "rules"), F.timestamp_millis(F.lit(1704067200000)), as_of())
+    return alerts.select("rule_id", "workspace_id", "window_start", "windows", "value", "suppressed", "repeats_suppressed")
+
+
 @query
 def alert_rules(spark, sf):
     alerts = metrics.alert_rules(fixture(spark, sf, "stored"), fixture(spark, sf, "rules"))
@@ -717,6 +759,37 @@ def stream_pipeline(spark, sf):
     return jobs.read_batches(spark, root, "executions", columns).drop("batch")
 
 
+def delayed(at: str) -> Column:
+    """When a row reaches its stream: a seventh of the rows come three days after their time."""
+    return F.col(at) + F.expr("interval 3 days") * F.when(F.crc32("event_id") % 7 == 0, 1).otherwise(0)
+
+
+@query
+def stream_sessions(spark, sf):
+    """Sessions closed by the fifth run, with late rows between open ones."""
+    out, checkpoint = scratch_dir(spark, "sessions"), scratch_dir(spark, "checkpoint")
+    in_runs(
+        spark, fixture(spark, sf, "stored"), delayed("received_at"),
+        lambda s: jobs.stream_sessions(s, out, checkpoint, "2 hours", "24 hours", lateness="4 days"), FIVE,
+    )
+    merged = jobs.merged_sessions(spark.read.parquet(out))
+    return merged.select("workspace_id", "kind", "session", "events", ms("started_at"), ms("ended_at"))
+
+
+@query
+def stream_expiry(spark, sf):
+    """Messages expired by the fifth run; both feeds come by their own times."""
+    out, checkpoint, log = scratch_dir(spark, "expiry"), scratch_dir(spark, "checkpoint"), staged(fixture(spark, sf, "queue_log"), "queue-log")
+    sides = [log.drop("consumed_at"), log.filter("consumed_at IS NOT NULL").select("message_id", "consumed_at")]
+    paths = [scratch_dir(spark, "feed") for _ in sides]
+    for low, high in zip(["2000-01-01", *FIVE], [*FIVE, "2100-01-01"], strict=True):
+        for side, path, at in zip(sides, paths, ("published_at", "consumed_at"), strict=True):
+            side.filter((F.col(at) >= low) & (F.col(at) < high)).write.mode("append").parquet(path)
+        feeds_ = [spark.readStream.schema(side.schema).parquet(path) for side, path in zip(sides, paths, strict=True)]
+        jobs.stream_expiry(*feeds_, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("message_id", "queue", "routing_key", ms("dead_at"))
+
+
 @query
 def stream_throughput(spark, sf):
     """Closed six-hour windows, tumbling; the last ones stay open until later events arrive."""

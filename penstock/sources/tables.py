@@ -17,7 +17,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def append_events(stored: DataFrame, path: str) -> None:
+def append_events(stored: DataFrame, path: str, mode: str = "append") -> None:
     """Append accepted rows, partitioned by the day of the event.
 
     Rows are brought together by day, and a day is cut into parts by its size: small
@@ -26,7 +26,7 @@ def append_events(stored: DataFrame, path: str) -> None:
     (
         stored.withColumn("received_date", F.to_date("received_at"))
         .hint("rebalance", "received_date")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("received_date")
         .parquet(path)
     )

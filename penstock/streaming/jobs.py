@@ -177,6 +177,57 @@ def stream_throughput(
     )
 
 
+def _closed(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_sessions(stream: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes", idle: str = "24 hours", lateness: str = "1 hour") -> StreamingQuery:
+    """Sessions that the watermark has closed: by session id where there is one, else by gaps per person.
+
+    An event joins every open session it reaches, so a late one merges two. A session by id
+    closes when the id was idle that long; if it comes again, its parts add up in
+    `merged_sessions`. State holds open sessions only.
+    """
+    named = F.col("session_id").isNotNull()
+    rows = stream.withWatermark("received_at", lateness).select(
+        "workspace_id", F.when(named, "id").otherwise("gap").alias("kind"), F.coalesce("session_id", "user_id", "anonymous_id").alias("session"), "received_at",
+        F.when(named, idle).otherwise(gap).alias("until"),
+    )
+    closed = rows.groupBy("workspace_id", "kind", "session", F.session_window("received_at", F.col("until")).alias("w")).agg(
+        F.count(F.lit(1)).alias("events"), F.min("received_at").alias("started_at"), F.max("received_at").alias("ended_at")
+    )
+    return _closed(closed.drop("w"), path, checkpoint)
+
+
+def merged_sessions(closed: DataFrame) -> DataFrame:
+    """One row per session id of what `stream_sessions` has written; gap sessions stay as they are."""
+    part = F.when(F.col("kind") == "gap", F.col("started_at"))
+    return closed.groupBy("workspace_id", "kind", "session", part.alias("_part")).agg(
+        F.sum("events").alias("events"), F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at")
+    ).drop("_part")
+
+
+def stream_expiry(
+    published: DataFrame, consumed: DataFrame, path: str, checkpoint: str, ttl_ms: int = schema.MESSAGE_TTL_MS, lag: str = "1 hour"
+) -> StreamingQuery:
+    """Messages that nobody took within `ttl_ms`, with their dead-letter routing key, as the watermark passes their time.
+
+    Each published message waits in state until its time has come, or until its consumption
+    (message_id, consumed_at) arrives, in either order. One that is consumed at `ttl_ms` to
+    the millisecond is too late, as in the batch form. `lag` is how far the two feeds may run
+    out of order; consumption may be stamped that much before publication.
+    """
+    waiting = published.withWatermark("published_at", lag)
+    taken = consumed.select(F.col("message_id").alias("_taken"), "consumed_at").withWatermark("consumed_at", lag)
+    life = F.expr(f"interval {ttl_ms} milliseconds")
+    # to the millisecond, as the batch form compares
+    inside = (F.col("_taken") == F.col("message_id")) & (F.col("consumed_at") < F.col("published_at") + life) & (F.col("consumed_at") >= F.col("published_at") - F.expr(f"interval {lag}"))
+    left = waiting.join(taken, inside, "left_outer").filter(F.col("_taken").isNull()).drop("_taken", "consumed_at")
+    expired = left.withColumn("routing_key", F.concat(F.lit("dead."), F.col("queue"))).withColumn("dead_at", F.col("published_at") + life)
+    return _closed(expired, path, checkpoint)
+
+
 def late_rows(store: DataFrame, closed: DataFrame, width: str) -> DataFrame:
     """Buckets where the stream counted fewer events than the store holds, and how many it missed."""
     key = ["bucket", "workspace_id", "event_name"]

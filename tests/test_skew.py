@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from penstock.operators import config, feeds, ingest, metrics, routing, skew
 
 
+@pytest.fixture
+def slices(spark, request):
+    """So many slices, however small the table."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    for key, value in zip(keys, (str(request.param), "false"), strict=True):
+        spark.conf.set(key, value)
+    yield request.param
+    for key, value in zip(keys, before, strict=True):
+        spark.conf.set(key, value)
+
+
 def rows_of(df, *columns):
     return sorted(df.select(*columns).collect(), key=str)
 
@@ -89,14 +101,58 @@ def test_ids_are_case_sensitive_and_global(spark):
     assert got == {0: "accepted", 1: "accepted", 2: "duplicate"}
 
 
+@pytest.mark.parametrize("slices", [1, 7], indirect=True)
+def test_previous_value_in_slices(spark, slices):
+    """One key with nearly all rows at one instant, one without a key, some without a value."""
+    rng = random.Random(3)
+    data = [(i, "hot" if i % 4 else None if i % 8 else f"k{i % 5}", 7 if i % 3 else rng.randrange(9), rng.choice([None, i])) for i in range(800)]
+    df = spark.createDataFrame(data, "id long, key string, at long, v long")
+    got = skew.previous_in_slices(df, ["key"], ["at", "id"], F.col("v"), "before").collect()
+    expected, last = {}, {}
+    for id_, key, _, value in sorted(data, key=lambda r: (r[2], r[0])):
+        expected[id_] = last.get(key)
+        if value is not None:
+            last[key] = value
+    assert {r["id"]: r["before"] for r in got} == expected
+
+
+@pytest.mark.parametrize("slices", [4], indirect=True)
+def test_an_instant_is_cut(spark, slices):
+    """All rows of one key at one time still make several slices."""
+    df = spark.range(4000).selectExpr("id", "'k' as key", "timestamp_millis(0) as at")
+    assert skew.sliced(df, ["key"], ["at", "id"]).select("_slice").distinct().count() == 4
+    assert skew.spanning_keys(skew.sliced(df, ["key"], ["at", "id"]), ["key"]).count() == 1
+
+
 def test_trace_of_a_hot_correlation_id(spark):
     data = [(f"e{i:04}", "hot" if i % 3 == 0 else f"c{i % 11}", i * 97) for i in range(500)]
     store = spark.createDataFrame(data, "event_id string, correlation_id string, m long").withColumn(
         "received_at", F.timestamp_seconds(F.col("m") * 60)
     )
-    whole = feeds.correlation_trace(store)
-    cut = feeds.correlation_trace(store, hot_rows=20)
-    assert rows_of(cut, "event_id", "gap_ms") == rows_of(whole, "event_id", "gap_ms")
+    expected, last = [], {}
+    for event, key, m in data:
+        expected.append((event, None if key not in last else (m - last[key]) * 60_000))
+        last[key] = m
+    assert [tuple(r) for r in rows_of(feeds.correlation_trace(store), "event_id", "gap_ms")] == sorted(expected, key=str)
+    assert feeds.correlation_trace(store, "hot").count() == 167
+
+
+@pytest.mark.parametrize("slices", [1, 5], indirect=True)
+def test_draining_bucket_against_brute_force(spark, slices):
+    rng = random.Random(slices)
+    at, data = 0, []
+    for i in range(900):
+        at += rng.choice([0, 0, 1, 20, 60, 400])
+        data.append((i, "hot" if i % 3 else f"k{i % 5}", at))
+    requests = spark.createDataFrame(data, "id long, key string, ms long").withColumn("at", F.timestamp_millis("ms"))
+    got = metrics.edge_limit_audit(requests, "key", "at", "id", rate=30, burst=5).collect()
+    levels, expected = {}, {}
+    for i, key, ms in data:
+        level, before = levels.get(key, (0, ms))
+        levels[key] = max(0, level - 30 * (ms - before)) + 1000, ms
+        expected[i] = levels[key][0], levels[key][0] > 6000
+    assert {r["id"]: (r["level"], r["over_limit"]) for r in got} == expected
+    assert any(over for _, over in expected.values())
 
 
 def test_rate_audit_against_brute_force(spark):
@@ -159,3 +215,20 @@ def test_patches_of_a_hot_row(spark):
         assert {r["version"]: r["outcome"] for r in got.collect()} == expected
         state = config.apply_patches(current, patches, hot_rows=hot_rows)
         assert {r["id"] for r in state.collect()} == alive
+
+
+def test_silence_costs_rows_per_gap(spark):
+    """An `lt` rule over a month without events is one row; a breach after a gap counts from the gap's last window."""
+    store = spark.createDataFrame([("ws", "a", "{}", 3_600 * 50), ("ws", "a", "{}", 3_600 * 52 + 60)], "workspace_id string, event_name string, properties string, s long")
+    store = store.withColumn("received_at", F.timestamp_seconds("s"))
+    rules = spark.createDataFrame(
+        [("low", "ws", None, "count", 3600, "lt", 1.0, 7200), ("any", "ws", None, "count", 3600, "gte", 0.0, 3600), ("dead", "other", "x", "total", 86400, "lte", 0.0, 0), ("high", "ws", None, "count", 3600, "gt", 5.0, 0)],
+        "rule_id string, workspace_id string, event_name string, metric string, window_seconds long, op string, threshold double, cooldown_seconds long",
+    )
+    got = metrics.alert_rules_with_silence(store, rules, F.timestamp_seconds(F.lit(1800)), F.timestamp_seconds(F.lit(86400 * 30)))
+    rows = sorted((r.rule_id, r.window_start // 3600, r.windows, r.value, r.suppressed, r.repeats_suppressed) for r in got.collect())
+    assert rows == [
+        ("any", 1, 49, 0, False, False), ("any", 50, 1, 1, False, False), ("any", 51, 1, 0, False, False), ("any", 52, 1, 1, False, False), ("any", 53, 667, 0, False, False),
+        ("dead", 24, 29, 0, False, False),
+        ("low", 1, 49, 0, False, True), ("low", 51, 1, 0, False, False), ("low", 53, 667, 0, False, True),
+    ]
