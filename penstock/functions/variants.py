@@ -57,10 +57,15 @@ def parsed_text(raw: Column) -> Column:
 
 
 def only_object(parsed: Column) -> Column:
-    """The object out of `parsed_text`, NULL unless it is the only one and repeats no key."""
+    """The object out of `parsed_text`, NULL unless it is the only one. Of a repeated key the last value counts.
+
+    Inside the values the reader does the same, with this library's session settings.
+    """
     first = F.get(parsed, F.lit(0))
     keys = F.map_keys(first)
-    return F.when((F.size(parsed) == 1) & (F.size(keys) == F.size(F.array_distinct(keys))), first)
+    last = F.filter(F.map_entries(first), lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i)
+    single = F.when(F.size(keys) == F.size(F.array_distinct(keys)), first).otherwise(F.map_from_entries(last))
+    return F.when(F.size(parsed) == 1, single)
 
 
 def with_object(df: DataFrame, raw: str, name: str) -> DataFrame:

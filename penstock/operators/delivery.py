@@ -11,7 +11,7 @@ from penstock.functions.backoff import Backoff
 from penstock.operators.ingest import ENVELOPE_VERSION
 from penstock.operators.skew import HOT_ROWS, salted_join
 
-DEAD_LETTER = ["reason", "queue", "routing_key", "event_id", "destination_id", "message", "dead_at"]
+DEAD_LETTER = ["reason", "queue", "routing_key", "event_id", "destination_id", "message", "error", "dead_at"]
 
 
 def delivery_latest(attempts: DataFrame) -> DataFrame:
@@ -91,23 +91,34 @@ def dead_letter(
     expired: DataFrame | None = None,
     exhausted: DataFrame | None = None,
     unmatched: DataFrame | None = None,
+    messages: DataFrame | None = None,
 ) -> DataFrame:
-    """One table of dead letters from expired messages, exhausted deliveries and unknown destinations."""
+    """One table of dead letters from expired messages, exhausted deliveries and unknown destinations.
+
+    `message` is what could not be delivered, `error` why. An exhausted attempt names its event only;
+    `messages` (event_id, value) has the events as they were queued, and a letter whose event is not
+    among them keeps a NULL message.
+    """
     nothing = F.lit(None).cast("string")
     parts = []
     if expired is not None:
         parts.append(
             expired.select(
                 F.lit("expired").alias("reason"), "queue", "routing_key", "event_id",
-                nothing.alias("destination_id"), F.col("value").alias("message"), "dead_at",
+                nothing.alias("destination_id"), F.col("value").alias("message"), nothing.alias("error"), "dead_at",
             )
         )
     if exhausted is not None:
+        dead = exhausted.filter(F.col("status") == "dead_lettered")
+        if messages is None:
+            dead = dead.withColumn("value", nothing)
+        else:
+            dead = dead.join(messages.select("event_id", "value").dropDuplicates(["event_id"]), "event_id", "left")
         parts.append(
-            exhausted.filter(F.col("status") == "dead_lettered").select(
+            dead.select(
                 F.lit("exhausted").alias("reason"), F.lit("delivery.events").alias("queue"),
                 F.lit("dead.delivery.events").alias("routing_key"), "event_id", "destination_id",
-                F.col("error").alias("message"), F.col("attempted_at").alias("dead_at"),
+                F.col("value").alias("message"), "error", F.col("attempted_at").alias("dead_at"),
             )
         )
     if unmatched is not None:
@@ -115,7 +126,7 @@ def dead_letter(
             unmatched.select(
                 F.lit("unknown_destination").alias("reason"), F.lit("pipeline.events").alias("queue"),
                 F.lit("dead.pipeline.events").alias("routing_key"), "event_id", "destination_id",
-                F.col("payload").alias("message"), F.col("ingested_at").alias("dead_at"),
+                F.col("payload").alias("message"), nothing.alias("error"), F.col("ingested_at").alias("dead_at"),
             )
         )
     if not parts:
@@ -131,7 +142,8 @@ def dlq_replay(
 ) -> DataFrame:
     """Dead deliveries put back on the delivery queue with attempt 1, unless delivered meanwhile.
 
-    `dead` holds the chosen dead letters that name a destination.
+    `dead` holds the chosen dead letters that name a destination. The event goes with them: the letter's
+    message as JSON, or as text where it is none.
     """
     pair = ["event_id", "destination_id"]
     delivered = attempts.filter(F.col("status") == "delivered").select(*pair).distinct()
@@ -150,6 +162,7 @@ def dlq_replay(
         F.col("destination_id").alias("destinationId"),
         F.lit(1).alias("attempt"),
         "reason",
+        F.coalesce(F.try_parse_json("message"), F.col("message").cast("variant")).alias("message"),
     )
     return chosen.select(
         *pair,

@@ -72,10 +72,9 @@ def group_membership(groups: DataFrame) -> DataFrame:
 def session_rollup(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Events per session: by session id where there is one, else by gaps per person.
 
-    Gap sessions are merged within each input partition first, so that a busy
-    person reaches the shuffle as sessions, not as events.
+    With the library's session settings, gap sessions are merged within each input partition
+    first, so that a busy person reaches the shuffle as sessions, not as events.
     """
-    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = events.withColumn("who", F.coalesce("user_id", "anonymous_id"))
 
     def measures() -> list[Column]:

@@ -34,18 +34,30 @@ ENVELOPE = {
 }
 
 
+#: Versions of reference tables whose keys were found to be unique.
+_CHECKED: set[tuple[str, str]] = set()
+
+
 @dataclass(frozen=True)
 class Enrichment:
-    """A reference table that enrich steps may name: `key` holds the values of the event field `on`."""
+    """A reference table that enrich steps may name: `key` holds the values of the event field `on`.
+
+    `version` names the state of the table (a snapshot's path, say); its keys are
+    checked once per version, or each time where there is none.
+    """
 
     table: DataFrame
     key: str
     on: str = "userId"
+    version: str | None = None
 
     def checked(self) -> Enrichment:
         """Refuse a table with repeated keys, which would multiply events."""
-        if not self.table.groupBy(self.key).count().filter("count > 1").isEmpty():
-            raise ValueError(f"enrichment key {self.key} is not unique")
+        if (self.version, self.key) not in _CHECKED:
+            if not self.table.groupBy(self.key).count().filter("count > 1").isEmpty():
+                raise ValueError(f"enrichment key {self.key} is not unique")
+            if self.version is not None:
+                _CHECKED.add((self.version, self.key))
         return self
 
 
@@ -135,17 +147,20 @@ def typed_pipelines(pipelines: DataFrame, destinations: DataFrame | None = None)
 
 
 def trigger_match(events: DataFrame, typed: DataFrame) -> DataFrame:
-    """One row per event and enabled pipeline of its workspace that lists its name.
+    """One row per event and enabled pipeline of its workspace that lists its name, with the `pipeline_id`.
 
     Names match exactly. `typed` comes from `typed_pipelines`; a name listed twice
-    in one trigger counts once.
+    in one trigger counts once. Only ids and names are shuffled with the events: `attach_steps` brings the steps.
     """
-    triggers = typed.select(
-        "*", F.explode("trigger_events").alias("event_name")
-    ).drop("trigger_events")
+    triggers = typed.select("pipeline_id", "workspace_id", F.explode("trigger_events").alias("event_name"))
     return events.join(triggers, ["workspace_id", "event_name"])
 
 
+def attach_steps(matched: DataFrame, typed: DataFrame) -> DataFrame:
+    """Add what `typed` has of each pipeline (steps, targets), as the last thing before steps run."""
+    return matched.join(typed.drop("workspace_id", "trigger_events"), "pipeline_id")
+
+
 # --- single steps as column expressions ---------------------------------------------------
 
 
@@ -258,17 +273,20 @@ def enrich_step(rows: DataFrame, step: Column, name: str, enrichment: Enrichment
 # --- all steps in order -------------------------------------------------------------------
 
 
-def run_steps(matched: DataFrame, enrichments: dict[str, Enrichment]) -> DataFrame:
-    """Run the steps of every matched (event, pipeline) row in order.
+def run_steps(events: DataFrame, typed: DataFrame, enrichments: dict[str, Enrichment]) -> DataFrame:
+    """Run the steps of every pipeline that an event triggers, in order: one row per event and pipeline.
 
     Adds `props` (the final properties), `alive` (no filter dropped it), `error`
     (first data error, which ends the run) and `sends`, one entry per destination
     step reached. The steps are folded over a state of these four, whatever their
-    number; reference tables are joined once, before the fold.
+    number. Events are parsed and meet the reference tables before they multiply by their
+    pipelines, and the steps come last, when no shuffle is left to carry them.
     """
-    rows = with_props(matched)
+    rows = with_props(events)
     for name, enrichment in enrichments.items():
         rows = attach_reference(rows, name, enrichment)
+    rows = attach_steps(trigger_match(rows, typed), typed)
+    kept = [c for c in rows.columns if c != "props" and not c.startswith("_ref_")]
     start = F.struct(
         F.col("props").alias("props"),
         F.lit(True).alias("alive"),
@@ -287,7 +305,7 @@ def run_steps(matched: DataFrame, enrichments: dict[str, Enrichment]) -> DataFra
             F.struct(
                 step.id.alias("step_id"),
                 step.destination_id.alias("destination_id"),
-                F.to_json(props).alias("payload"),
+                F.to_json(F.to_variant_object(props)).alias("payload"),  # keys in order
             )
         ).cast(SENDS)
         sending = (step.type == "destination") & step.destination_id.isNotNull()
@@ -308,7 +326,7 @@ def run_steps(matched: DataFrame, enrichments: dict[str, Enrichment]) -> DataFra
         return F.when(active, moved).otherwise(state)
 
     folded = rows.withColumn("_state", F.aggregate("steps", start, advance))
-    return folded.select(*matched.columns, "_state.props", "_state.alive", "_state.error", "_state.sends")
+    return folded.select(*kept, "_state.props", "_state.alive", "_state.error", "_state.sends")
 
 
 def _known_reference(step: Column, enrichments: dict[str, Enrichment]) -> Column:

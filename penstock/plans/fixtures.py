@@ -65,7 +65,7 @@ case when event_id % 97 = 14 then '{"event":"app.click"'
 else concat('{', concat_ws(',',
     case event_id % 97 when 1 then '"event":"App.Click"' when 2 then '"event":"signup"'
         when 3 then '"event":"user.signed_up"' when 12 then concat('"event":"app.click', chr(92), 'n"')
-        when 15 then '"event":"app.view","event":"app.view"' when 19 then null
+        when 15 then '"event":"App.Old","event":"app.view"' when 19 then null
         else concat('"event":"app.', event_type, '"') end,
     case event_id % 97 when 4 then '"correlationId":"not-a-uuid"'
         else concat('"correlationId":"', @shape[hc], '"') end,

@@ -48,11 +48,14 @@ def validated_batches(bodies: DataFrame) -> DataFrame:
     return requests.batch_admission(bodies)
 
 
-def ingest_requests(raw: DataFrame, store: DataFrame | None = None, stage: bool = True) -> Ingested:
+def ingest_requests(raw: DataFrame, store: DataFrame | None = None, stage: bool = True, columns: tuple[str, ...] | None = None) -> Ingested:
     """Single requests. Staging writes the normalized rows once, so that JSON is parsed
-    once and the search for first arrivals reads three columns."""
+    once and the search for first arrivals reads three columns. `columns` names the ones
+    that are wanted of the labelled rows, beside those that dedupe needs."""
     validated = validated_requests(raw)
     rows = ingest.normalize_events(requests.valid_events(validated))
+    if columns is not None:
+        rows = rows.select("event_id", *ingest.REQUEST_ORDER, *columns)
     rows = staged(rows, "arrivals") if stage else rows
     return Ingested(validated, ingest.dedupe_status(rows, store, order=ingest.REQUEST_ORDER))
 

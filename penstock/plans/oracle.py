@@ -30,13 +30,16 @@ def content_id(*parts: str) -> str:
 # --- requests: parse and validate ---------------------------------------------------------
 
 
+# The one key that some requests repeat, without its first value: the last one counts.
+LAST = """replace(raw, '"event":"App.Old",', '')"""
+
+
 def parsed(source: str) -> str:
     """Adds j (the JSON object or NULL), k_* (JSON types) and t_* (texts)."""
     kinds = ", ".join(f"json_type(j, '$.{f}') as k_{f}" for f in FIELDS)
     texts = ", ".join(f"j->>'$.{f}' as t_{f}" for f in FIELDS)
     return f"""(select *, {kinds}, {texts} from (
-        select *, case when json_valid(raw) then case when json_type(raw) = 'OBJECT'
-            then case when len(json_keys(raw)) = len(list_distinct(json_keys(raw))) then cast(raw as json) end end end as j
+        select *, case when json_valid(raw) then case when json_type(raw) = 'OBJECT' then cast({LAST} as json) end end as j
         from {source}))"""
 
 
@@ -137,8 +140,8 @@ def deduped(source: str, order: str = "arrived_at, arrival_seq") -> str:
 VALID = f"(select * from {validated(d('raw_events'))} where len(errs) = 0)"
 VALID_ARRIVALS = f"(select * from {validated(d('raw_arrivals'))} where len(errs) = 0)"
 
-# A body is unreadable when one of its items is; items of readable bodies are validated one by one.
-BODY_OK = """(case when json_valid(raw) then not (raw like '%"event":"app.view","event":"app.view"%') else false end)"""
+# A body is unreadable when one of its items is no JSON; items of readable bodies are validated one by one.
+BODY_OK = "json_valid(raw)"
 ITEMS = f"""(select i.batch_id, i.pos, b.workspace_id, b.arrived_at, b.arrival_seq, i.raw, b.batch_size from {d('all_items')} i
     join (select *, json_array_length(raw, '$.events') as batch_size from {d('batch_bodies')} where {BODY_OK}) b using (batch_id))"""
 ODD_BODIES = f"""(select batch_id, cast(null as integer) as pos,
@@ -175,8 +178,13 @@ RESHAPED = """case when c2 like '%rename%' then 'flag,key,total' when c2 like '%
     case when c2 like '%remove%' then null else cast(k as varchar) end as k"""
 SENT = f"""(select *, json_extract_string(steps[len(steps)].config, '$.destinationId') as destination_id
     from {MATCHED} where {HOLDS})"""
-FANNED = f"""(select m.event_id, m.pipeline_id, m.destination_id, dest.type, m.ingested_at
-    from {SENT} m left join {d('destinations')} dest
+# The properties after the steps, keys in order.
+PAYLOAD = """'{' || concat_ws(',', case when nation is not null and len(steps) = 4 then '"customer_nation":"' || nation || '","customer_segment":"' || segment || '"' end,
+    case when len(steps) = 4 and c2 like '%rename%' then '"flag":true' end,
+    case when len(steps) <> 4 or c2 like '%"set":{"total":0}%' then '"k":' || k when c2 like '%rename%' then '"key":' || k end,
+    '"total":' || case when len(steps) = 4 and c2 like '%"set":{"total":0}%' then 0 else total end) || '}'"""
+FANNED = f"""(select m.event_id, m.pipeline_id, m.destination_id, dest.type, m.ingested_at, m.workspace_id, m.event_name, {PAYLOAD} as payload
+    from {SENT} m left join {d('profiles')} using (user_id) left join {d('destinations')} dest
         on dest.id = m.destination_id and dest.workspace_id = m.workspace_id)"""
 EXECUTED = f"""(select m.event_id, m.pipeline_id,
         case when {BAD} or {HOLDS} and f.destination_id is not null and f.type is null then 'failed' else 'completed' end as status,
@@ -345,6 +353,14 @@ def closed_windows(width: int, slide: int) -> str:
         having max({start}) + interval {width} hour <= (select max(received_at) - interval 1 hour from {d('stored')})"""
 
 
+ENVELOPE = f"""'{{"meta":{{"messageId":"' || {content_id("'message'", 'id')} || '","correlationId":"' || correlation_id || '","timestamp":"'
+            || strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%gZ') || '","source":"ingestion","version":"1.0","workspaceId":"' || workspace_id
+            || '"}},"payload":{{"eventId":"' || event_id || '","event":"' || event_name || '","source":"' || source || '","version":"1.0"'
+            || coalesce(',"userId":"' || user_id || '"', '') || coalesce(',"anonymousId":"' || anonymous_id || '"', '')
+            || coalesce(',"sessionId":"' || session_id || '"', '') || ',"properties":' || properties || ',"context":' || context
+            || ',"receivedAt":"' || received_text || '"}}}}'"""
+
+
 def oracle_sql() -> dict[str, str]:
     quarantine_fields = f"array_to_string(list_transform(errs, lambda e: e.message), '; ')"
     return {
@@ -372,23 +388,17 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_status": f"""select event_id, arrival_seq, workspace_id, epoch_ms(arrived_at) as arrived_at_ms, status
             from {deduped(d('arrivals'))}""",
         "dedupe_against_store": f"""select case when s.at is null then a.status when a.arrived_at < s.at + interval 24 hour
-                then 'duplicate' else 'conflict' end as status, arrival_seq, count(*) as n
+                then 'duplicate' else 'conflict' end as status, arrival_seq, event_id
             from {deduped(d('arrivals'))} a left join
                 (select event_id, min(ingested_at) as at from {d('stored')} where event_name <> 'app.click' group by 1) s using (event_id)
-            group by 1, 2""",
+            """,
         "already_ingested": f"""select event_id, arrival_seq from {d('arrivals')} where event_id not in
             (select event_id from {d('stored')} where event_name = 'app.purchase')""",
         "events_store": f"""select id, event_id, workspace_id, event_name, cast(cast(received_at as date) as varchar) as received_date,
             properties, epoch_ms(received_at) as received_at_ms from {deduped(normalized(VALID_ARRIVALS))} where status = 'accepted'""",
         "event_counts": f"""select workspace_id, event_name, count(*) as n from {deduped(normalized(VALID_ARRIVALS))}
             where status = 'accepted' group by all""",
-        "event_envelope": f"""select 'event.ingested' as routing_key,
-            '{{"meta":{{"messageId":"' || {content_id("'message'", 'id')} || '","correlationId":"' || correlation_id || '","timestamp":"'
-            || strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%gZ') || '","source":"ingestion","version":"1.0","workspaceId":"' || workspace_id
-            || '"}},"payload":{{"eventId":"' || event_id || '","event":"' || event_name || '","source":"' || source || '","version":"1.0"'
-            || coalesce(',"userId":"' || user_id || '"', '') || coalesce(',"anonymousId":"' || anonymous_id || '"', '')
-            || coalesce(',"sessionId":"' || session_id || '"', '') || ',"properties":' || properties || ',"context":' || context
-            || ',"receivedAt":"' || received_text || '"}}}}' as value from {d('stored')}""",
+        "event_envelope": f"select 'event.ingested' as routing_key, {ENVELOPE} as value from {d('stored')}",
         "ingest_results": f"""select batch_id, string_agg(pos || ':' || event_id || ':' || status, ',' order by pos) as results
             from {BATCHED} group by 1""",
         "batch_summary": f"""select batch_id, count(*) filter (status = 'accepted') as accepted,
@@ -434,12 +444,20 @@ def oracle_sql() -> dict[str, str]:
             from {d('attempts')} where status = 'failed'""",
         "trigger_match": f"select event_id, pipeline_id, event_name, cast(len(steps) as integer) as n_steps from {MATCHED}",
         "filter_step": f"select event_id, pipeline_id from {MATCHED} where {HOLDS}",
-        "transform_step": f"select event_id, pipeline_id, {RESHAPED} from {MATCHED} where len(steps) = 4",
+        "transform_step": f"""select event_id, pipeline_id, {RESHAPED} from {MATCHED} where len(steps) = 4
+            union all select event_id, pipeline_id, 'k,total', cast(total as varchar), cast(k as varchar) from {MATCHED} where len(steps) <> 4""",
         "enrich_step": f"""select event_id, pipeline_id, nation, segment,
             cast(case when nation is null then 2 else 4 end as integer) as n_props
-            from {MATCHED} left join {d('profiles')} using (user_id) where len(steps) = 4""",
+            from {MATCHED} left join {d('profiles')} using (user_id) where len(steps) = 4
+            union all select event_id, pipeline_id, null, null, cast(2 as integer) from {MATCHED} where len(steps) <> 4""",
         "destination_fanout": f"select event_id, pipeline_id, destination_id, type from {FANNED}",
-        "destination_sinks": f"select type, count(*) as n from {FANNED} where type is not null group by type",
+        "destination_sinks": f"""select event_id, destination_id, type, case
+                when type in ('postgres', 'mysql', 's3') then payload
+                when type = 'slack' then '{{"text":"' || event_name || ' ' || replace(payload, '"', chr(92) || '"') || '"}}'
+                when type = 'discord' then '{{"content":"' || event_name || ' ' || replace(payload, '"', chr(92) || '"') || '"}}'
+                when type = 'email' then '{{"subject":"' || event_name || '","body":"' || event_name || ' ' || replace(payload, '"', chr(92) || '"') || '"}}'
+                else '{{"event_id":"' || event_id || '","event_name":"' || event_name || '","properties":' || payload || '}}' end as body
+            from {FANNED} where type is not null""",
         "execution_rows": f"""select event_id, pipeline_id, status, error, n_sends, epoch_ms(received_at) as started_at_ms,
             epoch_ms(ingested_at) as completed_at_ms from {EXECUTED}""",
         "executions_by_status": f"""select pipeline_id, status, count(*) as n, cast(sum(n_sends) as bigint) as n_sends,
@@ -461,14 +479,15 @@ def oracle_sql() -> dict[str, str]:
                     partition by destination_id order by attempted_at desc, id desc) as run
                 from {d('attempts')} where status <> 'pending') group by 1""",
         "expire_messages": f"select message_id, queue, routing_key, epoch_ms(dead_at) as dead_at_ms from {EXPIRED}",
-        "dead_letter": f"""select 'expired' as reason, queue, routing_key, event_id, null as destination_id,
+        "dead_letter": f"""select 'expired' as reason, queue, routing_key, event_id, null as destination_id, value as message, null as error,
                 epoch_ms(dead_at) as dead_at_ms from {EXPIRED}
-            union all select 'exhausted', 'delivery.events', 'dead.delivery.events', event_id, destination_id,
-                epoch_ms(attempted_at) from {d('attempts')} where status = 'dead_lettered'
-            union all select 'unknown_destination', 'pipeline.events', 'dead.pipeline.events', event_id, destination_id,
+            union all select 'exhausted', 'delivery.events', 'dead.delivery.events', event_id, destination_id, m.message, error,
+                epoch_ms(attempted_at) from {d('attempts')} left join (select event_id, {ENVELOPE} as message from {d('stored')}) m using (event_id)
+                where status = 'dead_lettered'
+            union all select 'unknown_destination', 'pipeline.events', 'dead.pipeline.events', event_id, destination_id, payload, null,
                 epoch_ms(ingested_at) from {FANNED} where type is null""",
-        "dlq_replay": f"""select event_id, destination_id, 'delivery.retry' as routing_key, cast(1 as integer) as attempt,
-            '2024-01-31T00:00:00.000Z' as replayed_at from {d('attempts')} a
+        "dlq_replay": f"""select a.event_id, destination_id, 'delivery.retry' as routing_key, cast(1 as integer) as attempt,
+            '2024-01-31T00:00:00.000Z' as replayed_at, event_name, properties, received_text from {d('attempts')} a left join {d('stored')} using (event_id)
             where status = 'dead_lettered' and attempt_number > 1 and not exists (select 1 from {d('attempts')} again
                 where again.event_id = a.event_id and again.destination_id = a.destination_id and again.status = 'delivered')""",
         "context_flatten": f"""select event_id, context->>'$.app.name' as app_name, context->>'$.app.version' as app_version,

@@ -143,7 +143,7 @@ def dedupe_status(spark, sf):
 def dedupe_against_store(spark, sf):
     arrivals = fixture(spark, sf, "arrivals")
     store = fixture(spark, sf, "stored").filter(F.col("event_name") != "app.click")
-    return ingest.dedupe_status(arrivals, store).groupBy("status", "arrival_seq").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.dedupe_status(arrivals, store).select("event_id", "arrival_seq", "status")
 
 
 @query
@@ -166,8 +166,8 @@ def events_store(spark, sf):
 @query
 def event_counts(spark, sf):
     """Accepted events per workspace and name, from raw text to counts."""
-    run = ingestion.ingest_requests(raw_requests(spark, sf, "raw_arrivals"))
-    return feeds.event_counts(run.stored)
+    run = ingestion.ingest_requests(raw_requests(spark, sf, "raw_arrivals"), columns=("workspace_id", "event_name"))
+    return feeds.event_counts(run.labelled.filter(F.col("status") == "accepted"))
 
 
 @query
@@ -210,13 +210,9 @@ def config_scan(spark, sf):
 @query
 def workspace_scope(spark, sf):
     """Destinations of the workspace that owns the most events."""
-    busiest = (
-        fixture(spark, sf, "stored").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), "workspace_id").first()
-    )
-    return config.workspace_scope(fixture(spark, sf, "destinations"), busiest["workspace_id"]).select(
-        "id", "workspace_id", "name", "type"
-    )
+    counted = fixture(spark, sf, "stored").groupBy("workspace_id").agg((-F.count(F.lit(1))).alias("n"))
+    busiest = counted.agg(F.min(F.struct("n", "workspace_id")).alias("b")).select("b.workspace_id")
+    return fixture(spark, sf, "destinations").join(busiest, "workspace_id", "left_semi").select("id", "workspace_id", "name", "type")
 
 
 @query
@@ -360,18 +356,22 @@ def retry_schedule(spark, sf):
 
 
 def profiles(spark: SparkSession, sf: str) -> dict[str, steps.Enrichment]:
-    return {"profiles": steps.Enrichment(fixture(spark, sf, "profiles"), key="user_id", on="userId")}
+    return {"profiles": steps.Enrichment(fixture(spark, sf, "profiles"), key="user_id", on="userId", version=sf)}
 
 
 def executed_rows(spark: SparkSession, sf: str) -> DataFrame:
     typed = steps.typed_pipelines(fixture(spark, sf, "pipelines"), fixture(spark, sf, "destinations"))
-    matched = steps.trigger_match(stored_events(spark, sf), typed)
-    return steps.run_steps(matched, profiles(spark, sf))
+    return steps.run_steps(stored_events(spark, sf), typed, profiles(spark, sf))
 
 
 def matched_rows(spark: SparkSession, sf: str) -> DataFrame:
     typed = steps.typed_pipelines(fixture(spark, sf, "pipelines"))
-    return steps.with_props(steps.trigger_match(stored_events(spark, sf), typed))
+    return steps.attach_steps(steps.trigger_match(steps.with_props(stored_events(spark, sf)), typed), typed)
+
+
+def step_of(kind: str) -> Column:
+    """The first step of a kind; NULL where a pipeline has none."""
+    return F.get(F.filter("steps", lambda s: s.type == kind), F.lit(0))
 
 
 def props_columns() -> list[Column]:
@@ -396,14 +396,17 @@ def filter_step(spark, sf):
 
 @query
 def transform_step(spark, sf):
-    rows = matched_rows(spark, sf).filter(F.size("steps") == 4)
-    return steps.transform_step(rows, F.get("steps", F.lit(1))).select("event_id", "pipeline_id", *props_columns())
+    """Every pipeline's transform step over all its events; pipelines without one leave them as they are."""
+    rows = matched_rows(spark, sf).withColumn("_step", step_of("transform"))
+    done = steps.transform_step(rows.filter(F.col("_step").isNotNull()), F.col("_step")).unionByName(rows.filter(F.col("_step").isNull()))
+    return done.select("event_id", "pipeline_id", *props_columns())
 
 
 @query
 def enrich_step(spark, sf):
-    rows = matched_rows(spark, sf).filter(F.size("steps") == 4)
-    done = steps.enrich_step(rows, F.get("steps", F.lit(2)), "profiles", profiles(spark, sf)["profiles"])
+    rows = matched_rows(spark, sf).withColumn("_step", step_of("enrich"))
+    done = steps.enrich_step(rows.filter(F.col("_step").isNotNull()), F.col("_step"), "profiles", profiles(spark, sf)["profiles"])
+    done = done.unionByName(rows.filter(F.col("_step").isNull()))
     return done.select(
         "event_id", "pipeline_id", v.text(F.col("props")["customer_nation"]).alias("nation"),
         v.text(F.col("props")["customer_segment"]).alias("segment"), F.size("props").alias("n_props"),
@@ -421,11 +424,10 @@ def destination_sinks(spark, sf):
     path = scratch_dir(spark, "sinks")
     fanned = staged(steps.destination_fanout(executed_rows(spark, sf)), "fanned")
     sinks.write_deliveries(steps.deliveries(fanned), path)
-    counts = F.count(F.lit(1)).alias("n")
     written = (
-        spark.read.parquet(f"{path}/outbox").groupBy("type").agg(counts)
-        .unionByName(spark.read.option("basePath", f"{path}/database").parquet(f"{path}/database").groupBy("type").agg(counts))
-        .unionByName(spark.read.schema("type STRING").json(f"{path}/objects").groupBy("type").agg(counts))
+        spark.read.parquet(f"{path}/outbox").select("event_id", "destination_id", "type", "body")
+        .unionByName(spark.read.option("basePath", f"{path}/database").parquet(f"{path}/database").select("event_id", "destination_id", "type", F.col("payload").alias("body")))
+        .unionByName(spark.read.schema("event_id STRING, destination_id STRING, type STRING, payload STRING").json(f"{path}/objects").select("event_id", "destination_id", "type", F.col("payload").alias("body")))
     )
     return written
 
@@ -485,25 +487,27 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
         expired=delivery.expire_messages(fixture(spark, sf, "queue_log"), as_of()),
         exhausted=fixture(spark, sf, "attempts"),
         unmatched=steps.unknown_destinations(steps.destination_fanout(executed_rows(spark, sf))),
+        messages=ingest.event_envelope(fixture(spark, sf, "stored")),
     )
 
 
 @query
 def dead_letter(spark, sf):
-    return dead_letters(spark, sf).select("reason", "queue", "routing_key", "event_id", "destination_id", ms("dead_at"))
+    return dead_letters(spark, sf).select("reason", "queue", "routing_key", "event_id", "destination_id", "message", "error", ms("dead_at"))
 
 
 @query
 def dlq_replay(spark, sf):
     """Replay of everything exhausted, where each event with an even suffix was delivered meanwhile."""
     attempts = fixture(spark, sf, "attempts")
-    dead = delivery.dead_letter(exhausted=attempts)
+    dead = delivery.dead_letter(exhausted=attempts, messages=ingest.event_envelope(fixture(spark, sf, "stored")))
     meanwhile = attempts.filter("status = 'dead_lettered' and attempt_number = 1").withColumn("status", F.lit("delivered"))
     replayed = delivery.dlq_replay(dead, attempts.unionByName(meanwhile), as_of())
     return replayed.select(
         "event_id", "destination_id", "routing_key",
         F.get_json_object("value", "$.payload.attempt").cast("int").alias("attempt"),
         F.get_json_object("value", "$.meta.timestamp").alias("replayed_at"),
+        *[F.get_json_object("value", f"$.payload.message.payload.{name}").alias(alias) for name, alias in (("event", "event_name"), ("properties", "properties"), ("receivedAt", "received_text"))],
     )
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from penstock import schema
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hand an input with fewer splits than cores (an unsplittable file) to all cores.
+#: Splits from which an input is left as it is, however many cores there are.
+SPLITS = 8
 
-    Large inputs have more splits than cores and pass unchanged, without a shuffle.
-    """
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hand an input of few splits (an unsplittable file or two) to all cores; any larger one passes without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= min(cores, SPLITS) else df.repartition(cores, *keys)
 
 
 def append_events(stored: DataFrame, path: str, mode: str = "append") -> None:

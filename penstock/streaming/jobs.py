@@ -137,7 +137,7 @@ def pipeline_batch(
     spark = batch_rows.sparkSession
     pipelines, destinations, enrichments = config()
     typed = steps.typed_pipelines(pipelines, destinations)
-    executed = steps.run_steps(steps.trigger_match(batch_rows, typed), enrichments)
+    executed = steps.run_steps(batch_rows, typed, enrichments)
     executed = executed.drop("steps", "props")
     executed.write.mode("overwrite").parquet(batch_path(root, "executed", batch))
     executed = spark.read.schema(executed.schema).parquet(batch_path(root, "executed", batch))

@@ -24,7 +24,7 @@ def run(spark, step_list, properties, context="{}", destinations=(), enrichments
         " received_at timestamp, ingested_at timestamp",
     )
     typed = steps.typed_pipelines(pipelines, known)
-    return steps.run_steps(steps.trigger_match(events, typed), enrichments or {})
+    return steps.run_steps(events, typed, enrichments or {})
 
 
 def props_of(df):
