@@ -1,12 +1,15 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
-A window of an item occurs in a document only if all of its words do, so it is
-enough to look for one of them: the prefix of a set that must be contained whole
-is a single element, and the rarest is the cheapest. Words are ordered by their
-count over all documents. The rarest words of all windows are joined with the
-document's words; position and length must leave room for the window. Each hit
-lays the item along the document, and the words of that item-sized stretch are
-compared exactly, once per document, item and place.
+The documents' words are extracted once: each that is a word of the benchmark is staged
+with its place, as a number. Everything after that reads these rows and no text.
+
+A window of an item occurs in a document only if all of its words do, so its words are
+ordered by their counts over all documents, and the rarest is looked for: the prefix of a
+set that must be contained whole is a single element. Where it stands, the window must
+fit between the document's ends (length and position), and its second rarest word must stand at its
+own place. What is left is verified word by word, window by window. Equal windows of
+any items are one window, so a run of one word costs a row for each place and not for each pair
+of places.
 """
 
 from __future__ import annotations
@@ -38,21 +41,25 @@ def _beside(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Items (item, mark, words, span) and their windows' words (item, mark, start, at, word)."""
-    words = words_of(F.coalesce(F.col("text"), F.lit("")))
-    items = (
-        benchmark.where("item_id is not null")
-        .select(F.col("item_id").cast("string").alias("item"), F.xxhash64("text").alias("mark"), F.transform(words, lowered).alias("words"))
-        .where(F.size("words") > 0).distinct().withColumn("span", F.least(F.size("words"), F.lit(window)))
-    )
-    starts = items.select("item", "mark", "words", "span", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("span"))).alias("start"))
-    inside = F.slice("words", F.col("start") + 1, F.col("span"))
-    return items, starts.select("item", "mark", "span", "start", F.posexplode(inside).alias("at", "word"))
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item, words: the different windows of each item; `window` consecutive words, or all of a shorter item."""
+    words = F.transform(words_of(F.coalesce(F.col("text"), F.lit(""))), lowered)
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words.alias("all")).where(F.size("all") > 0)
+    span = F.least(F.size("all"), F.lit(window))
+    starts = items.select("item", "all", span.alias("span"), F.explode(F.sequence(F.lit(1), F.size("all") - span + 1)).alias("start"))
+    return starts.select("item", F.slice("all", F.col("start"), F.col("span")).alias("words")).distinct()
+
+
+def placed_words(docs: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame:
+    """doc, tag, n, pos, wid: the words of keyed rows that `vocabulary` (word, wid) has, and one row with wid -1 at the end of each text."""
+    words = F.concat(words_of(F.col("text")), F.array(F.lit("")))
+    placed = docs.select("doc", "tag", words.alias("words")).select("doc", "tag", (F.size("words") - 1).alias("n"), F.posexplode("words").alias("pos", "word"))
+    placed = placed.withColumn("word", lowered("word"))
+    return placed.join(_beside(vocabulary, rows), "word").select("doc", "tag", "n", "pos", "wid")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, tag, n_words, n_hit, n_items, items_sha256 for keyed rows.
+    """doc, tag, n_words, n_hit, n_items, items_sha256, contaminated for keyed rows.
 
     A window is `window` consecutive words of an item, or all words of a shorter
     one. A document word inside any occurrence of a window is hit.
@@ -60,67 +67,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Null texts have no words; items without words or id take no part; items that
     repeat an id count once. Repeated documents get equal results.
     """
-    items, members = item_windows(benchmark, window)
-    items, members = staged(items, "items"), staged(members, "item-windows")
-    vocabulary = staged(members.select("word").distinct(), "item-words")
-    tokens = docs.select("doc", "tag", words_of(F.col("text")).alias("words"))
-
-    known = _beside(vocabulary, vocabulary.count())
-    counts = staged(
-        tokens.select(F.explode("words").alias("word")).select(lowered("word").alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("n")), "item-word-counts"
-    )
-    rarest = members.join(counts, "word").groupBy("item", "mark", "span", "start").agg(
-        F.min(F.struct("n", "word", "at")).alias("rarest"), F.count("*").alias("found")
+    of_items = staged(item_windows(benchmark, window), "item-windows")
+    windows = staged(of_items.select("words").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
+    # numbers stand for words: equal numbers, equal words
+    spelt = windows.select(F.explode("words").alias("word")).distinct().withColumn("wid", F.monotonically_increasing_id())
+    vocabulary = staged(spelt.unionByName(docs.sparkSession.createDataFrame([("", -1)], "word string, wid long")), "vocabulary")
+    members = staged(
+        windows.select("win", F.size("words").alias("span"), F.posexplode("words").alias("at", "word")).join(vocabulary, "word").select("win", "span", "at", "wid"), "members"
     )
+    placed = staged(placed_words(docs, vocabulary, vocabulary.count()), "placed-words")
+    texts, hits = placed.where("wid < 0").select("doc", "tag", "n"), placed.where("wid >= 0")
+
+    counts = hits.groupBy("wid").agg(F.count("*").alias("n"))
+    by_rarity = F.sort_array(F.collect_list(F.struct("n", "wid", "at")))  # as many as a window has words
+    ranked = members.join(counts, "wid").groupBy("win", "span").agg(by_rarity.alias("r"))
     # a window of which a word occurs nowhere has no occurrence either
+    first, second = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
     prefixes = staged(
-        rarest.where("found = span").groupBy("item", "mark", F.col("rarest.word").alias("word"), (F.col("start") + F.col("rarest.at")).alias("place"))
-        .agg(F.min("rarest.at").alias("before"), F.min(F.col("span") - F.col("rarest.at")).alias("after")),
-        "prefixes",
-    )
-
-    placed = tokens.select("doc", "tag", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
-    placed = placed.withColumn("word", lowered("word"))
-    met = placed.join(_beside(prefixes, prefixes.count()), "word").where("pos >= before and n - pos >= after")
-    spots = staged(
-        met.select("doc", "tag", F.struct("item", "mark", (F.col("pos") - F.col("place")).alias("shift")).alias("spot"))
-        .groupBy("doc", "tag").agg(F.collect_set("spot").alias("spots")),
-        "spots",
-    )
-
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    stretch = F.transform(
-        "spots",
-        lambda s: F.struct(
-            s["item"].alias("item"), s["mark"].alias("mark"), F.greatest(s["shift"], F.lit(0)).alias("first"), F.greatest(-s["shift"], F.lit(0)).alias("skip"),
-            F.transform(F.slice(F.col("words"), F.greatest(s["shift"], F.lit(0)) + 1, F.lit(longest)), lowered).alias("got"),
+        ranked.where(F.size("r") == F.col("span")).select(
+            "win", "span", first["wid"].alias("wid"), first["at"].alias("at"), second["wid"].alias("then"), second["at"].alias("then_at")
         ),
-    )
-    wordy = docs.join(spots, ["doc", "tag"], "left").select("doc", "tag", "spots", words_of(F.col("text")).alias("words"))
-    read = staged(wordy.select("doc", "tag", F.size("words").alias("n_words"), stretch.alias("stretches")), "stretches")
-
-    laid = read.where("stretches is not null").select("doc", "tag", F.explode("stretches").alias("s")).select("doc", "tag", "s.*")
-    laid = laid.join(_beside(items, items.count()), ["item", "mark"])
-    # one character a word: 1 where both agree
-    same = F.array_join(F.zip_with("got", F.slice("words", F.col("skip") + 1, F.size("words")), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
-    laid = laid.select("doc", "tag", "item", "first", "span", same.alias("same"), F.repeat(F.lit("1"), F.col("span")).alias("whole"))
-    laid = laid.where(F.instr("same", F.col("whole")) > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.length("same") - F.col("span")), lambda at: F.substr("same", at + 1, F.col("span")) == F.col("whole"))
-    laid = laid.withColumn("starts", starts)
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + F.col("span") - 1))))
-    hits = laid.select("doc", "tag", "item", F.explode(covered).alias("at"), "first").groupBy("doc", "tag").agg(
-        F.collect_set(F.col("first") + F.col("at")).alias("hit"), F.collect_set("item").alias("items")
-    )
-    hits = staged(
-        hits.select("doc", "tag", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items")),
-        "hits",
+        "prefixes",
     )
-    out = read.select("doc", "tag", F.col("n_words").cast("long").alias("n_words")).join(hits, ["doc", "tag"], "left")
-    dropped(items, members, vocabulary, counts, prefixes, spots)
+    rows = prefixes.count()
+    met = hits.join(_beside(prefixes, rows), "wid").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0 and start + span <= n")
+    met = met.select("doc", "tag", "win", "span", "start", "then", (F.col("start") + F.col("then_at")).alias("then_pos")).distinct()
+    seconds = hits.join(_beside(prefixes.select("then").distinct(), rows), F.col("wid") == F.col("then"), "left_semi")
+    seconds = seconds.select("doc", "tag", F.col("pos").alias("then_pos"), F.col("wid").alias("then"))
+    likely = staged(met.join(seconds, ["doc", "tag", "then_pos", "then"], "left_semi").select("doc", "tag", "win", "span", "start"), "likely")
+
+    near = hits.join(likely.select("doc", "tag").distinct(), ["doc", "tag"], "left_semi").select("doc", "tag", "pos", "wid").distinct()
+    wanted = likely.join(_beside(members.drop("span"), rows * window), "win").withColumn("pos", F.col("start") + F.col("at"))
+    same = wanted.join(near, ["doc", "tag", "pos", "wid"]).groupBy("doc", "tag", "win", "span", "start").agg(F.count("*").alias("found"))
+    found = staged(same.where("found = span"), "occurrences")
+
+    inside = F.explode(F.sequence("start", F.col("start") + F.col("span") - 1)).alias("pos")
+    covered = found.select("doc", "tag", inside).distinct().groupBy("doc", "tag").agg(F.count("*").alias("n_hit"))
+    named = windows.join(of_items, "words").select("win", "item")
+    items = found.select("doc", "tag", "win").distinct().join(named, "win").groupBy("doc", "tag").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    judged = staged(covered.join(items, ["doc", "tag"]), "hits")
+    out = staged(texts.select("doc", "tag", F.col("n").cast("long").alias("n_words")).join(judged, ["doc", "tag"], "left"), "contamination")
+    dropped(of_items, windows, vocabulary, members, placed, prefixes, likely, found, judged)
     zero = F.lit(0).cast("long")
     listed = F.array_join(F.coalesce("items", F.array().cast("array<string>")), ",")
     return out.select(
-        "doc", "tag", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        "doc", "tag", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.size("items").cast("long"), zero).alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -282,7 +282,7 @@ def _traverse(ids: list[int], tables: tuple) -> float:
 def _score(words, hot, order: int):
     """Per text its sums over what is broadcast, and one row for each other word."""
     kinds = [
-        ("doc", pa.int64()), ("tag", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
+        ("doc", pa.int64()), ("tag", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
         ("model", pa.float64()), ("word", pa.string()), ("n", pa.int64()),
     ]
 
@@ -402,7 +402,7 @@ def lm_scores(
     for size, (value, kept) in enumerate(zip(values, filters, strict=True), 2):
         other = value.where(F.col("n") < ngram_share * total).select("key", "value")
         if other.take(1):
-            met = docs.mapInArrow(_rest(size, hot, kept), "doc long, tag int, key long").join(other, "key")
+            met = docs.mapInArrow(_rest(size, hot, kept), "doc long, tag long, key long").join(other, "key")
             gain = met.groupBy("doc", "tag").agg(F.sum("value").alias("gain"))
             parts.append(staged(gain.select("doc", "tag", F.lit(0.0).alias("rare"), "gain", F.lit(0).cast("long").alias("rare_known")), "lm-gains"))
     below = parts[0]

@@ -47,7 +47,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, tag (a hash of the text), source, size in words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.col("doc_id"), F.hash(text).alias("tag"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
+        F.col("doc_id"), F.xxhash64(text).alias("tag"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
     )
 
 
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> D
     """doc_id, tag, source, size, source_size, target, copies, taken: one row per document.
 
     Every document of a source is expected `rate` = target / source size times. The
-    documents of a source stand in the order of size (largest first) and id; the
+    documents of a source stand in the order of size (largest first), id and text hash; the
     prefix sum of expected copies is rate times rank, and a document is emitted
     once per integer between the sums before and after it, moved by the source's
     offset. As sizes fall along the order, taken words miss the target by no more
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> D
     """
     slim = staged(sized(docs), "mix-sizes")
     slices = max(docs.sparkSession.sparkContext.defaultParallelism, slim.rdd.getNumPartitions())
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_first()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.col("tag")]
     dealt = staged(slim.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()), "mix-slices")
     targets = source_targets(dealt.select("source", "size"), weights, most)
     counts = dealt.groupBy("source", "slice").agg(F.count("*").alias("here"))

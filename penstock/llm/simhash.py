@@ -68,7 +68,7 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc, tag, print (a signed long) for keyed rows: the majority of the XXH64 bits of all shingles."""
-    return docs.mapInArrow(_fingerprints(shingle, seed), "doc long, tag int, print long")
+    return docs.mapInArrow(_fingerprints(shingle, seed), "doc long, tag long, print long")
 
 
 def _turned(by: int) -> Column:

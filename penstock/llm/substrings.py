@@ -134,7 +134,7 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     `docs` are keyed rows. `windows` holds starts of windows that also start
     earlier; `anchors` holds anchors all of whose windows do.
     """
-    emitted = "key long, reach long, doc long, tag int, pos int"
+    emitted = "key long, reach long, doc long, tag long, pos int"
     repeated = staged(
         docs.mapInArrow(_anchors(length, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"),
         "anchors-repeated",
@@ -151,7 +151,7 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     firsts = classes.join(several, "key", "left_semi").select("first.*")
     per_doc = staged(firsts.groupBy("doc", "tag").agg(F.collect_set("pos").alias("anchors")), "anchors-by-document")
     windows = staged(
-        docs.join(per_doc, ["doc", "tag"]).mapInArrow(_windows(length, gram), "key long, window long, doc long, tag int, pos int"),
+        docs.join(per_doc, ["doc", "tag"]).mapInArrow(_windows(length, gram), "key long, window long, doc long, tag long, pos int"),
         "windows",
     )
     earliest = staged(

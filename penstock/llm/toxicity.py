@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc", "tag", "score", "ratio", "n_words"],
             )
 
-    return docs.mapInArrow(of, "doc long, tag int, score double, ratio double, n_words long")
+    return docs.mapInArrow(of, "doc long, tag long, score double, ratio double, n_words long")
 
 
 def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force or SQL, and on odd tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -465,6 +466,26 @@ def test_contamination_odd(spark, odd, empty):
     assert contamination(keyed(odd), benchmark.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_contamination_of_one_word_over_and_over(spark):
+    """A document and an item of 20,000 equal words cost a row per place, not per pair of places."""
+    docs = spark.createDataFrame([(1, "na " * 20_000), (2, "na " * 12 + "ta " + "na " * 12), (3, "ta " + "na " * 13)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "na " * 20_000), ("b", "ta na")], "item_id string, text string")
+    start = time.time()
+    got = {r.doc: (r.n_words, r.n_hit, r.n_items) for r in contamination(keyed(docs), items).collect()}
+    assert got == {1: (20_000, 20_000, 1), 2: (25, 2, 1), 3: (14, 14, 2)}
+    assert time.time() - start < 90
+
+
+def test_rows_of_equal_short_hashes_stay_apart(spark):
+    """Two texts without an id whose 32-bit hashes agree: one is contaminated, the other isn't."""
+    words = spark.range(120_000).selectExpr("concat('w', id, ' one two three') as text").withColumn("h", F.hash("text"))
+    pair = words.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").first()
+    docs = spark.createDataFrame([(None, pair.a), (None, pair.b)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", pair.a)], "item_id string, text string")
+    assert docs.select(F.hash("text")).distinct().count() == 1
+    assert sorted(r.n_hit for r in contamination(keyed(docs), items).collect()) == [0, 4]
+
+
 # toxicity
 
 
