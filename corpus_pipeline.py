@@ -24,7 +24,7 @@ def _own_names(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     names = [f"_{i}" for i in range(len(docs.columns))]
     own = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)],
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("_tag"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_tag"),
     )
     return own, [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
 
