@@ -1,24 +1,28 @@
 """Toxicity from two class-conditional Kneser-Ney models.
 
-Each class has a discounted model of words that backs off to counts both classes
-share. The discount of a count is what the shared rate leads one to expect, plus
-some standard deviations: what is left is the class's own. As in Kneser-Ney models, the
-level below is estimated only from what the level above leaves open: words that have
-nothing of their own in either class, rare expressions above all, are judged
-by their head, the first letters, from the counts of all such words with that head. A
-word that neither level knows has the same probability in both classes. A text's
-score compares the two log-likelihoods per word.
-
-Counts are continuation counts: of different contexts (the words on both sides), one
-per document at most. Neither repetition within a text nor copies of it inflate them.
+Each class has an interpolated model of four orders: a word after the one before it, the
+word, its head (the first letters), and what both classes share. An order takes a
+discount off each of its counts, and hands on the mass that is left over by that to the
+order below, which is estimated from continuation counts and from what the discounts took off:
+
+    P(w | h) = max(n(h, w) - D, 0) / n(h) + left(h) P(w)
+    P(w)     = max(n(w) - D, 0) / n + left P(head) shared(w | head)
+    P(head)  = max(r(head) - D, 0) / r + left shared(head)
+
+The discount is what the counts of both classes together let one expect in this class, plus
+some standard deviations: rare expressions, which no class can claim, pass whole to the
+shared order and say nothing, while one that a class has for itself keeps the rest. A text's score
+compares its two log-likelihoods per word.
+
+Counts of words are of different contexts (the words on both sides), one per document at
+most; counts of pairs are of documents. Neither repetition within a text nor copies of it inflate them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,86 +35,153 @@ from penstock.llm.common import dropped, fold, keyed, shown_id, staged, table
 #: Labelled rows of each class that the models learn from, at most; those of the smallest id hashes.
 ROWS_PER_CLASS = 4000
 HEAD = 4
-#: Weight of the shared counts, standard deviations in the discount, words added to a text's length.
-BACKOFF, DEVIATIONS, PADDING = 0.1, 3.0, 20
+#: Standard deviations in the discount, words added to a text's length.
+DEVIATIONS, PADDING = 3.0, 20
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
+Pair = tuple[float, float]  # of the toxic and the plain class
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios by word and, for other words, by head; then the calibration."""
+    """What the two models say of an expression: log-likelihood ratios; then the calibration.
 
-    words: dict[str, float]
-    heads: dict[str, float]
+    `words` and `pairs` have the expressions of which a class keeps a part, `heads` those of other words,
+    `after` what the word before adds, and `other` the ratio of all else.
+    """
+
+    words: dict[str, float] = field(default_factory=dict)
+    heads: dict[str, float] = field(default_factory=dict)
+    other: float = 0.0
+    pairs: dict[tuple[str, str], float] = field(default_factory=dict)
+    after: dict[str, float] = field(default_factory=dict)
     slope: float = 0.0
     bias: float = 0.0
     fitted: bool = False
 
+    def of(self, words: list[str], known: dict[str, float] | None = None) -> float:
+        """The log-likelihood ratio of a text."""
+        known = _Known(self) if known is None else known
+        total = sum(map(known.__getitem__, words))
+        if self.after:
+            for i, word in enumerate(["", *words[:-1]]) if words else ():
+                if word in self.after:
+                    own = self.pairs.get((word, words[i]))
+                    total += self.after[word] if own is None else own - known[words[i]]
+        return total
+
+
+class _Known(dict):
+    """word -> its ratio, from its own part or its head; forgets the other words at a fixed size."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.words)
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > len(self.model.words) + 300_000:
+            self.clear()
+            self.update(self.model.words)
+        value = self[word] = self.model.heads.get(word[:HEAD], self.model.other)
+        return value
+
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, toxic, word, context) for the first occurrence of each word in each document."""
+    """(part, toxic, before, word, context): each word of a document at its first place, without `before`; each pair once, without context."""
     for batch in batches:
-        rows: list[tuple[int, int, str, int]] = []
+        rows: list[tuple] = []
         for part, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("part", "toxic", "text")), strict=True):
             words = ["", *_WORD.findall(text.lower()), ""]
             first = {word: i for i, word in zip(range(len(words) - 2, 0, -1), words[-2:0:-1], strict=True)}
-            rows += [(part, toxic, w, xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1) for w, i in first.items()]
+            rows += [(part, toxic, None, w, xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1) for w, i in first.items()]
+            rows += [(part, toxic, before, w, None) for before, w in sorted(set(zip(words[:-2], words[1:-1], strict=True)))]
             if len(rows) > 200_000:
                 yield _records(rows)
                 rows = []
-        yield _records(rows)
-
-
-def _records(rows: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "toxic", "word", "context"])
-
-
-def _evidence(toxic: int, plain: int, all_toxic: float, all_plain: float) -> float:
-    """Log-likelihood ratio of an expression seen so often in each class; 0 if the shared rate explains it."""
-    shared = (toxic + plain) / (all_toxic + all_plain)
-    rates = []
-    for seen, total in ((toxic, all_toxic), (plain, all_plain)):
-        expected = shared * total
-        discount = expected + DEVIATIONS * expected**0.5 + 0.5
-        rates.append(max(0.0, seen - discount) / total + BACKOFF * shared)
-    return float(np.log(rates[0] / rates[1]))
-
-
-def _ratios(toxic: dict[str, int], plain: dict[str, int], n_toxic: int, n_plain: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Log-likelihood ratios of words that have evidence of their own, and of the heads of all others."""
-    words, heads = {}, {}
-    for word in toxic.keys() | plain.keys():
-        t, p = toxic.get(word, 0), plain.get(word, 0)
-        own = _evidence(t, p, n_toxic, n_plain)
-        if own:
-            words[word] = own
-        else:
-            both = heads.setdefault(word[:HEAD], [0, 0])
-            both[0] += t
-            both[1] += p
-    total_t, total_p = (max(1, sum(both[k] for both in heads.values())) for k in (0, 1))
-    found = {head: _evidence(t, p, total_t, total_p) for head, (t, p) in heads.items()}
-    return words, {head: x for head, x in found.items() if x}
-
-
-def _tally(words: dict[str, float], heads: dict[str, float]):
-    class Known(dict):
-        def __missing__(self, word: str) -> float:
-            if len(self) > len(words) + 300_000:
-                self.clear()
-                self.update(words)
-            value = self[word] = heads.get(word[:HEAD], 0.0)
-            return value
-
-    known = Known(words)
-
-    def of(text: str) -> tuple[float, int]:
-        found = _WORD.findall(text.lower())
-        return sum(map(known.__getitem__, found)) / (len(found) + PADDING), len(found)
-
-    return of
+        if rows:
+            yield _records(rows)
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "toxic", "before", "word", "context"])
+
+
+def _own(counts: dict[str, Pair], deviations: float) -> tuple[dict[str, Pair], Pair, dict[str, Pair]]:
+    """What is above the discounts of each class, as probabilities; the left-over mass of each; and what the discounts took off."""
+    totals = [sum(n[c] for n in counts.values()) for c in (0, 1)]
+    both = sum(totals)
+    own, off = {}, {}
+    for word, n in counts.items():
+        expected = [sum(n) / both * t for t in totals]
+        discount = [e + deviations * e**0.5 + 0.5 for e in expected]
+        above = [max(0.0, x - d) for x, d in zip(n, discount, strict=True)]
+        if any(above):
+            own[word] = tuple(x / t if t else 0.0 for x, t in zip(above, totals, strict=True))
+        off[word] = tuple(x - y for x, y in zip(n, above, strict=True))
+    left = tuple(1 - sum(o[c] for o in own.values()) for c in (0, 1))
+    return own, left, off
+
+
+class Lower:
+    """P(w) of both classes, from the orders below pairs; counts are (toxic, plain) by word."""
+
+    def __init__(self, counts: dict[str, Pair], deviations: float = DEVIATIONS):
+        self.words, self.left, off = _own(counts, deviations)
+        heads: dict[str, list[float]] = {}
+        self.words_of: dict[str, int] = {}
+        for word, n in off.items():
+            held = heads.setdefault(word[:HEAD], [0.0, 0.0])
+            held[0] += n[0]
+            held[1] += n[1]
+            self.words_of[word[:HEAD]] = self.words_of.get(word[:HEAD], 0) + 1
+        self.heads, self.head_left, _ = _own(heads, deviations)
+        self.of_word = {word: sum(n) for word, n in off.items()}
+        self.of_head = {head: sum(n) for head, n in heads.items()}
+        self.total = sum(self.of_head.values()) + 0.5 * (len(self.of_head) + 1)
+
+    def head(self, head: str) -> Pair:
+        shared = (self.of_head.get(head, 0.0) + 0.5) / self.total
+        return tuple(o + left * shared for o, left in zip(self.heads.get(head, (0.0, 0.0)), self.head_left, strict=True))
+
+    def word(self, word: str) -> Pair:
+        head = word[:HEAD]
+        given = (self.of_word.get(word, 0.0) + 0.5) / (self.of_head.get(head, 0.0) + 0.5 * (self.words_of.get(head, 0) + 1))
+        return tuple(o + left * p * given for o, left, p in zip(self.words.get(word, (0.0, 0.0)), self.left, self.head(head), strict=True))
+
+    def model(self, pairs: dict[tuple[str, str], Pair]) -> Model:
+        """All ratios; `pairs` has P above the discounts of (word before, word), as far as a class has any."""
+        kept: dict[str, list[float]] = {}
+        for (before, _), own in pairs.items():
+            held = kept.setdefault(before, [0.0, 0.0])
+            held[0] += own[0]
+            held[1] += own[1]
+        rest = {before: (1 - t, 1 - p) for before, (t, p) in kept.items()}
+        of_pairs = {
+            (before, word): _ratio(tuple(o + left * p for o, left, p in zip(own, rest[before], self.word(word), strict=True))) for (before, word), own in pairs.items()
+        }
+        other = _ratio(tuple(a * b for a, b in zip(self.left, self.head_left, strict=True)))
+        of_heads = {head: _ratio(tuple(a * b for a, b in zip(self.left, self.head(head), strict=True))) for head in self.heads}
+        return Model({w: _ratio(self.word(w)) for w in self.words}, of_heads, other, of_pairs, {before: _ratio(left) for before, left in rest.items()})
+
+
+def _ratio(of: Pair) -> float:
+    return float(np.log(of[0] / of[1]))
+
+
+def own_pairs(seen: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+    """model, before, word, own_toxic, own_plain: pairs of words of which a class keeps a part; models 0 and 1 of the parts, 2 of all."""
+    pairs = seen.where("before is not null").select("part", "toxic", "before", "word")
+    pairs = pairs.groupBy("part", "before", "word").agg(*[F.count_if(F.col("toxic") == c).cast("double").alias(n) for n, c in (("t", 1), ("p", 0))])
+    pairs = pairs.select(F.explode(F.array("part", F.lit(2))).alias("model"), "before", "word", "t", "p").groupBy("model", "before", "word").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    pairs = staged(pairs, "toxicity-pairs")
+    history = pairs.groupBy("model", "before").agg(F.sum("t").alias("all_t"), F.sum("p").alias("all_p"))
+    share = (F.col("t") + F.col("p")) / (F.col("all_t") + F.col("all_p"))
+    own = []
+    for n in ("t", "p"):
+        expected = share * F.col(f"all_{n}")
+        own.append(F.greatest(F.lit(0.0), F.col(n) - expected - deviations * F.sqrt(expected) - 0.5) / F.greatest(F.lit(1.0), F.col(f"all_{n}")))
+    return pairs.join(history, ["model", "before"]).select("model", "before", "word", own[0].alias("own_toxic"), own[1].alias("own_plain")).where("own_toxic > 0 or own_plain > 0")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
@@ -131,33 +202,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Models of both classes; each half of the rows is scored by models of the other half to calibrate."""
     rows = staged(training_rows(docs, labels, rows_per_class), "toxicity-rows")
-    seen = rows.mapInArrow(_words, "part int, toxic int, word string, context long")
-    counts = seen.groupBy("part", "toxic", "word").agg(F.count_distinct("context").alias("n"))
-    size = {(r.part, r.toxic): r.n for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-    # words of at most 2 * rows_per_class documents
-    side: dict[tuple[int, int], dict[str, int]] = {(part, toxic): {} for part in (0, 1) for toxic in (0, 1)}
-    for batch in counts.select("part", "toxic", "word", "n").toArrow().to_batches():
-        for part, toxic, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            side[part, toxic][word] = n
-    of_class = [size.get((0, toxic), 0) + size.get((1, toxic), 0) for toxic in (0, 1)]
-    if 0 in of_class:
-        return Model({}, {})
-    halves = [_ratios(side[p, 1], side[p, 0], size.get((p, 1), 1), size.get((p, 0), 1)) for p in (1, 0)]
-    whole = {toxic: Counter(side[0, toxic]) + Counter(side[1, toxic]) for toxic in (0, 1)}
-    words, heads = _ratios(whole[1], whole[0], of_class[1], of_class[0])
+    if rows.select("toxic").distinct().count() < 2:
+        return Model()
+    seen = staged(rows.mapInArrow(_words, "part int, toxic int, before string, word string, context long"), "toxicity-words")
+    contexts = seen.where("before is null").select(F.explode(F.array("part", F.lit(2))).alias("model"), "toxic", "word", "context")
+    counts = contexts.groupBy("model", "word").agg(*[F.count_distinct(F.when(F.col("toxic") == c, F.col("context"))).alias(n) for n, c in (("t", 1), ("p", 0))])
+    # words, and pairs with a part of their own, of at most 2 * rows_per_class documents
+    side: tuple[dict[str, Pair], dict[str, Pair], dict[str, Pair]] = ({}, {}, {})
+    for batch in counts.toArrow().to_batches():
+        for of, word, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            side[of][word] = (t, p)
+    pairs: tuple[dict, dict, dict] = ({}, {}, {})
+    for batch in own_pairs(seen).toArrow().to_batches():
+        for of, before, word, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            pairs[of][before, word] = (t, p)
+    model = Lower(side[2]).model(pairs[2])
+    if not all(any(n[c] for n in part.values()) for part in side for c in (0, 1)):
+        return Model()
+    halves = [Lower(side[p]).model(pairs[p]) for p in (1, 0)]
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = [_tally(*half) for half in halves]
+        tally = [_tally(half) for half in halves]
         for batch in batches:
             parts, toxic, texts = (batch.column(c).to_pylist() for c in ("part", "toxic", "text"))
             x = [tally[p](t)[0] for p, t in zip(parts, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(x, pa.float64())], ["toxic", "x"])
 
     measured = rows.mapInArrow(crossed, "toxic int, x double").toArrow()
-    dropped(rows)
+    dropped(rows, seen)
     x, y = measured["x"].to_numpy(), measured["toxic"].to_numpy().astype(float)
-    if not 0 < y.sum() < len(y):
-        return Model({}, {})
     scale = x.std() or 1.0
     design, weights = np.stack([np.ones_like(x), x / scale], 1), np.zeros(2)
     ridge = np.diag([1e-6, 1e-2])
@@ -166,16 +239,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
         step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (weight * (y - p)) - ridge @ weights)
         weights += np.clip(step, -2, 2)
-    return Model(words, heads, float(weights[1] / scale), float(weights[0]), True)
+    return replace(model, slope=float(weights[1] / scale), bias=float(weights[0]), fitted=True)
+
+
+def _tally(model: Model):
+    """text -> its log-likelihood ratio per word, and its number of words."""
+    known = _Known(model)
+
+    def of(text: str) -> tuple[float, int]:
+        found = _WORD.findall(text.lower())
+        return model.of(found, known) / (len(found) + PADDING), len(found)
+
+    return of
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc, tag, score, ratio, n_words for keyed rows; score is 0 for all when there was nothing to learn from."""
     slope, bias, fitted = model.slope, model.bias, model.fitted
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.heads))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _tally(*shared.value)
+        tally = _tally(shared.value)
         for batch in batches:
             found = [tally(text.as_py()) for text in batch.column("text")]
             x, n = np.array([f[0] for f in found]), [f[1] for f in found]
