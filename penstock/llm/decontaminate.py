@@ -96,7 +96,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     seconds = seconds.select("doc", "tag", F.col("pos").alias("then_pos"), F.col("wid").alias("then"))
     likely = staged(met.join(seconds, ["doc", "tag", "then_pos", "then"], "left_semi").select("doc", "tag", "win", "span", "start"), "likely")
 
-    near = hits.join(likely.select("doc", "tag").distinct(), ["doc", "tag"], "left_semi").select("doc", "tag", "pos", "wid").distinct()
+    # the list of documents grows with them: a shuffle at any size
+    near = hits.join(likely.select("doc", "tag").distinct().hint("merge"), ["doc", "tag"], "left_semi").select("doc", "tag", "pos", "wid").distinct()
     wanted = likely.join(_beside(members.drop("span"), rows * window), "win").withColumn("pos", F.col("start") + F.col("at"))
     same = wanted.join(near, ["doc", "tag", "pos", "wid"]).groupBy("doc", "tag", "win", "span", "start").agg(F.count("*").alias("found"))
     found = staged(same.where("found = span"), "occurrences")
