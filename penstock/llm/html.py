@@ -6,6 +6,12 @@ link density, its length and its density of stop words. The second pass gives bl
 too short or too odd to tell the label of the nearest decided neighbour; of two equally
 near the good one counts. Within an article element neighbours are looked for in
 the element only, and a block without any decided neighbour is kept.
+
+Class and role names of a container say that it stands beside the article, unless it holds
+an article element or more than half of the page's text: then they tell of the page (`has-sidebar`,
+`search-page`). Names of comments count unless nothing else is left. Article elements are the text when they
+hold most of it; beside teasers all blocks are judged. Stop words of the four known languages confirm a
+block; a lack of them condemns none, and on a page of another language length has to do.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ MARKED = frozenset(
     " footer masthead comment comments respond replies disqus share sharing social related recommended recommendations copyright alert complementary"
     " contentinfo search".split()
 )
+#: Those of them that name readers' replies.
+REPLIES = frozenset("comment comments respond replies disqus".split())
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be been but by can could did do for from had has have he her him his how i if in into is it its just like me"
@@ -53,6 +61,9 @@ STOP_WORDS = frozenset(
 )
 #: Characters of a short and of a long block; shares of stop words; share of link text.
 SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS = 70, 200, 0.15, 0.25, 0.34
+#: Share of stop words from which a page is in one of the known languages; what a character of a script without spaces counts.
+KNOWN_LANGUAGE, DENSE = 0.05, 3
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -64,30 +75,47 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
+@dataclass
+class Mark:
+    """A container whose names say that it stands aside: whether they name replies, and whether it holds an article element."""
+
+    replies: bool
+    holds_article: bool = False
+    length: int = 0
+
+
 @dataclass
 class Block:
-    """Text pieces between two block boundaries; `article` numbers the enclosing article element, 0 for none."""
+    """Text pieces between two block boundaries; `article` numbers the enclosing article element, 0 for none.
+
+    `aside` is sure; `marks` are the marked containers around it.
+    """
 
     article: int
     aside: bool
+    marks: tuple[Mark, ...] = ()
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _marked(attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
+    return bool(attributes) and _HIDDEN.search(attributes) is not None
+
+
+def _marked(attributes: str) -> set[str]:
+    """The marking parts of a container's names."""
     if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(part.lower() in MARKED for found in _NAMES.findall(attributes) for part in _PARTS.findall(" ".join(found)))
+        return set()
+    return {part.lower() for found in _NAMES.findall(attributes) for part in _PARTS.findall(" ".join(found))} & MARKED
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open containers: name, aside, article
+    stack: list[tuple[str, bool, int, tuple[Mark, ...]]] = []  # open containers: name, and aside, article, marks around them
     aside, article, articles, links, breaks, at = False, 0, 0, 0, 0, 0
+    marks: tuple[Mark, ...] = ()
     current = Block(0, False)
 
     def add(raw: str) -> None:
@@ -103,7 +131,7 @@ def blocks_of(page: str) -> list[Block]:
         current.text = " ".join(unescape("".join(current.pieces)).split())
         if current.text:
             blocks.append(current)
-        current, links, breaks = Block(article, aside), 0, 0
+        current, links, breaks = Block(article, aside, marks), 0, 0
 
     while found := _TAG.search(page, at):
         if found.start() > at:
@@ -142,7 +170,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in VOID or name == "p":
             hidden = aside
-            if name == "p" and not closing and _marked(attributes):
+            if name == "p" and not closing and (_hidden(attributes) or _marked(attributes)):
                 close()
                 current.aside = True
                 continue
@@ -154,14 +182,18 @@ def blocks_of(page: str) -> list[Block]:
             if depth is not None:
                 outer = stack[depth]
                 del stack[depth:]
-                aside, article = outer[1], outer[2]
+                aside, article, marks = outer[1:]
         else:
-            stack.append((name, aside, article))
+            stack.append((name, aside, article, marks))
             if name in ARTICLE and not aside and not article:
                 articles += 1
                 article = articles
+                for mark in marks:
+                    mark.holds_article = True
             top = name in ("html", "body") or (name in ARTICLE)
-            aside = aside or name in ASIDE or (name == "header" and not article) or (not top and _marked(attributes))
+            aside = aside or name in ASIDE or (name == "header" and not article) or (not top and _hidden(attributes))
+            if not top and (found_marks := _marked(attributes)):
+                marks = (*marks, Mark(bool(found_marks & REPLIES)))
         close()
     tail = page[at:]
     if tail:
@@ -170,9 +202,18 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def _decided(block: Block) -> bool | None:
-    """Good, bad, or None where the block alone doesn't tell."""
-    n = len(block.text)
+def _weight(text: str) -> int:
+    return len(text) + (DENSE - 1) * len(_DENSE.findall(text))
+
+
+def _stops(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def _decided(block: Block, known: bool) -> bool | None:
+    """Good, bad, or None where the block alone doesn't tell; `known` if stop words of the page's language are known."""
+    n = _weight(block.text)
     links = block.linked / max(1, len("".join(block.text.split())))
     if block.aside or links > LINKS:
         return False
@@ -180,21 +221,44 @@ def _decided(block: Block) -> bool | None:
         return False
     if n < SHORT:
         return None
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_HIGH:
+    if not known:
+        return True if n > LONG or block.article else None
+    stops, words = _stops(block.text)
+    if stops >= STOPS_HIGH * words:
         return True if n > LONG or block.article else None
-    if stops >= STOPS_LOW:
+    if stops >= STOPS_LOW * words:
         return True if block.article else None
-    return None if block.article or n < LONG else False
+    return None
+
+
+def _placed(blocks: list[Block]) -> None:
+    """Settle which marks count: `aside` holds for blocks within one that does."""
+    free = [b for b in blocks if not b.aside]
+    for block in free:
+        for mark in block.marks:
+            mark.length += len(block.text)
+    total = sum(len(b.text) for b in free)
+    outside = any(not b.marks and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) for b in free)
+
+    def counts(mark: Mark) -> bool:
+        if mark.holds_article:
+            return False
+        return outside or 2 * mark.length <= total if mark.replies else 2 * mark.length <= total
+
+    for block in free:
+        block.aside = any(counts(mark) for mark in block.marks)
 
 
 def main_text(page: str) -> str:
     """The blocks of the article, joined by newlines."""
     blocks = blocks_of(page)
-    if any(b.article and not b.aside for b in blocks):
+    _placed(blocks)
+    stops, words = (sum(x) for x in zip(*(_stops(b.text) for b in blocks if not b.aside), strict=True)) if any(not b.aside for b in blocks) else (0, 0)
+    known = stops >= KNOWN_LANGUAGE * words
+    inside = sum(_weight(b.text) for b in blocks if b.article and not b.aside)
+    if inside and inside >= sum(_weight(b.text) for b in blocks if not b.article and _decided(b, known)):
         blocks = [b for b in blocks if b.article]
-    first = [_decided(b) for b in blocks]
+    first = [_decided(b, known) for b in blocks]
     kept = []
     last: list[tuple[int, bool] | None] = [None] * len(blocks)
     following: list[tuple[int, bool] | None] = [None] * len(blocks)

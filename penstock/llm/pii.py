@@ -9,6 +9,7 @@ are punctuated, and different ones stay different.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,25 @@ KEY_SETTING, TEST_KEY = "spark.penstock.pseudonym.secret.key", "not a secret"
 
 # What personal values look like.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+def _iban_pattern() -> str:
+    """Compact or in groups of four, of the length of its country; a country that is not listed may have any."""
+    listed = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        tail = rf"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+        listed.append(rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    other = rf"(?!{known})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return "|".join([*listed, other])
+
+
+IBAN = _iban_pattern()
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 ISO_DATE, SLASH_DATE, DOT_DATE = r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}\.\d{2}\.\d{4}"
 CARD = r"\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{13,19}"
@@ -30,7 +49,7 @@ SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 PATTERNS = (
     rf"(?<![A-Za-z0-9._%+-]){EMAIL}(?![A-Za-z0-9])",
-    rf"(?<![A-Za-z0-9]){IBAN}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])",
     rf"(?<![A-Za-z0-9]|\d\.){IPV4}(?![A-Za-z0-9]|\.\d)",
     rf"(?<![A-Za-z0-9]|\d[-/.])(?:{ISO_DATE}|{SLASH_DATE}|{DOT_DATE})(?![A-Za-z0-9]|[-/.]\d)",
     rf"(?<![A-Za-z0-9])(?:{CARD})(?![A-Za-z0-9])",
@@ -41,6 +60,8 @@ ANY = "|".join(PATTERNS)
 
 #: One Gregorian cycle: 400 years of days, as a product for the two halves.
 CYCLE, DAYS_A, DAYS_B, DAY_ZERO = 146_097, 189, 773, "1800-01-01"
+#: The days of a cycle from the 13th of a month on, likewise, and its months.
+LATE, LATE_A, LATE_B, MONTHS = 88_497, 9, 9_833, 4_800
 
 
 def _drawn(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -178,24 +199,50 @@ def _ipv4(m: Column, key: str) -> Column:
     return F.when(plain, _with(new, shown))
 
 
+def _late_day(day: Column, key: str) -> Column:
+    """A permutation, within its cycle, of the days from the 13th of a month on: those that read one way only with slashes."""
+    zero = F.lit(DAY_ZERO).cast("date")
+    since = F.datediff(day, zero)
+    cycle, within = F.floor(since / CYCLE), F.pmod(since, F.lit(CYCLE))
+
+    def months(n: Column) -> Column:  # of the cycle, before the nth day
+        at = F.date_add(zero, n.cast("int"))
+        return (F.year(at) - 1800) * 12 + F.month(at) - 1
+
+    def before(month: Column) -> Column:  # late days before that month of the cycle
+        return F.datediff(F.add_months(zero, month.cast("int")), zero) - 12 * month
+
+    def placed(n: Column) -> Column:
+        # months have 16 to 19 late days, so the right one is next to the one an even spread gives
+        guess = F.floor(n * MONTHS / LATE)
+        near = F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), guess + 2), lambda x: (before(x) <= n) & (n < before(x + 1)))
+        return _with(F.get(near, F.lit(0)), lambda month: n + 12 * (month + 1))
+
+    rank = within - 12 * (months(within) + 1)
+    new = permuted_number(rank, key, "late-date", LATE_A, LATE_B)
+    return F.date_add(zero, (_with(new, placed) + cycle * CYCLE).cast("int"))
+
+
 def _date(m: Column, key: str) -> Column:
+    """Dates with slashes are of the month first where that is possible; the others, of the 13th or later, stay among themselves."""
     iso, dotted = m.rlike("^" + ISO_DATE), m.contains(".")
     formats = {
         "iso": F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))),
         "dots": F.when(dotted, F.try_to_timestamp(m, F.lit("dd.MM.yyyy"))),
         "us": F.when(~iso & ~dotted, F.try_to_timestamp(m, F.lit("MM/dd/yyyy"))),
-        "eu": F.when(~iso & ~dotted, F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))),
     }
+    late = F.when(~iso & ~dotted & formats["us"].isNull(), F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))).cast("date")
     day = F.coalesce(*formats.values()).cast("date")
     zero = F.lit(DAY_ZERO).cast("date")
     since = F.datediff(day, zero)
     cycle = F.floor(since / CYCLE)
     new = permuted_number(F.pmod(since, F.lit(CYCLE)), key, "date", DAYS_A, DAYS_B) + cycle * CYCLE
-    return _with(
+    early = _with(
         F.date_add(zero, new.cast("int")),
         lambda d: F.when(formats["iso"].isNotNull(), F.date_format(d, "yyyy-MM-dd")).when(formats["dots"].isNotNull(), F.date_format(d, "dd.MM.yyyy"))
-        .when(formats["us"].isNotNull(), F.date_format(d, "MM/dd/yyyy")).when(formats["eu"].isNotNull(), F.date_format(d, "dd/MM/yyyy")),
+        .when(formats["us"].isNotNull(), F.date_format(d, "MM/dd/yyyy")),
     )
+    return F.when(late.isNotNull(), F.date_format(_late_day(late, key), "dd/MM/yyyy")).otherwise(early)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -284,7 +331,11 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str | No
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    """The key of the session; without one, the public test key, with a warning, for pseudonyms under it can be undone by anyone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the public test key and protect nothing", stacklevel=2)
+    return key or TEST_KEY
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

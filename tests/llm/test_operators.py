@@ -451,6 +451,79 @@ def test_top_k_odd(spark):
     assert exact_top_k(frame.where("false"), F.col("vec") % 50 == 0).count() == 0
 
 
+def test_slash_dates_one_to_one(spark):
+    """Every date of a cycle in both readings with slashes, and a year before it, has a pseudonym of its own and keeps its form."""
+    days = spark.sql("select explode(sequence(date'1799-01-01', date'2199-12-31')) as d")
+    texts = days.selectExpr("explode(array(date_format(d, 'MM/dd/yyyy'), date_format(d, 'dd/MM/yyyy'), date_format(d, 'dd.MM.yyyy'), date_format(d, 'yyyy-MM-dd'))) as text").distinct()
+    done = pii.pseudonymised(texts.withColumn("was", F.col("text")), "k")
+    late = lambda c: F.substring(c, 1, 2) > "12"
+    row = done.agg(
+        F.count("*").alias("n"), F.count_distinct("text").alias("different"), F.count_if(F.regexp_replace("text", "[0-9]", "9") != F.regexp_replace("was", "[0-9]", "9")).alias("form"),
+        F.count_if(F.col("was").contains("/") & (late("was") != late("text"))).alias("reading"), F.count_if(F.col("text") == F.col("was")).alias("same"),
+    ).first()
+    assert row.n == row.different and row.form == row.reading == 0 and row.same < 100
+
+
+def _iban(country, account):
+    number = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{account}"
+
+
+def test_spaced_ibans_before_words(spark):
+    compact = [_iban("ES", "21000418450200051332"), _iban("AT", "1904300234573201"), _iban("SE", "50000000058398257466"), _iban("BE", "539007547034"), _iban("PL", "109010140000071219812874"), _iban("NO", "86011117947")]
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in compact]
+    texts = [(i, f"{x} {word}") for i, x in enumerate([*spaced, *compact]) for word in ("EUR 50", "AB12", "A", "2024", "and more", "")]
+    got = pii.pseudonymised(spark.createDataFrame(texts, "id int, text string"), "k", found="found").collect()
+    for row in got:
+        assert len(row.found) == 1 and row.found[0].kind == "iban" and row.found[0].old in [*spaced, *compact], row
+    # equal values stay linked, spaced or not
+    new = {r.found[0].old.replace(" ", ""): set() for r in got}
+    for r in got:
+        new[r.found[0].old.replace(" ", "")].add(r.found[0].new.replace(" ", ""))
+    assert all(len(x) == 1 for x in new.values()) and len(new) == len(compact)
+
+
+def test_missing_key_is_said(spark):
+    with pytest.warns(UserWarning, match="public test key"):
+        pii.pseudonym_key(spark)
+
+
+PARAGRAPH = "<p>" + "This is the first long paragraph of the article, and it has all that one would want of a text with the usual words in it. " * 3 + "</p>"
+RUSSIAN = "<p>" + "Сегодня в городе прошло заседание комиссии, на котором обсуждались планы развития транспорта и жилищного строительства. " * 3 + "</p>"
+CHINESE = "<p>" + "今天市政府召开会议，讨论了新区交通和住房建设的发展计划，并听取了专家的意见和建议。" * 4 + "</p>"
+TURKISH = "<p>" + "Bugün şehirde ulaşım planları ve yeni konut projeleri üzerine geniş katılımlı toplantı yapıldı, uzmanlar görüşlerini paylaştı. " * 3 + "</p>"
+PAGES = {
+    f'<body><nav>a b</nav><div class="content has-sidebar">{PARAGRAPH * 2}</div></body>': 2,
+    f'<div class="search-page"><article>{PARAGRAPH * 2}</article></div>': 2,
+    f'<section class="post social-policy">{PARAGRAPH * 2}</section>': 2,
+    f'<main><div class="post-with-ads">{PARAGRAPH * 2}</div></main>': 2,
+    f"<div><a href=x>Главная</a></div><div>{RUSSIAN * 2}</div>": 2,
+    f"<div>{CHINESE * 2}</div>": 2,
+    f"<div>{TURKISH * 2}</div>": 2,
+    f"<div>{PARAGRAPH * 2}</div><article><p>Read also this short teaser.</p></article>": 3,
+    f'<div class="post">{PARAGRAPH}</div><div class="comments">{PARAGRAPH * 4}</div>': 1,
+    f'<div class="wrap has-sidebar">{PARAGRAPH * 3}<div class="sidebar">{PARAGRAPH}</div></div>': 3,
+    f'<div style="display:none">{PARAGRAPH * 3}</div><div>{PARAGRAPH}</div>': 1,
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_articles_of_other_layouts_stay(page):
+    assert len(html.main_text(page).split("\n")) == PAGES[page]
+
+
+def test_pages_odd(spark):
+    """Very long pages, empty tables, clashing names, null and repeated rows."""
+    long = "<article>" + "<p>The end of the day is near, and we were all there to see it come to that.</p>" * 40_000
+    rows = [(1, "u", long), (2, None, None), (None, "v", "<p>x"), (2, None, None), (3, "w", "<div" * 100_000), (4, "w", "<b>" * 200_000 + "end")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "3 as blocks")
+    got = html.extract_text(frame.repartition(2)).collect()
+    assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
+    assert next(r.text for r in got if r.page_id == 1).count("\n") == 39_999
+    assert [r.text for r in got if r.page_id == 2] == ["", ""]
+    assert html.extract_text(frame.limit(0)).count() == 0
+
+
 # decontamination
 
 
