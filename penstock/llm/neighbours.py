@@ -129,16 +129,32 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = to
 
 
-def _links(least: float, wide: float, count: int):
+def _bits(ends: np.ndarray, lines: int) -> np.ndarray:
+    """Per row a bit for each end that it keeps."""
+    out = np.zeros((len(ends), -(-2 * lines // 64)), np.uint64)
+    for at in range(0, len(ends), 2048):
+        some = ends[at : at + 2048]
+        flags = np.zeros((len(some), out.shape[1] * 64), bool)
+        np.put_along_axis(flags, some.astype(np.int64), True, axis=1)
+        out[at : at + len(some)] = np.packbits(flags, axis=1).view(np.uint64)
+    return out
+
+
+def _links(least: float, wide: float, count: int, lines: int):
     """(node, n, root): per group and vector, the copies of other vectors it links to, and the least node of its links there."""
 
     def linked(v: _Vectors) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         change = np.flatnonzero(np.any(v.group[1:] != v.group[:-1], axis=1)) + 1
         starts = np.concatenate([[0], change])
         sizes = np.diff(np.concatenate([starts, [len(v.group)]]))
+        bits = _bits(v.ends, lines)
         for a, b in _pairs(starts, sizes):
             apart = (v.group[a, 2] == v.group[a, 3]) | (v.own[a] != v.own[b])  # two blocks meet each other, not themselves
+            # no more windows can hold a pair than it has ends in common
+            apart &= np.bitwise_count(bits[a] & bits[b]).sum(axis=1) >= count
             a, b = a[apart], b[apart]
+            if not len(a):
+                continue
             same = v.ends[a][:, :, None] == v.ends[b][:, None, :]
             p, i, j = np.nonzero(same)
             near = np.abs(v.values[a[p], i] - v.values[b[p], j]) <= wide
@@ -227,7 +243,7 @@ def near_neighbours(
     )
     met = met.join(nodes.select("node", "n", "x", "ends", "values"), "node")
     met = met.select(*GROUP, "block", "node", "n", "x", "ends", "values").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
-    found = staged(met.mapInArrow(_links(least, window(least), enough(least, lines, kept, recall)), "node long, n long, root long"), "links")
+    found = staged(met.mapInArrow(_links(least, window(least), enough(least, lines, kept, recall), lines), "node long, n long, root long"), "links")
 
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     ids = nodes.select("node", "vec")
