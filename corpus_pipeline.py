@@ -37,7 +37,11 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not reject."""
+    """Documents that the toxicity models do not reject.
+
+    Null texts are scored as empty ones; copies of a row, and rows of one id and text, go or stay
+    together; without labels of both classes nothing goes. An empty table stays empty, other columns pass.
+    """
     found = scored(keyed(docs), fit(docs, table(spark, sf_dir, "labels")))
     return _without(docs, staged(found.where(F.col("score") >= THRESHOLD).select("doc", "tag"), "toxic"))
 
@@ -85,18 +89,27 @@ def _first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more of the benchmark than the rule allows."""
+    """Documents that hold no more of the benchmark than the rule allows.
+
+    Null and empty texts have no words and stay, as does everything if the benchmark is
+    empty; rows of one id are judged each by its text. Other columns pass.
+    """
     found = contamination(keyed(docs), table(spark, sf_dir, "benchmark"))
     return _without(docs, staged(found.where("contaminated").select("doc", "tag"), "contaminated"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal values."""
+    """All documents, with pseudonyms for personal values; null texts stay null, other columns and repeated rows pass."""
     return pseudonymised(docs, pseudonym_key(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, numbered by `copy` from 1, with its source's target."""
+    """The mix: each document as often as it is taken, numbered by `copy` from 1, with its source's target.
+
+    Null sources are one source, null and empty texts have size 0; of rows with equal id, text and source
+    all copies come from one. An empty table gives an empty mix. Columns named `copy` or `source_target` in the
+    documents would be doubled, as in any select.
+    """
     taken = mix(docs).groupBy("doc_id", "tag", "source").agg(F.sum("copies").alias("_copies"), F.min("target").alias("source_target"))
     taken = taken.where("_copies > 0").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag"), F.hash("source").alias("_source"), "_copies", "source_target"

@@ -59,5 +59,5 @@ def write_deliveries(
         else:
             rows.write.mode(mode).parquet(f"{path}/database/type={kind}")
     files = deliveries.filter(F.col("type").isin(*FILE_TYPES))
-    files.write.mode(mode).partitionBy("workspace_id").json(f"{path}/objects")
+    files.hint("rebalance", "workspace_id").write.mode(mode).partitionBy("workspace_id").json(f"{path}/objects")
     outbox(deliveries).write.mode(mode).partitionBy("type").parquet(f"{path}/outbox")

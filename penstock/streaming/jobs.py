@@ -132,8 +132,13 @@ def pipeline_batch(
     batch: int,
     root: str,
     config: Callable[[], tuple[DataFrame, DataFrame, dict[str, steps.Enrichment]]],
+    jdbc: dict[str, dict[str, str]] | None = None,
 ) -> None:
-    """Trigger, steps and fan-out for one micro-batch; `config` is read again each time."""
+    """Trigger, steps and fan-out for one micro-batch; `config` is read again each time.
+
+    Files and outbox are replaced when a batch runs again. A database append (`jdbc`) is not: the delivery's `id` is
+    the same then, and a unique key on it in the target table is what keeps copies out.
+    """
     spark = batch_rows.sparkSession
     pipelines, destinations, enrichments = config()
     typed = steps.typed_pipelines(pipelines, destinations)
@@ -148,13 +153,15 @@ def pipeline_batch(
     delivery.dead_letter(unmatched=steps.unknown_destinations(fanned)).write.mode("overwrite").parquet(
         batch_path(root, "dead_letters", batch)
     )
-    sinks.write_deliveries(steps.deliveries(fanned), batch_path(root, "deliveries", batch), mode="overwrite")
+    sinks.write_deliveries(steps.deliveries(fanned), batch_path(root, "deliveries", batch), jdbc, mode="overwrite")
 
 
-def stream_pipeline(stream: DataFrame, root: str, checkpoint: str, config, once: bool = True) -> StreamingQuery:
+def stream_pipeline(
+    stream: DataFrame, root: str, checkpoint: str, config, once: bool = True, jdbc: dict[str, dict[str, str]] | None = None
+) -> StreamingQuery:
     """Stored events to executions, dead letters and deliveries by type."""
     claim(stream.sparkSession, root, checkpoint)
-    return run_batches(stream, lambda df, n: pipeline_batch(df, n, root, config), checkpoint, once)
+    return run_batches(stream, lambda df, n: pipeline_batch(df, n, root, config, jdbc), checkpoint, once)
 
 
 def stream_throughput(
