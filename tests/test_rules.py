@@ -72,7 +72,10 @@ CASES = [
     (changed(foo=1, bar=2), ["bar", "foo"]),
     ('{"event":"a.b"', ["body"]),
     ('{"a":1} x', ["body"]),
-    ('{"a":1,"a":2}', ["body"]),
+    # a repeated key is no error: its last value counts
+    ('{"foo":1,"foo":2}', ["anonymousId", "correlationId", "event", "foo", "source", "userId", "version"]),
+    (json.dumps(changed())[:-1] + ',"userId":"","userId":"u"}', []),
+    (json.dumps(changed())[:-1] + ',"userId":"u","userId":5}', ["userId"]),
     ("{'a':1}", ["body"]),
     ("[1]", ["body"]),
     ("null", ["body"]),
