@@ -67,24 +67,28 @@ def license_scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, mo
     none. Null and empty texts have the digest of nothing, which is no licence. Repeated
     rows get equal results; extra columns are ignored. `more` (license, text) adds to the catalogue.
 
-    The catalogue is small, so it is broadcast; documents aren't shuffled
+    The built-in catalogue is small, so it is broadcast; documents aren't shuffled
     but for the few that have notices, whose identifiers are joined back. Lines of a
-    length that no known text has are not digested.
+    length that no known text has are not digested. With `more`, of any size, both are left to
+    the joins.
     """
     spark = docs.sparkSession
     known = staged(known_digests(spark, texts, more), "license-digests")
-    sizes = [r.size for r in known.select("size").distinct().collect()]
-    fitting = F.transform(F.filter("lines", lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
+    lines, beside = F.col("lines"), lambda x: x
+    if more is None:
+        sizes, beside = [r.size for r in known.select("size").distinct().collect()], F.broadcast
+        lines = F.filter("lines", lambda x: F.length(x).isin(sizes))
+    fitting = F.transform(lines, lambda x: F.sha2(x, 256))
     rows = staged(
         keyed(docs).select("doc", "tag", canonical_lines(F.col("text")).alias("lines"))
         .select("doc", "tag", F.sha2(F.array_join("lines", " "), 256).alias("digest"), fitting.alias("lines")),
         "license-lines",
     )
-    lines = rows.select("doc", "tag", F.explode("lines").alias("digest")).join(F.broadcast(known), "digest")
+    lines = rows.select("doc", "tag", F.explode("lines").alias("digest")).join(beside(known), "digest")
     notices = lines.groupBy("doc", "tag").agg(F.collect_set("license").alias("notices"))
     notices = staged(notices.select("doc", "tag", F.array_join(F.sort_array("notices"), ",").alias("notices")), "license-notices")
     whole = known.groupBy("digest").agg(F.min("license").alias("license"))
-    out = rows.select("doc", "tag", "digest").join(F.broadcast(whole), "digest", "left").join(notices, ["doc", "tag"], "left")
+    out = rows.select("doc", "tag", "digest").join(beside(whole), "digest", "left").join(notices, ["doc", "tag"], "left")
     return out.select(shown_id().alias("doc_id"), "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
