@@ -315,11 +315,13 @@ def _exact_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle:
     ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("doc_a") < F.col("doc_b")))
     holds = ordered & (F.col("root_a") != F.col("root_b")) & (F.col("size_a") >= F.col("size_b") * similarity - 1e-6) & (F.least("rest_a", "rest_b") >= least)
     pairs = staged(left.join(right, "key").where(holds).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "prefix-pairs")
-    texts = docs.select("doc", "text")
+    # of the texts, those of the pairs alone are dealt out twice
+    paired = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    texts = staged(docs.join(paired, "doc", "left_semi").select("doc", "text"), "pair-texts")
     sides = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     sides = sides.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     out = staged(sides.mapInArrow(_alike(shingle, similarity), "a long, b long"), "exact-links")
-    dropped(probes, shared, met, pairs)
+    dropped(probes, shared, met, pairs, texts)
     return out
 
 
