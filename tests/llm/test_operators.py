@@ -360,6 +360,28 @@ def test_lm_keeps_ngrams_at_any_share(spark, db):
         assert all(abs(r.score - force[r.doc]) < 1e-6 * max(1, abs(force[r.doc])) for r in got)
 
 
+def test_lm_reads_texts_once_and_cuts_them_anywhere(spark, db):
+    """Each text is read and cut into words once; blocks and parts of any size, and texts of many blocks, give the scores by definition."""
+    rows = documents(db)[:60]
+    rows += [(10**6, " ".join(t or "" for _, t in rows[:8])), (10**6 + 1, "a " + "x" * 2000 + "\x0b b\x1c " + "y" * 2000), (10**6 + 2, " \n"), (10**6 + 2, " \n")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    docs = keyed(frame.mapInArrow(counted, "doc_id long, text string"))
+    force = dict(zip([d for d, _ in rows], scores_by_force([t for d, t in rows if d % 4 != 1], [t for _, t in rows]), strict=True))
+    for cut, train in (({}, "doc % 4 != 1"), ({"block_tokens": 100, "part_keys": 1500}, "doc % 4 != 1"), ({"block_tokens": 100}, None)):
+        seen.value = 0
+        got = lm.lm_scores(docs, F.expr(train) if train else docs.where("doc % 4 != 1"), **cut).collect()
+        assert len(got) == len(rows)
+        assert seen.value == (len(rows) if train else 2 * len(rows))
+        assert all(abs(r.score - force[r.doc]) < 1e-9 * max(1, abs(force[r.doc])) for r in got)
+
+
 def test_automaton_is_a_distribution():
     """Over all words, known or not, the chances after any history sum to one; the traversal agrees with the definition."""
     rng = np.random.default_rng(1)
