@@ -44,7 +44,7 @@ def is_boolean(value: Column) -> Column:
 
 def object_of(value: Column) -> Column:
     """A variant as MAP<STRING, VARIANT>, NULL where it is no object."""
-    return F.when(is_object(value), value.try_cast("map<string,variant>"))
+    return value.try_cast("map<string,variant>")
 
 
 def parsed_text(raw: Column) -> Column:

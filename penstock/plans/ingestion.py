@@ -60,9 +60,11 @@ def ingest_requests(raw: DataFrame, store: DataFrame | None = None, stage: bool
     return Ingested(validated, ingest.dedupe_status(rows, store, order=ingest.REQUEST_ORDER))
 
 
-def ingest_batches(bodies: DataFrame, store: DataFrame | None = None, stage: bool = True) -> Ingested:
-    """Batch calls: all events of a batch are admitted or none is."""
+def ingest_batches(bodies: DataFrame, store: DataFrame | None = None, stage: bool = True, columns: tuple[str, ...] | None = None) -> Ingested:
+    """Batch calls: all events of a batch are admitted or none is. `columns` as in `ingest_requests`."""
     validated = validated_batches(bodies)
     rows = ingest.normalize_events(validated.filter("admitted"))
+    if columns is not None:
+        rows = rows.select("event_id", *ingest.REQUEST_ORDER, *columns)
     rows = staged(rows, "arrivals") if stage else rows
     return Ingested(validated, ingest.dedupe_status(rows, store, order=ingest.REQUEST_ORDER))

@@ -177,7 +177,7 @@ def event_envelope(spark, sf):
 
 @query
 def ingest_results(spark, sf):
-    run = ingestion.ingest_batches(fixture(spark, sf, "batch_bodies"))
+    run = ingestion.ingest_batches(fixture(spark, sf, "batch_bodies"), columns=())
     entry = F.array_join(
         F.transform("results", lambda r: F.concat_ws(":", r.pos.cast("string"), r.event_id, r.status)), ","
     )
