@@ -186,7 +186,7 @@ def ingest_results(spark, sf):
 
 @query
 def batch_summary(spark, sf):
-    return ingestion.ingest_batches(fixture(spark, sf, "batch_bodies")).summary
+    return ingestion.ingest_batches(fixture(spark, sf, "batch_bodies"), columns=()).summary
 
 
 # --- config -------------------------------------------------------------------------------
