@@ -13,6 +13,7 @@ queues, whose messages expire, the table stops growing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,14 @@ class IdTable:
 
     def read(self, spark: SparkSession, batch: int) -> DataFrame:
         """All ids of the batches before `batch`, with their buckets."""
-        rows = spark.createDataFrame([], f"{COLUMNS}, bucket INT")
-        for level, run in self.runs(batch):
-            rows = rows.unionByName(spark.read.schema(f"{COLUMNS}, bucket INT").parquet(self.path(level, run)))
-        return rows
+        rows = [spark.read.schema(f"{COLUMNS}, bucket INT").parquet(self.path(level, run)) for level, run in self.runs(batch)]
+        return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], f"{COLUMNS}, bucket INT")
 
     def touched(self, wanted: DataFrame, batch: int) -> DataFrame:
         """What a look-up of the `wanted` ids reads: the buckets they fall into, and no others."""
         spark = wanted.sparkSession
+        if not self.runs(batch):
+            return self.read(spark, batch)
         numbers = [r[0] for r in wanted.select(self.bucket("event_id").alias("b")).distinct().collect()]
         return self.read(spark, batch).filter(F.col("bucket").isin(numbers))
 

@@ -111,18 +111,21 @@ def consume_once(
     """Hand each queue message to `work` once, in whatever batches its copies arrive.
 
     The ids of consumed messages are kept in an id table as long as a queue keeps a
-    message, so neither state nor table grows without end.
+    message, so neither state nor table grows without end. Copies within a batch and
+    messages known before leave in one shuffle; what is left is written, and read by
+    `work` and by the table.
     """
     claim(messages.sparkSession, root, checkpoint)
     ids = IdTable(f"{root}/ids", buckets, keep_us=2 * ttl_ms * 1000)
 
     def consume(rows: DataFrame, batch: int) -> None:
-        known = queue.consumed_once(rows).withColumn("event_id", F.col("message_id"))
-        known.write.mode("overwrite").parquet(batch_path(root, "messages", batch))
-        read = rows.sparkSession.read.schema(known.schema).parquet(batch_path(root, "messages", batch))
-        new = read.join(ids.find(read, batch).select("event_id"), "event_id", "left_anti")
+        known = ids.touched(queue.identified(rows).select(F.col("message_id").alias("event_id")), batch).select("event_id")
+        fresh = queue.consumed_once(rows)
+        fresh = fresh.join(known, fresh["message_id"] == known["event_id"], "left_anti")
+        fresh.write.mode("overwrite").parquet(batch_path(root, "messages", batch))
+        new = rows.sparkSession.read.schema(fresh.schema).parquet(batch_path(root, "messages", batch))
         work(new.select(*rows.columns), batch)
-        ids.add(new.select("event_id", F.unix_micros("published_at").alias("first_us")), batch)
+        ids.add(new.select(F.col("message_id").alias("event_id"), F.unix_micros("published_at").alias("first_us")), batch)
 
     return run_batches(messages, consume, checkpoint, once)
 

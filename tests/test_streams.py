@@ -9,6 +9,7 @@ from penstock.operators import delivery, metrics, people
 from penstock.plans.fixtures import fixture
 from penstock.plans.serving import Serving
 from penstock.session import scratch_dir
+from penstock.sources import queue
 from penstock.streaming import idtable, jobs
 from penstock.streaming.idtable import IdTable
 
@@ -136,3 +137,51 @@ def test_read_model_reads_touched_days(spark):
     known = attempts.filter(F.col("event_id").isin(event.event_id, later.event_id))
     full, kept = metrics.read_model(held, known, quotas), serving.model(spark)
     assert sorted(map(str, full.select(*sorted(full.columns)).collect())) == sorted(map(str, kept.select(*sorted(full.columns)).collect()))
+
+
+def sent(spark, path, runs, start):
+    """Publish envelopes run by run, in two files each, and consume what is there file by file."""
+    rows = [(f'{{"payload":{{}},"meta":{{"messageId":{name}}}}}', at) for run in runs for name, at in run]
+    schema = "value STRING, published_at TIMESTAMP"
+    done = 0
+    for run in runs:
+        part = rows[done : (done := done + len(run))]
+        queue.publish(spark.createDataFrame(part, "value STRING, s LONG").select("value", F.timestamp_seconds("s").alias("published_at")).coalesce(1), path)
+        start(queue.queue_source(spark, path, schema, files_per_trigger=1)).awaitTermination()
+
+
+def test_known_messages_leave_before_anything_is_written(spark):
+    """Copies in one batch, in a later one and after a restart; messages without an id are kept once a batch."""
+    path, root, checkpoint = (scratch_dir(spark, x) for x in ("queue", "root", "checkpoint"))
+    first, copies = [(f'"m{i}"', 100 + i) for i in range(40)], [('"m1"', 900), ("null", 901), ("null", 902)]
+    runs = [[*first, *first[:5], *copies[1:]], [*copies, ('"n"', 1000)], [*first, ('"n"', 1001), ('"o"', 1002)]]
+    seen = []
+
+    def work(rows, batch):
+        assert rows.columns == ["value", "published_at"]
+        seen.append(sorted(r[0] for r in rows.select(F.coalesce(F.get_json_object("value", "$.meta.messageId"), F.lit("?"))).collect()))
+
+    sent(spark, path, runs, lambda s: jobs.consume_once(s, work, root, checkpoint))
+    assert seen == [sorted(["?", *[f"m{i}" for i in range(40)]]), ["?", "n"], ["o"]]
+    written = spark.read.parquet(f"{root}/messages").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in written} == {0: 41, 1: 2, 2: 1}
+
+
+def test_a_queue_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(queue, "ROW_GROUP_BYTES", 1 << 16, raising=False)
+    rows = spark.range(4000, numPartitions=1).select(F.concat(*[F.sha2(F.concat("id", F.lit(str(i))), 256) for i in range(4)]).alias("value"))
+    queue.publish(rows, str(tmp_path / "queue"))
+    [file] = (tmp_path / "queue").glob("*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 4
+
+
+def test_envelopes_are_made_once_and_by_all_cores(spark, monkeypatch):
+    """The messages that come again are read from the queue, not made again inside a filter; what is published is shuffled to its writers."""
+    from penstock.plans.queries import QUERIES
+
+    plans, publish = [], queue.publish
+    monkeypatch.setattr(queue, "publish", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), publish(df, *a)))
+    assert QUERIES["queue_source"](spark, "/root/testdata/sf0.001").count() == fixture(spark, "/root/testdata/sf0.001", "stored").count()
+    assert [p.count("StructsToJsonEvaluator") for p in plans] == [1, 0] and all(p.startswith("RepartitionByExpression") for p in plans)
