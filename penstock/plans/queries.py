@@ -745,7 +745,8 @@ def queue_source(spark, sf):
             part = spark.read.schema(columns).parquet(path).filter(F.crc32("value") % 3 == 0)
         else:
             part = ingest.event_envelope(stored_events(spark, sf)).select("routing_key", "value", "published_at")
-        queue.publish(part.repartition(2, "value"), path)
+        # two files a time, also where a session deals out more partitions than it is asked for
+        queue.publish(part.repartition(2, "value").coalesce(2), path)
         stream = queue.queue_source(spark, path, columns, files_per_trigger=1)
         jobs.consume_once(
             stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/consumed/batch={n}"), out, checkpoint
